@@ -88,12 +88,16 @@ def _threshold(df: DataFrame, threshold: float | Mean | WeightedMean) -> Column:
 
 
 def flag_at_least(
-    df: DataFrame, col: str | Column, threshold: float | Mean | WeightedMean, name: str
+    df: DataFrame,
+    col: str | Column,
+    threshold: float | Mean | WeightedMean,
+    name: str,
+    over: DataFrame | None = None,
 ) -> DataFrame:
     """Add a 1/0 column: value >= threshold. A missing value gives a missing flag. Mean thresholds are scalar
-    subqueries, computed once and shipped as one number."""
+    subqueries over the table (or ``over``), computed once and shipped as one number."""
     x = as_column(col)
-    limit = _threshold(df, threshold)
+    limit = _threshold(df if over is None else over, threshold)
     return df.withColumn(name, F.when(x >= limit, 1).when(x.isNotNull(), 0))
 
 
