@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 SEPARATORS = {"csv": ",", "tsv": "\t"}
+TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def normalize_path(path: str) -> str:
@@ -58,7 +59,10 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     if fmt == "parquet":
         writer.options(**options).parquet(path)
     elif fmt in SEPARATORS:
-        writer.options(header=True, sep=SEPARATORS[fmt], quote='"', escape='"').options(**options).csv(path)
+        # the default formats would cut timestamps to milliseconds
+        full = {"timestampNTZFormat": TIME, "timestampFormat": TIME + "XXX"}
+        writer = writer.options(header=True, sep=SEPARATORS[fmt], quote='"', escape='"', **full)
+        writer.options(**options).csv(path)
     else:
         raise ValueError(f"unknown table format {fmt!r}")
     return path
