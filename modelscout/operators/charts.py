@@ -16,7 +16,8 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     lo = ends.getField("lo")
     width = (ends.getField("hi") - lo) / bins
     # a constant column has width 0 and one bin
-    spot = F.coalesce(F.least(F.floor(F.try_divide(F.col("x") - lo, width)), F.lit(bins - 1)), F.lit(0)).cast("int")
+    step = F.coalesce(F.floor(F.try_divide(F.col("x") - lo, width)), F.lit(0))
+    spot = F.least(step, F.lit(bins - 1)).cast("int")
     counts = values.filter(F.col("x").isNotNull()).groupBy(spot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(
         "bin", (lo + width * F.col("bin")).alias("lo"), (lo + width * (F.col("bin") + 1)).alias("hi"), "n"

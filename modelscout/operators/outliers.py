@@ -123,7 +123,7 @@ def _ends_and_core(rows: DataFrame, keys: list[str], ends: int) -> DataFrame:
         F.max("_a").alias("_a"),
         *[F.max(c).alias(c) for c in ("_step", "_low", "_high")],
     )
-    return merged.groupBy(*keys).agg(
+    groups = merged.groupBy(*keys).agg(
         F.collect_list(F.coalesce("_v", F.lit(float("nan")))).alias("v"),
         F.collect_list("_n").alias("n"),
         F.collect_list("_m").alias("m"),
@@ -131,6 +131,7 @@ def _ends_and_core(rows: DataFrame, keys: list[str], ends: int) -> DataFrame:
         F.max("_a").alias("a"),
         *[F.max(c).alias(c.lstrip("_")) for c in ("_step", "_low", "_high")],
     )
+    return groups.filter(F.size("v") > 0)
 
 
 def _merge(p: tuple, q: tuple) -> tuple:
