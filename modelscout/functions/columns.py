@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F, types as T
 
 
 def as_column(c: Column | str) -> Column:
-    return F.col("`" + c.replace("`", "``") + "`") if isinstance(c, str) else c
+    return F.col(quoted(c)) if isinstance(c, str) else c
 
 
 def weighted_mean(x: Column | str, w: Column | str) -> Column:
@@ -21,10 +21,19 @@ def mean_abs(x: Column | str) -> Column:
     return F.avg(F.abs(as_column(x)))
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def present_sql(name: str, dtype: T.DataType) -> str:
+    """SQL text of a column with NaN shown as NULL, so both count as missing."""
+    c = quoted(name)
+    return f"if(isnan({c}), null, {c})" if isinstance(dtype, (T.DoubleType, T.FloatType)) else c
+
+
 def present(name: str, dtype: T.DataType) -> Column:
-    """A column with NaN shown as NULL, so both count as missing."""
-    c = as_column(name)
-    return F.when(~F.isnan(c), c) if isinstance(dtype, (T.DoubleType, T.FloatType)) else c
+    return F.expr(present_sql(name, dtype))
 
 
 def row_hash(keys: Sequence[Column | str], seed: int | str) -> Column:

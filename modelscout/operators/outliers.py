@@ -15,6 +15,7 @@ from modelscout.operators.quantiles import number
 from modelscout.sources.scratch import materialize
 
 MAX_ENDS = 100_000
+SALTS = 256
 
 
 def grubbs_statistic(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -93,17 +94,24 @@ def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(Column.__and__, [a[k].eqNullSafe(b[k]) for k in keys])
 
 
+def _extremes(rows: DataFrame, keys: list[str], ends: int, order: Column) -> DataFrame:
+    """The first ``ends`` rows of each group. A group is ranked in SALTS parts first, so that the survivors of all
+    tasks never meet in one, then the parts' survivors are ranked once more."""
+    parts = rows.select(*keys, "_x", F.pmod(F.xxhash64("_x"), F.lit(SALTS)).alias("_s"))
+    for by in ([*keys, "_s"], keys):
+        if by:
+            rank = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+            parts = parts.withColumn("_r", rank).filter(F.col("_r") <= ends).drop("_r")
+        else:
+            parts = parts.orderBy(order).limit(ends)
+    return parts
+
+
 def _ends_and_core(rows: DataFrame, keys: list[str], ends: int) -> DataFrame:
     """One row per group: arrays of (value, n, mean, m2); value is NULL for the rows between the ends."""
-    shape = [*keys, "_x"]
+    low = _extremes(rows, keys, ends, F.asc("_x"))
+    high = _extremes(rows, keys, ends, F.desc("_x"))
     if keys:
-        parts = Window.partitionBy(*keys)
-        low = rows.select(*shape).withColumn("_r", F.row_number().over(parts.orderBy("_x"))).filter(F.col("_r") <= ends)
-        high = (
-            rows.select(*shape)
-            .withColumn("_r", F.row_number().over(parts.orderBy(F.desc("_x"))))
-            .filter(F.col("_r") <= ends)
-        )
         cuts = (
             low.select(*keys, F.col("_x").alias("_a"), F.lit(None).cast("double").alias("_b"))
             .unionByName(high.select(*keys, F.lit(None).cast("double").alias("_a"), F.col("_x").alias("_b")))
@@ -112,9 +120,7 @@ def _ends_and_core(rows: DataFrame, keys: list[str], ends: int) -> DataFrame:
         )
         cut = rows.join(cuts, _same(rows, cuts, keys)).drop(*[cuts[k] for k in keys])
     else:
-        low = rows.select("_x").orderBy("_x").limit(ends).agg(F.max("_x")).scalar()
-        high = rows.select("_x").orderBy(F.desc("_x")).limit(ends).agg(F.min("_x")).scalar()
-        cut = rows.withColumns({"_a": low, "_b": high})
+        cut = rows.withColumns({"_a": low.agg(F.max("_x")).scalar(), "_b": high.agg(F.min("_x")).scalar()})
     at_end = F.when((F.col("_x") <= F.col("_a")) | (F.col("_x") >= F.col("_b")), F.col("_x"))
     merged = cut.groupBy(*keys, at_end.alias("_v")).agg(
         F.count(F.lit(1)).alias("_n"),

@@ -4,10 +4,19 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
-
-from modelscout.functions.columns import present
-from modelscout.operators.quantiles import DIRECT_ROWS, QUARTILES, exact_quantiles, fractions, literals, number
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from modelscout.functions.columns import present, present_sql
+from modelscout.operators.quantiles import (
+    DIRECT_ROWS,
+    QUARTILES,
+    at_ranks,
+    exact_quantiles,
+    fractions_sql,
+    literal_sql,
+    number_sql,
+    ranked,
+)
 
 NUMERIC, STRING = 1, 2
 SKETCH_ACCURACY = 10_000
@@ -28,22 +37,26 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(F.col(f"`{col}`").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _per_column(df: DataFrame, cols: Sequence[str], aggs: Callable[[str], list[Column]]) -> DataFrame:
+def _per_column(
+    df: DataFrame,
+    cols: Sequence[str],
+    aggs: Callable[[str], str],
+    shape: Callable[[str, DataFrame], DataFrame] = lambda name, counts: counts,
+) -> DataFrame:
     """Union over the columns of: count per value (value, freq), then one row of aggregates over those counts.
 
     Each branch reads its own column only, so a columnar table is read once in all, values keep their types, and
     equal values are merged before the shuffle. One wide multi-distinct aggregate would copy each row per column.
     """
     branches = []
-    for i, name in enumerate(df.columns):
-        if name in cols:
-            counts = (
-                df.select(present(name, df.schema[name].dataType).alias("value"))
-                .groupBy("value")
-                .agg(F.count(F.lit(1)).alias("freq"))
-            )
-            branches.append(counts.agg(*aggs(name)).select(F.lit(i).alias("var_id"), F.lit(name).alias("var_name"), "*"))
-    return reduce(DataFrame.union, branches)
+    for i, f in enumerate(df.schema.fields):
+        if f.name in cols:
+            values = df.selectExpr(f"{present_sql(f.name, f.dataType)} AS value")
+            counts = values.groupBy("value").agg(F.expr("count(1) AS freq"))
+            name = f.name.replace("\\", "\\\\").replace("'", "\\'")
+            row = F.expr(f"struct({i} AS var_id, '{name}' AS var_name, {aggs(f.name)})")
+            branches.append(shape(f.name, counts).agg(row.alias("r")))
+    return reduce(DataFrame.union, branches).select("r.*")
 
 
 def distinct_counts(
@@ -52,10 +65,8 @@ def distinct_counts(
     """Distinct values per column: (var_id, var_name, ds_unique). ``count_null`` counts missing as one value."""
     cols = list(df.columns if cols is None else cols)
     if exact:
-        kinds = F.count("value")
-        if count_null:
-            kinds = F.count(F.lit(1))
-        return _per_column(df, cols, lambda c: [kinds.alias("ds_unique")])
+        kinds = "count(1)" if count_null else "count(value)"
+        return _per_column(df, cols, lambda c: f"{kinds} AS ds_unique")
     ids = [(i, c, present(c, df.schema[c].dataType)) for i, c in enumerate(df.columns) if c in cols]
     rows = []
     for i, c, v in ids:
@@ -71,9 +82,8 @@ def top_value(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     unless ``cols`` says otherwise."""
     kinds = classify(df.schema)
     cols = [c for c in df.columns if kinds[c] == STRING] if cols is None else list(cols)
-    text = F.col("value").cast("string")
-    best = F.min(F.when(F.col("value").isNotNull(), F.struct((-F.col("freq")).alias("neg"), text.alias("top"))))
-    found = _per_column(df, cols, lambda c: [best.alias("best")])
+    best = "min(if(value IS NULL, null, struct(-freq AS neg, cast(value AS string) AS top))) AS best"
+    found = _per_column(df, cols, lambda c: best)
     return found.select("var_id", "var_name", F.col("best.top").alias("top"), (-F.col("best.neg")).alias("freq"))
 
 
@@ -94,7 +104,6 @@ def profile(
     df: DataFrame,
     exact: bool = True,
     count_null: bool = False,
-    rows: int | None = None,
     direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """One summary row per column, in the layout of the ``dataset_summary`` table.
@@ -105,51 +114,44 @@ def profile(
     """
     kinds = classify(df.schema)
     numeric = [c for c in df.columns if kinds[c] == NUMERIC]
-    nothing = F.lit(None).cast("double")
-    nowhere = F.array(nothing, nothing, nothing)
-    quartiles: dict[str, Column] = {}
+    nothing = "cast(null AS double)"
+    nowhere = literal_sql([None] * 3)
+    quartiles: dict[str, str] = {}
     direct = False
     if exact:
-        direct = not numeric or (df.count() if rows is None else rows) <= direct_rows
+        sizes = df.agg(F.expr("count(1)"), *[F.expr(f"count({number_sql(df, c)})") for c in numeric]).first()
+        direct = sizes[0] <= direct_rows
         if not direct:
-            quartiles = literals(exact_quantiles(df, numeric, QUARTILES, direct_rows))
+            quartiles = {c: literal_sql(v) for c, v in exact_quantiles(df, numeric, QUARTILES).items()}
     else:
-        quartiles = {c: F.percentile_approx(number(df, c), fractions(QUARTILES), SKETCH_ACCURACY) for c in numeric}
+        sketch = f"{fractions_sql(QUARTILES)}, {SKETCH_ACCURACY}"
+        quartiles = {c: f"percentile_approx({number_sql(df, c)}, {sketch})" for c in numeric}
 
     summary = []
     for i, f in enumerate(df.schema.fields):
         mean = std = low = high = nothing
         if kinds[f.name] == NUMERIC:
-            x = number(df, f.name)
-            mean, std, low, high = F.avg(x), F.stddev_samp(x), F.min(x), F.max(x)
+            x = number_sql(df, f.name)
+            mean, std, low, high = f"avg({x})", f"stddev_samp({x})", f"min({x})", f"max({x})"
+        q = "" if direct else f", {quartiles.get(f.name, nowhere)} AS q"
         summary.append(
-            F.struct(
-                F.lit(i).alias("var_id"),
-                F.lit(f.name).alias("var_name"),
-                F.lit(kinds[f.name]).alias("var_type"),
-                F.count(present(f.name, f.dataType)).alias("ds_count"),
-                mean.alias("ds_mean"),
-                std.alias("ds_std"),
-                low.alias("ds_min"),
-                high.alias("ds_max"),
-                *([] if direct else [quartiles.get(f.name, nowhere).alias("q")]),
-            )
+            f"struct({i} AS var_id, {kinds[f.name]} AS var_type, count({present_sql(f.name, f.dataType)}) AS ds_count, "
+            f"{mean} AS ds_mean, {std} AS ds_std, {low} AS ds_min, {high} AS ds_max{q})"
         )
-    moments = df.agg(F.array(*summary).alias("r")).select(F.inline("r"))
+    moments = df.agg(F.expr(f"array({', '.join(summary)})").alias("r")).select(F.inline("r"))
 
     if direct:
-        unique = F.count(F.lit(1)) if count_null else F.count("value")
-
-        def merged(c: str) -> list[Column]:
-            x = F.col("value").cast("double")
-            q = F.percentile(x, fractions(QUARTILES), F.col("freq")) if kinds[c] == NUMERIC else nowhere
-            return [unique.alias("ds_unique"), q.alias("q")]
-
-        values = _per_column(df, df.columns, merged)
+        unique = "count(1)" if count_null else "count(value)"
+        held = dict(zip(numeric, sizes[1:]))
+        values = _per_column(
+            df,
+            df.columns,
+            lambda c: f"{unique} AS ds_unique, {at_ranks(held[c], QUARTILES) if c in held else nowhere} AS q",
+            lambda c, counts: ranked(counts) if c in held else counts,
+        )
     else:
         values = distinct_counts(df, count_null=count_null, exact=exact)
-    return moments.join(values.drop("var_name"), "var_id").select(
+    return moments.join(values, "var_id").selectExpr(
         "var_id", "var_name", "var_type", "ds_count", "ds_unique", "ds_mean", "ds_std", "ds_min",
-        *[F.get("q", F.lit(j)).alias(n) for j, n in enumerate(("ds_25", "ds_50", "ds_75"))],
-        "ds_max",
+        "q[0] AS ds_25", "q[1] AS ds_50", "q[2] AS ds_75", "ds_max",
     )

@@ -3,19 +3,25 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from modelscout.functions.columns import present
+from modelscout.functions.columns import present_sql
 
 QUARTILES = (0.25, 0.5, 0.75)
-# `percentile` keeps one map entry per distinct value of its input, so its input must be of a known size.
+# Up to this many rows the values of a column may meet in one task.
 DIRECT_ROWS = 1_000_000
-ACCURACY = 10_000
+BINS = 1_024
+
+
+def number_sql(df: DataFrame, name: str) -> str:
+    return f"cast({present_sql(name, df.schema[name].dataType)} AS double)"
 
 
 def number(df: DataFrame, name: str) -> Column:
-    return present(name, df.schema[name].dataType).cast("double")
+    """A numeric column as double, NaN shown as NULL."""
+    return F.expr(number_sql(df, name))
 
 
 def quantile_columns(
@@ -35,106 +41,131 @@ def quantile_columns(
     rows = df.count() if rows is None else rows
     if rows <= direct_rows:
         return {c: F.percentile(number(df, c), fractions(probs)) for c in cols}
-    return literals(exact_quantiles(df, cols, probs, direct_rows))
+    return {c: F.expr(literal_sql(v)) for c, v in exact_quantiles(df, cols, probs).items()}
+
+
+def ranked(counts: DataFrame) -> DataFrame:
+    """Merged values (value, freq) with the running number of non-missing rows; for up to DIRECT_ROWS values."""
+    running = "sum(if(value IS NULL, 0, freq)) OVER (ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return counts.selectExpr("value", "freq", f"{running} AS upto")
+
+
+def at_ranks(n: int, probs: Sequence[float]) -> str:
+    """SQL text of an aggregate over :func:`ranked` rows: array of the quantiles of ``n`` non-missing rows."""
+    out = []
+    for p in probs:
+        rank = p * (n - 1)
+        low, high = (
+            f"min(if(upto > {r}, cast(value AS double), null))" for r in (math.floor(rank), math.ceil(rank))
+        )
+        out.append(f"{low} + ({high} - {low}) * {rank - math.floor(rank)!r}D")
+    return f"array({', '.join(out)})"
+
+
+def fractions_sql(probs: Sequence[float]) -> str:
+    return f"array({', '.join(f'{float(p)!r}D' for p in probs)})"
 
 
 def fractions(probs: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(p)) for p in probs])
+    return F.expr(fractions_sql(probs))
 
 
-def literals(found: dict[str, list[float | None]]) -> dict[str, Column]:
-    return {c: F.array(*[F.lit(v).cast("double") for v in values]) for c, values in found.items()}
+def literal_sql(values: list[float | None]) -> str:
+    return f"array({', '.join('cast(null AS double)' if v is None else f'{v!r}D' for v in values)})"
 
 
 def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUARTILES, direct_rows: int = DIRECT_ROWS
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUARTILES, bins: int = BINS
 ) -> dict[str, list[float | None]]:
-    """Quantiles by narrowing a bracket around every wanted rank.
+    """Quantiles by narrowing: count the values of each column in equal-width bins, look into the bin that holds the
+    wanted rank, and so on until the values at the rank are singled out.
 
-    Each round is a single map-side aggregation over all columns at once: it counts the values below and inside each
-    bracket, and a quantile sketch proposes the next bracket. Nothing is shuffled but one row per task. A bracket
-    is settled when at most ``direct_rows`` values, or as many distinct ones, lie inside it.
+    A round reads each column once and brings back at most ``bins`` rows per open rank; nothing else is shuffled,
+    whatever the table size or the skew. Every round divides the range by ``bins``. A round that hardly divides the
+    rows (a long tail) is followed by one with bins on a logarithmic scale.
     """
     x = {c: number(df, c) for c in cols}
-
-    start = 2.0 / ACCURACY
-
-    def around(p: float, slack: float) -> list[float]:
-        return [max(0.0, p - slack), min(1.0, p + slack)]
-
-    everywhere = fractions([e for p in probs for e in around(p, start)])
-    first = df.agg(
-        *[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)],
-        *[F.min(x[c]).alias(f"lo{i}") for i, c in enumerate(cols)],
-        *[F.max(x[c]).alias(f"hi{i}") for i, c in enumerate(cols)],
-        *[F.percentile_approx(x[c], everywhere, ACCURACY).alias(f"q{i}") for i, c in enumerate(cols)],
-    ).first()
-
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    todo = []
+    ends = df.agg(
+        *[f(x[c]).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+    ).first()
+    # a bracket: column, closed value range, rows below it, rows inside, scale of its bins
+    todo: dict[tuple, list[int]] = {}
     for i, c in enumerate(cols):
-        for j, p in enumerate(probs):
-            if first[f"n{i}"]:
-                a, b = first[f"q{i}"][2 * j : 2 * j + 2]
-                todo.append(
-                    dict(c=c, j=j, rank=p * (first[f"n{i}"] - 1), a=a, b=b, slack=start,
-                         wide=(first[f"lo{i}"], first[f"hi{i}"]))
-                )
-
-    ready = []
+        if ends[f"n{i}"]:
+            todo[c, ends[f"lo{i}"], ends[f"hi{i}"], 0, ends[f"n{i}"], False] = list(range(len(probs)))
+    sizes = {c: ends[f"n{i}"] for i, c in enumerate(cols)}
+
     while todo:
-        inside = [F.when(x[t["c"]].between(t["a"], t["b"]), x[t["c"]]) for t in todo]
-        seen = df.agg(
-            *[F.count_if(x[t["c"]] < t["a"]).alias(f"below{k}") for k, t in enumerate(todo)],
-            *[F.count(v).alias(f"in{k}") for k, v in enumerate(inside)],
-            *[F.approx_count_distinct(v).alias(f"kinds{k}") for k, v in enumerate(inside)],
-        ).first()
-        open_ = []
-        for k, t in enumerate(todo):
-            t["below"], t["in"] = seen[f"below{k}"], seen[f"in{k}"]
-            low, high = math.floor(t["rank"]), math.ceil(t["rank"])
-            if low < t["below"]:
-                t["a"], t["narrow"], t["slack"] = t["wide"][0], False, 4 * t["slack"]
-                open_.append(t)
-            elif high >= t["below"] + t["in"]:
-                t["b"], t["narrow"], t["slack"] = t["wide"][1], False, 4 * t["slack"]
-                open_.append(t)
-            elif min(t["in"], 2 * seen[f"kinds{k}"]) <= direct_rows or t.get("stuck"):
-                ready.append(t)
-            else:
-                t["narrow"] = True
-                open_.append(t)
-        todo = open_
-        shrink = [t for t in todo if t["narrow"]]
-        if shrink:
-            props = df.agg(
-                *[
-                    F.percentile_approx(
-                        F.when(x[t["c"]].between(t["a"], t["b"]), x[t["c"]]),
-                        # at least two ranks to either side, so that both neighbours of the rank stay inside
-                        fractions(
-                            around((t["rank"] - t["below"]) / max(1, t["in"] - 1), max(t["slack"], 2.0 / t["in"]))
-                        ),
-                        ACCURACY,
-                    ).alias(f"q{k}")
-                    for k, t in enumerate(shrink)
-                ]
-            ).first()
-            for k, t in enumerate(shrink):
-                a, b = props[f"q{k}"]
-                t["stuck"] = (a, b) == (t["a"], t["b"])
-                t["wide"], t["a"], t["b"] = (t["a"], t["b"]), a, b
-
-    if ready:
-        final = df.agg(
-            *[
-                F.percentile(
-                    F.when(x[t["c"]].between(t["a"], t["b"]), x[t["c"]]),
-                    (t["rank"] - t["below"]) / (t["in"] - 1) if t["in"] > 1 else 0.0,
-                ).alias(f"v{k}")
-                for k, t in enumerate(ready)
-            ]
-        ).first()
-        for k, t in enumerate(ready):
-            out[t["c"]][t["j"]] = final[f"v{k}"]
+        brackets = list(todo)
+        found = _bin_counts(df, x, brackets, bins).collect()
+        per_bracket: dict[int, list] = {k: [] for k in range(len(brackets))}
+        for row in found:
+            per_bracket[row["k"]].append(row)
+        following: dict[tuple, list[int]] = {}
+        for k, bracket in enumerate(brackets):
+            c, _, _, below, inside, logarithmic = bracket
+            rows = sorted(per_bracket[k], key=lambda r: r["bin"])
+            for j in todo[bracket]:
+                rank = probs[j] * (sizes[c] - 1)
+                low, high = math.floor(rank), math.ceil(rank)
+                value, nested = _look_up(rows, below, low, high)
+                if nested is None:
+                    a, b = value
+                    out[c][j] = a + (b - a) * (rank - low) if b > a else a
+                else:
+                    r, before = nested
+                    scale = (not logarithmic) if r["n"] * 4 > inside else logarithmic
+                    following.setdefault((c, r["lo"], r["hi"], before, r["n"], scale), []).append(j)
+        todo = following
     return out
+
+
+def _bin_counts(df: DataFrame, x: dict[str, Column], brackets: list[tuple], bins: int) -> DataFrame:
+    """(k, bin, n, lo, hi) for every bracket; one branch per column, its brackets being disjoint."""
+    branches = []
+    for c in {b[0]: None for b in brackets}:
+        mine = [(k, b) for k, b in enumerate(brackets) if b[0] == c]
+        v = F.col("v")
+        which, spot = F.lit(None).cast("int"), F.lit(None).cast("bigint")
+        for k, (_, lo, hi, _, _, logarithmic) in mine:
+            t, t_lo, t_hi = (_log_scale(v), _log_of(lo), _log_of(hi)) if logarithmic else (v, lo, hi)
+            width = (t_hi - t_lo) / bins
+            at = F.floor((t - F.lit(t_lo)) / F.lit(width)) if width > 0 else F.lit(0).cast("bigint")
+            here = v.between(lo, hi)
+            which = F.when(here, F.lit(k)).otherwise(which)
+            spot = F.when(here, F.greatest(F.least(at, F.lit(bins - 1)), F.lit(0))).otherwise(spot)
+        values = df.select(x[c].alias("v")).filter(v.between(min(b[1] for _, b in mine), max(b[2] for _, b in mine)))
+        branches.append(
+            values.select("v", which.alias("k"), spot.alias("bin"))
+            .filter(F.col("k").isNotNull())
+            .groupBy("k", "bin")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        )
+    return reduce(DataFrame.union, branches)
+
+
+def _log_scale(v: Column) -> Column:
+    return F.signum(v) * F.log1p(F.abs(v))
+
+
+def _log_of(v: float) -> float:
+    return math.copysign(math.log1p(abs(v)), v)
+
+
+def _look_up(rows: list, below: int, low: int, high: int):
+    """The two values at ranks ``low`` and ``high``, or the bin that holds both and the rows before it."""
+    values = []
+    before = below
+    for r in rows:
+        after = before + r["n"]
+        for rank in (low, high):
+            if before <= rank < after:
+                if r["lo"] == r["hi"] or rank == before:
+                    values.append(r["lo"])
+                elif rank == after - 1:
+                    values.append(r["hi"])
+                else:
+                    return None, (r, before)
+        before = after
+    return values, None

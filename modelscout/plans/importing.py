@@ -30,7 +30,7 @@ def import_dataset(
     write_table(read_table(spark, src, fmt, **read_options), path, mode="overwrite")
     df = read_table(spark, path)
     rows = df.count()
-    store.append("dataset_summary", profile(df, exact=exact, rows=rows).withColumn("dataset_id", F.lit(id)))
+    store.append("dataset_summary", profile(df, exact=exact).withColumn("dataset_id", F.lit(id)))
     now = now_pacific()
     store.append(
         "dataset",
