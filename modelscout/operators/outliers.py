@@ -14,8 +14,9 @@ from modelscout.functions.student import grubbs_rejects
 from modelscout.operators.quantiles import number
 from modelscout.sources.scratch import materialize
 
-MAX_ENDS = 100_000
 SALTS = 256
+# Spark prunes ranks before a shuffle up to this limit (spark.sql.optimizer.windowGroupLimitThreshold).
+MAX_ENDS = 1_000
 
 
 def grubbs_statistic(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -41,14 +42,14 @@ def grubbs_statistic(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFra
 
 
 def grubbs_outliers(
-    df: DataFrame, col: str, alpha: float = 0.01, by: Sequence[str] = (), ends: int = 1_000
+    df: DataFrame, col: str, alpha: float = 0.01, by: Sequence[str] = (), ends: int = MAX_ENDS
 ) -> DataFrame:
     """Values removed by the repeated test: (by..., step, value, copies, g), steps in order of removal.
 
     The value removed is always the current minimum or maximum, so a group is described by the distinct values of
-    its two ends (at most ``ends`` rows deep each) and the moments of everything in between. Equal values fall
+    its two ends (at first ``ends`` rows deep) and the moments of everything in between. Equal values fall
     together: taking away a copy moves the mean further off, hence ``copies``. A group that uses up an end goes
-    into another round over its remaining rows, with deeper ends up to a fixed bound. Missing values are ignored;
+    into another round over its remaining rows, with ends about SALTS times deeper. Missing values are ignored;
     the test stops below three values or at zero spread.
     """
     by = list(by)
@@ -62,20 +63,21 @@ def grubbs_outliers(
         ).fields
     )
     start = {"_step": F.lit(0).cast("bigint"), "_low": F.lit(-math.inf), "_high": F.lit(math.inf)}
+    ends, deep = min(ends, MAX_ENDS), False
     removed, left = [], rows.withColumns(start)
     while True:
-        ended = _ends_and_core(left, keys, ends)
+        ended = _ends_and_core(left, keys, ends, deep)
         walked = materialize(ended.mapInPandas(_walker(keys, alpha), kind), "grubbs")
         removed.append(walked.filter(F.col("value").isNotNull()))
         open_ = walked.filter(F.col("value").isNull() & F.col("open"))
         if open_.isEmpty():
             break
-        ends = min(ends * 8, MAX_ENDS)
+        deep = True
         if keys:
             state = open_.select(
                 *keys, F.col("step").alias("_step"), F.col("low").alias("_low"), F.col("high").alias("_high")
             )
-            left = rows.join(state, _same(rows, state, keys)).drop(*[state[k] for k in keys])
+            left = _with(rows, state, keys)
         else:
             state = open_.first()
             left = rows.withColumns(
@@ -90,37 +92,43 @@ def grubbs_outliers(
     return found.select(*[F.col(k).alias(b) for b, k in zip(by, keys)], "step", "value", "copies", "g")
 
 
-def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(Column.__and__, [a[k].eqNullSafe(b[k]) for k in keys])
+def _with(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on the group keys, a missing key being a group of its own."""
+    b = b.withColumnsRenamed({k: f"{k}_" for k in keys})
+    return a.join(b, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])).drop(
+        *[f"{k}_" for k in keys]
+    )
 
 
-def _extremes(rows: DataFrame, keys: list[str], ends: int, order: Column) -> DataFrame:
-    """The first ``ends`` rows of each group. A group is ranked in SALTS parts first, so that the survivors of all
-    tasks never meet in one, then the parts' survivors are ranked once more."""
-    parts = rows.select(*keys, "_x", F.pmod(F.xxhash64("_x"), F.lit(SALTS)).alias("_s"))
-    for by in ([*keys, "_s"], keys):
-        if by:
-            rank = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-            parts = parts.withColumn("_r", rank).filter(F.col("_r") <= ends).drop("_r")
-        else:
-            parts = parts.orderBy(order).limit(ends)
-    return parts
+def _cut(rows: DataFrame, keys: list[str], ends: int, order: Column, deep: bool, out: str) -> DataFrame:
+    """The value at which an end of each group stops: (keys..., out).
+
+    A group is ranked in SALTS parts, each pruned to ``ends`` rows before and after its shuffle, so the rows of a
+    group never meet in one task. Then either the survivors are ranked once more, or, for a ``deep`` end, the cut is
+    the first place where a part was pruned: up to there every row survived.
+    """
+    def nth(by: list[str], df: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+        return df.withColumn("_r", rank).filter(F.col("_r") <= ends).drop("_r")
+
+    furthest, nearest = (F.max, F.min) if out == "_a" else (F.min, F.max)
+    parts = nth([*keys, "_s"], rows.select(*keys, "_x", F.pmod(F.xxhash64("_x"), F.lit(SALTS)).alias("_s")))
+    if deep:
+        per_part = parts.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_n"), furthest("_x").alias("_x"))
+        pruned = nearest(F.when(F.col("_n") == ends, F.col("_x")))
+        return per_part.groupBy(*keys).agg(F.coalesce(pruned, furthest("_x")).alias(out))
+    survivors = nth(keys, parts) if keys else parts.orderBy(order).limit(ends)
+    return survivors.groupBy(*keys).agg(furthest("_x").alias(out))
 
 
-def _ends_and_core(rows: DataFrame, keys: list[str], ends: int) -> DataFrame:
+def _ends_and_core(rows: DataFrame, keys: list[str], ends: int, deep: bool) -> DataFrame:
     """One row per group: arrays of (value, n, mean, m2); value is NULL for the rows between the ends."""
-    low = _extremes(rows, keys, ends, F.asc("_x"))
-    high = _extremes(rows, keys, ends, F.desc("_x"))
+    low = _cut(rows, keys, ends, F.asc("_x"), deep, "_a")
+    high = _cut(rows, keys, ends, F.desc("_x"), deep, "_b")
     if keys:
-        cuts = (
-            low.select(*keys, F.col("_x").alias("_a"), F.lit(None).cast("double").alias("_b"))
-            .unionByName(high.select(*keys, F.lit(None).cast("double").alias("_a"), F.col("_x").alias("_b")))
-            .groupBy(*keys)
-            .agg(F.max("_a").alias("_a"), F.min("_b").alias("_b"))
-        )
-        cut = rows.join(cuts, _same(rows, cuts, keys)).drop(*[cuts[k] for k in keys])
+        cut = _with(rows, _with(low, high, keys), keys)
     else:
-        cut = rows.withColumns({"_a": low.agg(F.max("_x")).scalar(), "_b": high.agg(F.min("_x")).scalar()})
+        cut = rows.withColumns({"_a": low.scalar(), "_b": high.scalar()})
     at_end = F.when((F.col("_x") <= F.col("_a")) | (F.col("_x") >= F.col("_b")), F.col("_x"))
     merged = cut.groupBy(*keys, at_end.alias("_v")).agg(
         F.count(F.lit(1)).alias("_n"),

@@ -6,7 +6,7 @@ from functools import reduce
 from typing import NamedTuple
 
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from modelscout.functions.columns import as_column, present, row_hash, weighted_mean as weighted_mean_of
 
@@ -127,12 +127,15 @@ def levels(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS) ->
     cols = list(cols)
     if not cols:
         return {}
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), as_column(c).cast("string").alias("v")) for i, c in enumerate(cols)])
-    seen = df.select(F.inline(pairs)).filter(F.col("v").isNotNull()).distinct()
-    ranked = seen.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("v")))
     out: dict[str, list] = {c: [] for c in cols}
-    for row in ranked.filter(F.col("r") <= max_levels + 1).orderBy("i", "r").collect():
+    branches = []
+    for i, c in enumerate(cols):
+        values = df.select(as_column(c).cast("string").alias("v")).filter(F.col("v").isNotNull()).distinct()
+        branches.append(values.limit(max_levels + 1).select(F.lit(i).alias("i"), "v"))
+    for row in reduce(DataFrame.union, branches).collect():
         out[cols[row["i"]]].append(row["v"])
+    for found in out.values():
+        found.sort()
     wide = [c for c, v in out.items() if len(v) > max_levels]
     if wide:
         raise ValueError(f"more than {max_levels} levels in {wide}: mark these columns unused or raise max_levels")
