@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from modelscout.functions.columns import as_column, present, row_hash, weighted_mean as weighted_mean_of
+from modelscout.functions.columns import as_column, present_sql, row_hash, weighted_mean as weighted_mean_of
 
 MAX_LEVELS = 1_000
 
@@ -190,17 +190,16 @@ def one_hot_sparse(train: DataFrame, *others: DataFrame, col: str, out: str) ->
     return [encoder.transform(df).drop("_index") for df in indexed]
 
 
-def columns_to_impute(train: DataFrame, test: DataFrame) -> list[str]:
-    """Numeric columns with a missing value on either side; one aggregate per side."""
-    numeric = [f for f in train.schema.fields if isinstance(f.dataType, T.NumericType)]
+def columns_to_impute(*frames: DataFrame) -> list[str]:
+    """Numeric columns with a missing value in any of the frames; one aggregate per frame."""
+    numeric = [f for f in frames[0].schema.fields if isinstance(f.dataType, T.NumericType)]
     if not numeric:
         return []
-
-    def gaps(df: DataFrame):
-        return df.agg(*[F.count_if(present(f.name, f.dataType).isNull()) for f in numeric]).first()
-
-    a, b = gaps(train), gaps(test)
-    return [f.name for i, f in enumerate(numeric) if a[i] or b[i]]
+    gaps = [
+        df.agg(*[F.expr(f"count_if({present_sql(f.name, f.dataType)} IS NULL)") for f in numeric]).first()
+        for df in frames
+    ]
+    return [f.name for i, f in enumerate(numeric) if any(g[i] for g in gaps)]
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:

@@ -71,8 +71,9 @@ def prepare(
             known = levels(a if levels_from == "train" else df, chosen.categories, max_levels)
             a, b = (one_hot(side, chosen.categories, levels_of=known) for side in (a, b))
     columns = [c for c in a.columns if c != LABEL]
-    if impute:
-        gaps = [c for c in columns_to_impute(a, b) if c != LABEL]
+    if impute and set(columns) & set(chosen.features):
+        # the two sides make up the table, so one look at it tells the gaps of both
+        gaps = columns_to_impute(chosen.df.select([as_column(c) for c in columns if c in set(chosen.features)]))
         if gaps:
             both = a.withColumn("_test", F.lit(False)).unionByName(b.withColumn("_test", F.lit(True)))
             filled = KnnImpute(gaps).fit(a).transform(both)
