@@ -13,9 +13,11 @@ from modelscout.operators.quantiles import number
 from modelscout.sources.scratch import materialize
 
 LEAF_ROWS = 512
-MAX_LEAVES = 4_096
+MAX_LEAVES = 16_384
 MAX_PATTERNS = 64
-SAMPLE_ROWS = 100_000
+SAMPLE_ROWS = 200_000
+# receivers x leaves that are looked at together in a task
+LOOK_CELLS = 4_000_000
 
 
 class KnnImpute:
@@ -181,7 +183,8 @@ class KnnImputeModel:
         """The projections of a leaf as flat arrays of at most about ``leaf_rows`` entries: coordinates, then the
         values of every column padded with NaN."""
         k, d, axes = self.params.k, len(self.axes), self.axes
-        parts = F.get(F.array(*[F.lit(int(-(-n // self.params.leaf_rows))) for n in boxes.rows]), F.col("_leaf"))
+        numbers = ", ".join(str(int(-(-n // self.params.leaf_rows))) for n in boxes.rows)
+        parts = F.get(F.expr(f"array({numbers})"), F.col("_leaf"))
         nan = F.lit(float("nan"))
 
         def padded(c: int) -> list[Column]:
@@ -291,8 +294,9 @@ def receiver_blocks(batches, patterns: list[tuple], one_tree: bool, boxes: Boxes
                 continue
             leaves = np.flatnonzero(boxes.group == (0 if one_tree else number_of[tuple(pattern.tolist())]))
             rows = np.flatnonzero(which == i)
-            for start in range(0, len(rows), 1024):
-                part = points[rows[start : start + 1024]]
+            step = max(16, LOOK_CELLS // max(1, len(leaves)))
+            for start in range(0, len(rows), step):
+                part = points[rows[start : start + step]]
                 wanted = candidate_leaves(part, pattern, boxes, leaves, k)
                 for at in np.flatnonzero(wanted.any(axis=0)):
                     leaf_rows.setdefault(int(leaves[at]), []).append(part[wanted[:, at]])

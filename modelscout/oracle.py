@@ -241,10 +241,10 @@ ORACLE = {
         'o_custkey, o_orderstatus, o_totalprice' AS features FROM o""",
     "derived_flags_pipeline": """WITH items AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS p_name, p_type AS kind
         FROM part WHERE p_type <> 'SMALL' AND p_size BETWEEN 10 AND 40),
-      sales AS (SELECT l_partkey, round(avg(l_extendedprice), 2) AS price, sum(l_quantity) AS sold FROM lineitem
-        WHERE l_partkey % 10 <> 0 GROUP BY l_partkey),
+      sales AS (SELECT l_partkey, max(l_extendedprice) AS price, sum(l_quantity) AS sold FROM lineitem
+        WHERE l_tax = 0 GROUP BY l_partkey),
       j AS (SELECT p_partkey, p_name, kind, price, sold FROM items JOIN sales ON l_partkey = p_partkey),
-      t AS (SELECT sum(price * sold) / sum(sold) AS a, avg(sold) AS b, sum(54000 * sold) / sum(sold) AS c FROM j)
+      t AS (SELECT sum(price * sold) / sum(sold) AS a, avg(sold) AS b, sum(80000 * sold) / sum(sold) AS c FROM j)
       SELECT p_partkey, p_name, kind, price, sold, CASE WHEN price >= a THEN 1 ELSE 0 END AS price_high,
         CASE WHEN sold >= b THEN 1 ELSE 0 END AS sold_high, CASE WHEN price >= c THEN 1 ELSE 0 END AS price_above
       FROM j, t""",

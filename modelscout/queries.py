@@ -374,12 +374,12 @@ def derived_flags_pipeline(spark, sf):
     )
     items = prep.explode_delimited(prep.drop_sentinel(parts, ["kind"]), "p_name", " ")
     kept = prep.filter_between(items, "p_size", 10, 40).select("p_partkey", "p_name", "kind")
-    lines = table(spark, sf, "lineitem").filter(F.col("l_partkey") % 10 != 0)
-    sales = lines.groupBy(F.col("l_partkey").alias("p_partkey")).agg(
-        F.round(F.avg("l_extendedprice"), 2).alias("price"), F.sum("l_quantity").alias("sold")
+    untaxed = table(spark, sf, "lineitem").filter(F.col("l_tax") == 0)
+    sales = untaxed.groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+        F.max("l_extendedprice").alias("price"), F.sum("l_quantity").alias("sold")
     )
     whole = prep.drop_incomplete(prep.enrich(kept, sales, "p_partkey"))
-    return derived.rating_flags(whole, "price", "sold", ("price_high", "sold_high", "price_above"), 54000)
+    return derived.rating_flags(whole, "price", "sold", ("price_high", "sold_high", "price_above"), 80000)
 
 
 # ---- result tables --------------------------------------------------------------------------------------------
