@@ -239,7 +239,7 @@ ORACLE = {
         CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS "o_orderstatus_O",
         CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS "o_orderstatus_P", side,
         'o_custkey, o_orderstatus, o_totalprice' AS features FROM o""",
-    "derived_flags_pipeline": """WITH items AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS p_name, p_type AS kind
+    "derived_flags": """WITH items AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS p_name, p_type AS kind
         FROM part WHERE p_type <> 'SMALL' AND p_size BETWEEN 10 AND 40),
       sales AS (SELECT l_partkey, max(l_extendedprice) AS price, sum(l_quantity) AS sold FROM lineitem
         WHERE l_tax = 0 GROUP BY l_partkey),

@@ -368,7 +368,7 @@ def prepare_features(spark, sf):
     return rounded(sides.withColumn("features", F.lit(", ".join(p.features))), 2)
 
 
-def derived_flags_pipeline(spark, sf):
+def derived_flags(spark, sf):
     parts = table(spark, sf, "part").withColumn(
         "kind", F.when(F.col("p_type") == "SMALL", "\\N").otherwise(F.col("p_type"))
     )
@@ -510,7 +510,7 @@ QUERIES = {
         value_counts, histogram_numeric, box_stats, preview, sample_about, grubbs_statistic, grubbs_outliers,
         select_features, drop_sentinel, filter_between, cast_columns, drop_incomplete, flag_weighted_mean, flag_mean,
         flag_constant, weighted_mean, left_join, explode_delimited, train_test_split, one_hot, one_hot_aligned,
-        columns_to_impute, knn_impute, prepare_features, derived_flags_pipeline, leaderboard_join,
+        columns_to_impute, knn_impute, prepare_features, derived_flags, leaderboard_join,
         best_model_per_experiment, experiment_table, algorithm_catalogue, shap_ranking, confusion_counts,
         binary_metrics, weighted_metrics, auc_score, auc_hard_label, linear_shap_fixed_weights, linear_shap, tree_shap,
         shap_values, run_experiment,
