@@ -54,9 +54,9 @@ def drop_incomplete(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
 
 
 def explode_delimited(df: DataFrame, col: str, sep: str = ",") -> DataFrame:
-    """One row per item of a delimited text column; the separator is literal text."""
+    """One row per item of a delimited text column; the separator is literal text. A missing value stays one row."""
     items = F.split(as_column(col), "\\Q" + sep + "\\E")
-    return df.withColumn(col, F.explode(items))
+    return df.withColumn(col, F.explode_outer(items))
 
 
 def enrich(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -119,7 +119,7 @@ def split(
 
 
 def levels(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS) -> dict[str, list]:
-    """Sorted distinct non-missing values of each column, as text.
+    """Sorted distinct non-missing values of each column, as text; numbers sort as numbers.
 
     Raises when a column has more than ``max_levels``: such a column belongs among the unused ones or goes through
     :func:`one_hot_sparse`. At most ``max_levels + 1`` values per column reach the driver.
@@ -130,12 +130,13 @@ def levels(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS) ->
     out: dict[str, list] = {c: [] for c in cols}
     branches = []
     for i, c in enumerate(cols):
-        values = df.select(as_column(c).cast("string").alias("v")).filter(F.col("v").isNotNull()).distinct()
+        text = f"cast({present_sql(c, df.schema[c].dataType)} AS string) AS v"
+        values = df.selectExpr(text).filter(F.col("v").isNotNull()).distinct()
         branches.append(values.limit(max_levels + 1).select(F.lit(i).alias("i"), "v"))
     for row in reduce(DataFrame.union, branches).collect():
         out[cols[row["i"]]].append(row["v"])
-    for found in out.values():
-        found.sort()
+    for c, found in out.items():
+        found.sort(key=float if isinstance(df.schema[c].dataType, T.NumericType) else None)
     wide = [c for c, v in out.items() if len(v) > max_levels]
     if wide:
         raise ValueError(f"more than {max_levels} levels in {wide}: mark these columns unused or raise max_levels")

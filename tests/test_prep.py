@@ -67,6 +67,18 @@ def test_one_hot(make):
         prep.one_hot(df, ["k"], max_levels=2)
 
 
+def test_numeric_levels_sort_as_numbers(make):
+    df = make([(10, 0.5), (2, float("nan")), (None, -1.0), (9, 0.5)], "k int, x double")
+    assert prep.levels(df, ["k", "x"]) == {"k": ["2", "9", "10"], "x": ["-1.0", "0.5"]}
+    assert prep.one_hot(df, ["k"]).columns == ["x", "k_9", "k_10"]
+
+
+def test_explode_keeps_missing_rows(make):
+    df = make([(1, "a|b"), (2, None), (3, "c")], "id int, t string")
+    got = {tuple(r) for r in prep.explode_delimited(df, "t", "|").collect()}
+    assert got == {(1, "a"), (1, "b"), (2, None), (3, "c")}
+
+
 def test_one_hot_aligned(make):
     train = make([("a",), ("b",), ("c",)], "k string")
     test = make([("b",), ("c",), ("d",)], "k string")
