@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the folder named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, a laptop) gets a temporary folder of its own.
+    Only a session in one process (tests, a laptop) that has no such setting gets a temporary folder of its own. On a
+    cluster a missing setting is an error: each machine would write to its own disk, and a read would give a part.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="modelscout-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/modelscout-{label}-{uuid.uuid4().hex}"
