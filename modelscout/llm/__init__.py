@@ -1,5 +1,13 @@
 """Operators of a training-data pipeline and their queries. Nothing else in the library imports this package."""
 from modelscout.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from modelscout.llm.quality import op5_quality
+from modelscout.llm.secret_scan import op4_secret_scan
+from modelscout.llm.url_filter import OP2_SQL, op2_url_filter
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup}
-ORACLE = {"op7_exact_dedup": OP7_SQL}
+QUERIES = {
+    "op2_url_filter": op2_url_filter,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_quality": op5_quality,
+    "op7_exact_dedup": op7_exact_dedup,
+}
+ORACLE = {"op2_url_filter": OP2_SQL, "op7_exact_dedup": OP7_SQL}
