@@ -89,7 +89,7 @@ def _slice_statistics(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         np.sqrt(share["bars"] / some),
         np.sqrt(share["wide"] / some),
         np.sqrt(np.bincount(doc, weights=same, minlength=n)[:n] / words),
-        np.log1p(distinct) / np.maximum(np.log1p(count), 1),
+        np.log1p(distinct) / np.maximum(np.log1p(count), 0.1),
         np.log1p(count / lines),
         np.sqrt(doubled / filled),
     ])
