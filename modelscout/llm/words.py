@@ -113,7 +113,7 @@ def shingles(w: np.ndarray, cuts: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     if not len(w):
         return np.zeros(0, dtype=np.uint64), np.zeros(len(cuts), dtype=np.int64)
     total = np.zeros(len(w), dtype=np.uint64)
-    for k in range(n):
+    for k in range(min(n, len(w))):
         total[: len(w) - k] += w[k:] * powers(n + 1)[k]
     doc = np.repeat(np.arange(len(sizes)), sizes)
     left = np.repeat(cuts[1:], sizes) - np.arange(len(w))  # words from here to the end of the text
