@@ -1,21 +1,62 @@
-"""The corpus pipeline: stages over documents, each of which takes what the one before it kept."""
+"""The corpus pipeline: stages over documents, each of which takes what the one before it kept.
+
+The first four stages keep rows of documents with all their columns; the last one encodes what is left.
+"""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from modelscout.llm.exact_dedup import without_duplicates
+from modelscout.llm.jaccard_join import without_similar
+from modelscout.llm.mixing import mixed_documents
+from modelscout.llm.pieces import encode_documents, load_model
+from modelscout.llm.quality import good_documents
+from modelscout.sources.scratch import materialize
+
+MIX_SHARE = 0.9  # of the tokens that are left; a document is taken once at most
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest id."""
     return without_duplicates(docs)
 
 
-STAGES = [("exact dedup", exact_stage)]
+def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that links of Jaccard similarity connect, the document with the smallest id."""
+    return without_similar(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents chosen to the target weights of domains, languages and sources."""
+    return mixed_documents(docs, share=MIX_SHARE, epochs=1)
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_pieces, ids) of every document."""
+    return encode_documents(docs, load_model()).select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids")
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("n-gram Jaccard join", similar_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("SentencePiece encoding", pieces_stage),
+]
+# A classifier's scores, links found by hashing and encodings have no counterpart in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents; every stage's result is written once and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = materialize(docs, "pipeline-stage")
     return docs

@@ -7,6 +7,7 @@ from modelscout.llm.nearest import op1_nearest
 from modelscout.llm.pieces import op10_pieces
 from modelscout.llm.quality import op5_quality
 from modelscout.llm.secret_scan import op4_secret_scan
+from modelscout.llm.substring_dedup import op6_substring_dedup
 from modelscout.llm.url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_secret_scan": op4_secret_scan,
     "op5_quality": op5_quality,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
     "op9_maxent": op9_maxent,
