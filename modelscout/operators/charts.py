@@ -24,10 +24,10 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     )
 
 
-def box_stats(df: DataFrame, col: str, rows: int | None = None) -> DataFrame:
+def box_stats(df: DataFrame, col: str) -> DataFrame:
     """Box plot numbers: extremes, quartiles, whiskers at the furthest points within 1.5 IQR, outlier count."""
     values = df.select(number(df, col).alias("x"))
-    q = values.agg(quantile_columns(values, ["x"], rows=rows)["x"].alias("q")).scalar()
+    q = values.agg(quantile_columns(values, ["x"])["x"].alias("q")).scalar()
     q1, q3 = F.get(q, F.lit(0)), F.get(q, F.lit(2))
     low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
     kept = F.when(F.col("x").between(low, high), F.col("x"))

@@ -33,8 +33,8 @@ CATALOGUE = [
      {"maxIter": 1000, "regParam": 0.01, "elasticNetParam": 1.0}),
     (7, SPARK, CLASSIFICATION, LINEAR, "Ridge Logistic Regression", "LogisticRegression",
      {"maxIter": 1000, "regParam": 0.01, "elasticNetParam": 0.0}),
-    (8, SPARK, CLASSIFICATION, TREE, "Random Forest", "RandomForestClassifier", {"numTrees": 10}),
-    (9, SPARK, CLASSIFICATION, TREE, "Gradient Boosting", "GBTClassifier", {}),
+    (8, SPARK, CLASSIFICATION, TREE, "Random Forest", "RandomForestClassifier", {"numTrees": 10, "seed": 0}),
+    (9, SPARK, CLASSIFICATION, TREE, "Gradient Boosting", "GBTClassifier", {"seed": 0}),
 ]
 ESTIMATORS = {
     "LogisticRegression": LogisticRegression,

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Sequence
 from functools import reduce
 
@@ -171,7 +172,7 @@ def _walk(v, n, m, m2, a, alpha):
     taken = []
     while True:
         if core[0]:
-            split_at = int(np.searchsorted(v, a, side="right"))
+            split_at = bisect_right(v, a)
             if i >= split_at or j < split_at:
                 return taken, i, j, v, True
         elif i > j:

@@ -111,8 +111,11 @@ def split(
 ) -> tuple[DataFrame, DataFrame]:
     """Repeatable train/test split by the hash of the key columns (of all columns when there is no key).
 
-    Both sides are plain filters: no shuffle, and a row stays on its side however the input is partitioned.
+    Both sides are plain filters: no shuffle, and a row stays on its side however the input is partitioned. With
+    ``train`` 1 or more every row is on the first side.
     """
+    if train >= 1:
+        return df, df.limit(0)
     limit = f"{round(train * 0xFFFF):04x}"
     bucket = F.substring(row_hash(list(keys or df.columns), seed), 1, 4)
     return df.filter(bucket < limit), df.filter(bucket >= limit)

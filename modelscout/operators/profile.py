@@ -7,19 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from modelscout.functions.columns import present, present_sql
-from modelscout.operators.quantiles import (
-    DIRECT_ROWS,
-    QUARTILES,
-    at_ranks,
-    exact_quantiles,
-    fractions_sql,
-    literal_sql,
-    number_sql,
-    ranked,
-)
+from modelscout.operators.quantiles import QUARTILES, exact_quantiles, fractions_sql, literal_sql, number_sql
 
 NUMERIC, STRING = 1, 2
 SKETCH_ACCURACY = 10_000
+LONG_TEXT = 20  # bytes; in hexadecimal shorter than a digest, so the two never meet
 
 
 def classify(schema: T.StructType) -> dict[str, int]:
@@ -41,21 +33,25 @@ def _per_column(
     df: DataFrame,
     cols: Sequence[str],
     aggs: Callable[[str], str],
-    shape: Callable[[str, DataFrame], DataFrame] = lambda name, counts: counts,
+    digest: bool = False,
 ) -> DataFrame:
     """Union over the columns of: count per value (value, freq), then one row of aggregates over those counts.
 
     Each branch reads its own column only, so a columnar table is read once in all, values keep their types, and
-    equal values are merged before the shuffle. One wide multi-distinct aggregate would copy each row per column.
+    equal values are merged before the shuffle. One wide multi-distinct aggregate would copy each row per column. With
+    ``digest`` long texts are told apart by their SHA-256, so that they are not shuffled themselves.
     """
     branches = []
     for i, f in enumerate(df.schema.fields):
         if f.name in cols:
-            values = df.selectExpr(f"{present_sql(f.name, f.dataType)} AS value")
+            own = present_sql(f.name, f.dataType)
+            if digest and isinstance(f.dataType, (T.StringType, T.BinaryType)):
+                own = f"if(octet_length({own}) > {LONG_TEXT}, sha2({own}, 256), hex({own}))"
+            values = df.selectExpr(f"{own} AS value")
             counts = values.groupBy("value").agg(F.expr("count(1) AS freq"))
             name = f.name.replace("\\", "\\\\").replace("'", "\\'")
             row = F.expr(f"struct({i} AS var_id, '{name}' AS var_name, {aggs(f.name)})")
-            branches.append(shape(f.name, counts).agg(row.alias("r")))
+            branches.append(counts.agg(row.alias("r")))
     return reduce(DataFrame.union, branches).select("r.*")
 
 
@@ -66,7 +62,7 @@ def distinct_counts(
     cols = list(df.columns if cols is None else cols)
     if exact:
         kinds = "count(1)" if count_null else "count(value)"
-        return _per_column(df, cols, lambda c: f"{kinds} AS ds_unique")
+        return _per_column(df, cols, lambda c: f"{kinds} AS ds_unique", digest=True)
     ids = [(i, c, present(c, df.schema[c].dataType)) for i, c in enumerate(df.columns) if c in cols]
     rows = []
     for i, c, v in ids:
@@ -100,29 +96,18 @@ def missing_counts(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
-def profile(
-    df: DataFrame,
-    exact: bool = True,
-    count_null: bool = False,
-    direct_rows: int = DIRECT_ROWS,
-) -> DataFrame:
+def profile(df: DataFrame, exact: bool = True, count_null: bool = False) -> DataFrame:
     """One summary row per column, in the layout of the ``dataset_summary`` table.
 
-    Counts and moments of all columns come from one scan; distinct counts, and the quartiles of tables up to
-    ``direct_rows``, from the merged values of each column. Quartiles of larger tables are found by
-    :func:`exact_quantiles`. ``exact=False`` uses sketches for both, and the whole profile is one scan.
+    Counts and moments of all columns come from one scan, distinct counts from the merged values of each column and
+    quartiles from :func:`exact_quantiles`. ``exact=False`` uses sketches for both, and the whole profile is one scan.
     """
     kinds = classify(df.schema)
     numeric = [c for c in df.columns if kinds[c] == NUMERIC]
     nothing = "cast(null AS double)"
     nowhere = literal_sql([None] * 3)
-    quartiles: dict[str, str] = {}
-    direct = False
     if exact:
-        sizes = df.agg(F.expr("count(1)"), *[F.expr(f"count({number_sql(df, c)})") for c in numeric]).first()
-        direct = sizes[0] <= direct_rows
-        if not direct:
-            quartiles = {c: literal_sql(v) for c, v in exact_quantiles(df, numeric, QUARTILES).items()}
+        quartiles = {c: literal_sql(v) for c, v in exact_quantiles(df, numeric, QUARTILES).items()}
     else:
         sketch = f"{fractions_sql(QUARTILES)}, {SKETCH_ACCURACY}"
         quartiles = {c: f"percentile_approx({number_sql(df, c)}, {sketch})" for c in numeric}
@@ -133,24 +118,14 @@ def profile(
         if kinds[f.name] == NUMERIC:
             x = number_sql(df, f.name)
             mean, std, low, high = f"avg({x})", f"stddev_samp({x})", f"min({x})", f"max({x})"
-        q = "" if direct else f", {quartiles.get(f.name, nowhere)} AS q"
+        q = f", {quartiles.get(f.name, nowhere)} AS q"
         summary.append(
             f"struct({i} AS var_id, {kinds[f.name]} AS var_type, count({present_sql(f.name, f.dataType)}) AS ds_count, "
             f"{mean} AS ds_mean, {std} AS ds_std, {low} AS ds_min, {high} AS ds_max{q})"
         )
     moments = df.agg(F.expr(f"array({', '.join(summary)})").alias("r")).select(F.inline("r"))
 
-    if direct:
-        unique = "count(1)" if count_null else "count(value)"
-        held = dict(zip(numeric, sizes[1:]))
-        values = _per_column(
-            df,
-            df.columns,
-            lambda c: f"{unique} AS ds_unique, {at_ranks(held[c], QUARTILES) if c in held else nowhere} AS q",
-            lambda c, counts: ranked(counts) if c in held else counts,
-        )
-    else:
-        values = distinct_counts(df, count_null=count_null, exact=exact)
+    values = distinct_counts(df, count_null=count_null, exact=exact)
     return moments.join(values, "var_id").selectExpr(
         "var_id", "var_name", "var_type", "ds_count", "ds_unique", "ds_mean", "ds_std", "ds_min",
         "q[0] AS ds_25", "q[1] AS ds_50", "q[2] AS ds_75", "ds_max",

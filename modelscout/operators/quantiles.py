@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from modelscout.functions.columns import present_sql
 
 QUARTILES = (0.25, 0.5, 0.75)
-# Up to this many rows the values of a column may meet in one task.
-DIRECT_ROWS = 1_000_000
 BINS = 1_024
+SMALLEST = 5e-324  # the smallest positive double
 
 
 def number_sql(df: DataFrame, name: str) -> str:
@@ -24,54 +23,22 @@ def number(df: DataFrame, name: str) -> Column:
     return F.expr(number_sql(df, name))
 
 
-def quantile_columns(
-    df: DataFrame,
-    cols: Sequence[str],
-    probs: Sequence[float] = QUARTILES,
-    rows: int | None = None,
-    direct_rows: int = DIRECT_ROWS,
-) -> dict[str, Column]:
-    """An array of quantiles per column, for use inside ``df.agg``.
-
-    Tables up to ``direct_rows`` use the built-in exact aggregate in the caller's own scan. Beyond that the values
-    come from :func:`exact_quantiles` as literals.
-    """
-    if not cols:
-        return {}
-    rows = df.count() if rows is None else rows
-    if rows <= direct_rows:
-        return {c: F.percentile(number(df, c), fractions(probs)) for c in cols}
+def quantile_columns(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUARTILES) -> dict[str, Column]:
+    """An array of exact quantiles per column, as literals for use inside ``df.agg``."""
     return {c: F.expr(literal_sql(v)) for c, v in exact_quantiles(df, cols, probs).items()}
 
 
-def ranked(counts: DataFrame) -> DataFrame:
-    """Merged values (value, freq) with the running number of non-missing rows; for up to DIRECT_ROWS values."""
-    running = "sum(if(value IS NULL, 0, freq)) OVER (ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return counts.selectExpr("value", "freq", f"{running} AS upto")
-
-
-def at_ranks(n: int, probs: Sequence[float]) -> str:
-    """SQL text of an aggregate over :func:`ranked` rows: array of the quantiles of ``n`` non-missing rows."""
-    out = []
-    for p in probs:
-        rank = p * (n - 1)
-        low, high = (
-            f"min(if(upto > {r}, cast(value AS double), null))" for r in (math.floor(rank), math.ceil(rank))
-        )
-        out.append(f"{low} + ({high} - {low}) * {rank - math.floor(rank)!r}D")
-    return f"array({', '.join(out)})"
-
-
 def fractions_sql(probs: Sequence[float]) -> str:
     return f"array({', '.join(f'{float(p)!r}D' for p in probs)})"
 
 
-def fractions(probs: Sequence[float]) -> Column:
-    return F.expr(fractions_sql(probs))
-
-
 def literal_sql(values: list[float | None]) -> str:
-    return f"array({', '.join('cast(null AS double)' if v is None else f'{v!r}D' for v in values)})"
+    def one(v: float | None) -> str:
+        if v is None:
+            return "cast(null AS double)"
+        return f"{v!r}D" if math.isfinite(v) else f"cast('{v}' AS double)"
+
+    return f"array({', '.join(map(one, values))})"
 
 
 def exact_quantiles(
@@ -82,45 +49,80 @@ def exact_quantiles(
 
     A round reads each column once and brings back at most ``bins`` rows per open rank; nothing else is shuffled,
     whatever the table size or the skew. Every round divides the range by ``bins``. A round that hardly divides the
-    rows (a long tail) is followed by one with bins on a logarithmic scale.
+    rows (a long tail) is followed by one with bins on a logarithmic scale. Infinite values stand at the ends of the order
+    and are only counted; a quantile between opposite infinities is NaN. The ends of a bracket fall into different bins, so every round has fewer rows to look at.
     """
+    cols = list(cols)
+    if not cols:
+        return {}
     x = {c: number(df, c) for c in cols}
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    ends = df.agg(
-        *[f(x[c]).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
-    ).first()
+    finite = {c: F.when(F.abs(x[c]) < math.inf, x[c]) for c in cols}
+    ends = df.agg(*[
+        f.alias(f"{n}{i}")
+        for i, c in enumerate(cols)
+        for n, f in (
+            ("n", F.count(x[c])), ("lo", F.min(finite[c])), ("hi", F.max(finite[c])), ("held", F.count(finite[c])),
+            ("below", F.count_if(x[c] == -math.inf)),
+        )
+    ]).first()
+    sizes = {c: ends[f"n{i}"] for i, c in enumerate(cols)}
+    # the value at each rank that is wanted, found or still looked for
+    values: dict[str, dict[int, float | None]] = {}
     # a bracket: column, closed value range, rows below it, rows inside, scale of its bins
     todo: dict[tuple, list[int]] = {}
     for i, c in enumerate(cols):
-        if ends[f"n{i}"]:
-            todo[c, ends[f"lo{i}"], ends[f"hi{i}"], 0, ends[f"n{i}"], False] = list(range(len(probs)))
-    sizes = {c: ends[f"n{i}"] for i, c in enumerate(cols)}
+        below, held = ends[f"below{i}"], ends[f"held{i}"]
+        values[c] = {}
+        for rank in sorted({r for p in probs for r in _ranks(p, sizes[c])}):
+            if rank < below:
+                values[c][rank] = -math.inf
+            elif rank >= below + held:
+                values[c][rank] = math.inf
+            else:
+                todo.setdefault((c, ends[f"lo{i}"], ends[f"hi{i}"], below, held, False), []).append(rank)
 
     while todo:
         brackets = list(todo)
-        found = _bin_counts(df, x, brackets, bins).collect()
+        found = _bin_counts(df, finite, brackets, bins).collect()
         per_bracket: dict[int, list] = {k: [] for k in range(len(brackets))}
         for row in found:
             per_bracket[row["k"]].append(row)
         following: dict[tuple, list[int]] = {}
         for k, bracket in enumerate(brackets):
-            c, _, _, below, inside, logarithmic = bracket
+            c, lo, hi, below, inside, logarithmic = bracket
             rows = sorted(per_bracket[k], key=lambda r: r["bin"])
-            for j in todo[bracket]:
-                rank = probs[j] * (sizes[c] - 1)
-                low, high = math.floor(rank), math.ceil(rank)
-                value, nested = _look_up(rows, below, low, high)
+            for rank in todo[bracket]:
+                value, nested = _look_up(rows, below, rank)
                 if nested is None:
-                    a, b = value
-                    out[c][j] = a + (b - a) * (rank - low) if b > a else a
-                else:
-                    r, before = nested
-                    scale = (not logarithmic) if r["n"] * 4 > inside else logarithmic
-                    following.setdefault((c, r["lo"], r["hi"], before, r["n"], scale), []).append(j)
+                    values[c][rank] = value
+                    continue
+                r, before = nested
+                if r["n"] >= inside and lo < hi:
+                    raise RuntimeError(f"no progress on the quantiles of {c!r}")
+                scale = (not logarithmic) if r["n"] * 4 > inside else logarithmic
+                following.setdefault((c, r["lo"], r["hi"], before, r["n"], scale), []).append(rank)
         todo = following
+    for c in cols:
+        for j, p in enumerate(probs):
+            if sizes[c]:
+                low, high = _ranks(p, sizes[c])
+                out[c][j] = _between(values[c][low], values[c][high], p * (sizes[c] - 1) - low)
     return out
 
 
+def _ranks(p: float, n: int) -> tuple[int, ...]:
+    """The two ranks that a quantile of ``n`` rows lies between."""
+    return (math.floor(p * (n - 1)), math.ceil(p * (n - 1))) if n else ()
+
+
+def _between(a: float, b: float, share: float) -> float:
+    if a == b or not share:
+        return a
+    d = b - a
+    return a + d * share if math.isfinite(d) else a * (1 - share) + b * share
+
+
 def _bin_counts(df: DataFrame, x: dict[str, Column], brackets: list[tuple], bins: int) -> DataFrame:
     """(k, bin, n, lo, hi) for every bracket; one branch per column, its brackets being disjoint."""
     branches = []
@@ -129,12 +131,18 @@ def _bin_counts(df: DataFrame, x: dict[str, Column], brackets: list[tuple], bins
         v = F.col("v")
         which, spot = F.lit(None).cast("int"), F.lit(None).cast("bigint")
         for k, (_, lo, hi, _, _, logarithmic) in mine:
-            t, t_lo, t_hi = (_log_scale(v), _log_of(lo), _log_of(hi)) if logarithmic else (v, lo, hi)
-            width = (t_hi - t_lo) / bins
-            at = F.floor((t - F.lit(t_lo)) / F.lit(width)) if width > 0 else F.lit(0).cast("bigint")
+            t, t_lo, t_hi = v, lo, hi
+            if logarithmic and _log_of(lo) < _log_of(hi):
+                t, t_lo, t_hi = _log_scale(v), _log_of(lo), _log_of(hi)
+            # a quarter of everything, so that no difference overflows
+            part = 0.25 if max(abs(t_lo), abs(t_hi)) > 1 else 1.0
+            width = max((t_hi * part - t_lo * part) / bins, SMALLEST)
             here = v.between(lo, hi)
+            at = F.floor(F.when(here, (t * part - F.lit(t_lo * part)) / F.lit(width)))
+            # the largest value never shares a bin with the smallest
+            at = F.when(v == hi, F.lit(bins)).otherwise(F.least(at, F.lit(bins - 1)))
             which = F.when(here, F.lit(k)).otherwise(which)
-            spot = F.when(here, F.greatest(F.least(at, F.lit(bins - 1)), F.lit(0))).otherwise(spot)
+            spot = F.when(here, F.greatest(at, F.lit(0))).otherwise(spot)
         values = df.select(x[c].alias("v")).filter(v.between(min(b[1] for _, b in mine), max(b[2] for _, b in mine)))
         branches.append(
             values.select("v", which.alias("k"), spot.alias("bin"))
@@ -153,19 +161,14 @@ def _log_of(v: float) -> float:
     return math.copysign(math.log1p(abs(v)), v)
 
 
-def _look_up(rows: list, below: int, low: int, high: int):
-    """The two values at ranks ``low`` and ``high``, or the bin that holds both and the rows before it."""
-    values = []
+def _look_up(rows: list, below: int, rank: int):
+    """The value at ``rank``, or the bin that holds it and the rows before it."""
     before = below
     for r in rows:
         after = before + r["n"]
-        for rank in (low, high):
-            if before <= rank < after:
-                if r["lo"] == r["hi"] or rank == before:
-                    values.append(r["lo"])
-                elif rank == after - 1:
-                    values.append(r["hi"])
-                else:
-                    return None, (r, before)
+        if before <= rank < after:
+            if r["lo"] == r["hi"] or rank == before:
+                return r["lo"], None
+            return (r["hi"], None) if rank == after - 1 else (None, (r, before))
         before = after
-    return values, None
+    raise RuntimeError("a rank beyond all rows")

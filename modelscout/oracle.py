@@ -1,8 +1,20 @@
 """The same results in SQL for DuckDB, written independently of the Spark code."""
 from __future__ import annotations
 
-from modelscout.operators.models import CATALOGUE
-from modelscout.queries import SHAP_WEIGHTS
+# Fixed catalogue: algo_id, impl_type, algo_type, algo_name.
+CATALOGUE = [
+    (0, 0, 1, "Lasso Logistic Regression"),
+    (1, 0, 2, "Random Forest"),
+    (2, 0, 2, "Gradient Boosting"),
+    (3, 0, 2, "Boosted Trees (deep)"),
+    (4, 0, 1, "Logistic Regression"),
+    (5, 0, 1, "Ridge Logistic Regression"),
+    (6, 1, 1, "Lasso Logistic Regression"),
+    (7, 1, 1, "Ridge Logistic Regression"),
+    (8, 1, 2, "Random Forest"),
+    (9, 1, 2, "Gradient Boosting"),
+]
+SHAP_WEIGHTS = {"l_quantity": 0.02, "l_discount": 1.5, "l_tax": -2.0}
 
 GAPPY_LINEITEM = """gappy AS (
   SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
@@ -32,7 +44,7 @@ DETAIL = """detail AS (
          CAST(o_orderkey % 10 AS DOUBLE) / 10 AS recall, CAST(o_custkey % 100 AS DOUBLE) / 100 AS accuracy
   FROM orders)"""
 ALGO = "algo(algo_id, impl_type, algo_type, algo_name) AS (VALUES " + ", ".join(
-    f"({r[0]}, {r[1]}, {r[3]}, '{r[4]}')" for r in CATALOGUE
+    f"({r[0]}, {r[1]}, {r[2]}, '{r[3]}')" for r in CATALOGUE
 ) + ")"
 
 LINEITEM = [
@@ -134,6 +146,10 @@ def knn_sql(cols: list[str]) -> str:
 ORACLE = {
     "csv_round_trip": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
     "tsv_round_trip": "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part",
+    "csv_documents": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "tsv_conversations": "SELECT conv_id, turn, role, text FROM conversations",
+    "import_documents": f"""SELECT var_id, var_name, var_type, ds_count, ds_unique, {ROUNDED_STATS}
+      FROM ({summary_sql('documents', DOCUMENTS)}) s""",
     "parquet_round_trip": "SELECT * FROM lineitem",
     "import_dataset": f"""SELECT var_id, var_name, var_type, ds_count, ds_unique, {ROUNDED_STATS},
       'customer' AS dataset_name, (SELECT count(*) FROM customer) AS row_number, 5 AS column_number
@@ -210,8 +226,9 @@ ORACLE = {
     "weighted_mean": f"""WITH {GAPPY_LINEITEM} SELECT
       round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS weighted_mean,
       round(avg(l_extendedprice), 4) AS mean FROM gappy""",
-    "left_join": """SELECT l_partkey, l_orderkey, l_linenumber, l_quantity, p_brand, p_size
-      FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 20) p ON p_partkey = l_partkey""",
+    "left_join": """WITH l AS (SELECT CASE WHEN l_partkey % 3 = 0 THEN -l_partkey - 1 ELSE l_partkey END AS l_partkey,
+        l_orderkey, l_linenumber, l_quantity FROM lineitem)
+      SELECT l_partkey, l_orderkey, l_linenumber, l_quantity, p_brand, p_size FROM l LEFT JOIN part ON p_partkey = l_partkey""",
     "explode_delimited": "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS p_name FROM part",
     "train_test_split": f"""SELECT o_orderkey, CASE WHEN {bucket('o_orderkey')} < 'cccc' THEN 'train' ELSE 'test' END AS side
       FROM orders""",
@@ -241,8 +258,8 @@ ORACLE = {
         'o_custkey, o_orderstatus, o_totalprice' AS features FROM o""",
     "derived_flags": """WITH items AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS p_name, p_type AS kind
         FROM part WHERE p_type <> 'SMALL' AND p_size BETWEEN 10 AND 40),
-      sales AS (SELECT l_partkey, max(l_extendedprice) AS price, sum(l_quantity) AS sold FROM lineitem
-        WHERE l_tax = 0 GROUP BY l_partkey),
+      sales AS (SELECT CASE WHEN l_partkey % 5 = 0 THEN -l_partkey - 1 ELSE l_partkey END AS l_partkey,
+          max(l_extendedprice) AS price, sum(l_quantity) AS sold FROM lineitem GROUP BY 1),
       j AS (SELECT p_partkey, p_name, kind, price, sold FROM items JOIN sales ON l_partkey = p_partkey),
       t AS (SELECT sum(price * sold) / sum(sold) AS a, avg(sold) AS b, sum(80000 * sold) / sum(sold) AS c FROM j)
       SELECT p_partkey, p_name, kind, price, sold, CASE WHEN price >= a THEN 1 ELSE 0 END AS price_high,

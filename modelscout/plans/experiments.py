@@ -7,7 +7,7 @@ from datetime import datetime
 from zoneinfo import ZoneInfo
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from modelscout.operators import models
 from modelscout.operators.explain import explain
@@ -87,7 +87,8 @@ def run_experiment(
 def best_models(store: ResultStore, dataset_id: int) -> DataFrame:
     """Best model per run of a dataset."""
     runs = store.read("experiment", dataset_id=dataset_id)
-    return best_models_of(runs, store.read("experiment_detail"), models.catalogue(store.spark)).orderBy("id")
+    own = store.read("experiment_detail").join(runs.select(F.col("id").alias("experiment_id")), "experiment_id", "left_semi")
+    return best_models_of(runs, own, models.catalogue(store.spark)).orderBy("id")
 
 
 def experiment_table(store: ResultStore, id: int) -> DataFrame:

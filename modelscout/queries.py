@@ -129,6 +129,25 @@ def tsv_round_trip(spark, sf):
     return prep.cast_columns(read_table(spark, path, "tsv"), {"p_partkey": "bigint"})
 
 
+def csv_documents(spark, sf):
+    """Whole texts with line breaks, quotes and outer blanks."""
+    documents = table(spark, sf, "documents")
+    path = write_table(documents, scratch_path(spark, "csv"), "csv")
+    return read_table(spark, path, "csv", schema=documents.schema)
+
+
+def tsv_conversations(spark, sf):
+    path = write_table(table(spark, sf, "conversations"), scratch_path(spark, "tsv"), "tsv", compression="gzip")
+    return prep.cast_columns(read_table(spark, path, "tsv"), {"conv_id": "bigint", "turn": "bigint"})
+
+
+def import_documents(spark, sf):
+    src = write_table(table(spark, sf, "documents"), scratch_path(spark, "src"), "csv")
+    store = new_store(spark)
+    id = importing.import_dataset(spark, src, "documents", store)
+    return rounded(store.read("dataset_summary", dataset_id=id).drop("dataset_id"))
+
+
 def parquet_round_trip(spark, sf):
     path = write_table(table(spark, sf, "lineitem"), scratch_path(spark, "parquet"), "parquet")
     return read_table(spark, path, "parquet")
@@ -308,8 +327,10 @@ def weighted_mean(spark, sf):
 
 
 def left_join(spark, sf):
-    parts = table(spark, sf, "part").filter(F.col("p_size") > 20).withColumnRenamed("p_partkey", "l_partkey")
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    parts = table(spark, sf, "part").withColumnRenamed("p_partkey", "l_partkey")
+    # some lines name a part that does not exist
+    key = F.when(F.col("l_partkey") % 3 == 0, -F.col("l_partkey") - 1).otherwise(F.col("l_partkey")).alias("l_partkey")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", key, "l_quantity")
     return prep.enrich(lines, parts.select("l_partkey", "p_brand", "p_size"), "l_partkey")
 
 
@@ -374,8 +395,9 @@ def derived_flags(spark, sf):
     )
     items = prep.explode_delimited(prep.drop_sentinel(parts, ["kind"]), "p_name", " ")
     kept = prep.filter_between(items, "p_size", 10, 40).select("p_partkey", "p_name", "kind")
-    untaxed = table(spark, sf, "lineitem").filter(F.col("l_tax") == 0)
-    sales = untaxed.groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+    # the sales of some parts go by another key, so these parts have none
+    key = F.when(F.col("l_partkey") % 5 == 0, -F.col("l_partkey") - 1).otherwise(F.col("l_partkey"))
+    sales = table(spark, sf, "lineitem").groupBy(key.alias("p_partkey")).agg(
         F.max("l_extendedprice").alias("price"), F.sum("l_quantity").alias("sold")
     )
     whole = prep.drop_incomplete(prep.enrich(kept, sales, "p_partkey"))
@@ -447,9 +469,11 @@ def _fitted(spark, sf, id):
     p = prepared_model_table(spark, sf)
     train, test = preparing.vectors(p, spark.sparkContext.defaultParallelism)
     train = train.persist()
-    n = train.count()
-    model = models.fit(models.build_estimator(models.catalogue_row(id), p.label, n), train)
-    train.unpersist()
+    try:
+        n = train.count()
+        model = models.fit(models.build_estimator(models.catalogue_row(id), p.label, n), train)
+    finally:
+        train.unpersist()
     return p, train, test, model
 
 
@@ -488,6 +512,16 @@ def run_experiment(spark, sf):
     return experiments.experiment_table(store, run)
 
 
+def run_local_experiment(spark, sf):
+    """The six local rows on a dataset with gaps, imputed, explained and stored."""
+    rows = gappy_lineitem(spark, sf).drop("l_shipdate").withColumn("late", (F.col("l_linestatus") == "F").cast("int")).drop("l_linestatus")
+    src = write_table(rows, scratch_path(spark, "src"), "csv")
+    store = new_store(spark)
+    id = importing.import_dataset(spark, src, "lines with gaps", store, stored=0)
+    run = experiments.run_experiment(store, "late lines", id, "late", ["l_returnflag"], LINEITEM_KEY, keys=LINEITEM_KEY)
+    return experiments.experiment_table(store, run)
+
+
 SCORES = {
     "score_local_lasso": 0,
     "score_local_forest": 1,
@@ -504,7 +538,7 @@ SCORES = {
 QUERIES = {
     f.__name__: f
     for f in (
-        csv_round_trip, tsv_round_trip, parquet_round_trip, import_dataset, result_store_round_trip, metadata_filter,
+        csv_round_trip, csv_documents, tsv_round_trip, tsv_conversations, parquet_round_trip, import_dataset, import_documents, result_store_round_trip, metadata_filter,
         list_datasets, delete_dataset, table_shape, profile_numeric, profile_approx, profile_string, top_value,
         distinct_counts, distinct_counts_with_null, missing_counts, quality_report, variable_summary, suggest_roles,
         value_counts, histogram_numeric, box_stats, preview, sample_about, grubbs_statistic, grubbs_outliers,
@@ -513,6 +547,6 @@ QUERIES = {
         columns_to_impute, knn_impute, prepare_features, derived_flags, leaderboard_join,
         best_model_per_experiment, experiment_table, algorithm_catalogue, shap_ranking, confusion_counts,
         binary_metrics, weighted_metrics, auc_score, auc_hard_label, linear_shap_fixed_weights, linear_shap, tree_shap,
-        shap_values, run_experiment,
+        shap_values, run_experiment, run_local_experiment,
     )
 } | {name: _score(id) for name, id in SCORES.items()}

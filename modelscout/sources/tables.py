@@ -20,12 +20,14 @@ def read_table(
     fmt: str = "parquet",
     schema: T.StructType | str | None = None,
     null_values: Sequence[str] = (),
+    multi_line: bool = True,
     **options: str,
 ) -> DataFrame:
     """Read a table with a header row (CSV, TSV, gzip by extension) or Parquet.
 
-    Without a ``schema`` the text formats cost one more scan for type inference. ``null_values`` are the
-    markers that mean "missing" next to the empty field.
+    In the text formats an empty field is a missing value, quoted or not, and so is each of ``null_values``. Fields may hold
+    line breaks; a file is then read by one task. ``multi_line=False`` lets large files be split that are known to have
+    none. Without a ``schema`` the text formats cost one more scan that finds the types, by one rule for all options.
     """
     path = normalize_path(path)
     if fmt == "parquet":
@@ -33,18 +35,17 @@ def read_table(
         return reader.options(**options).parquet(path)
     if fmt not in SEPARATORS:
         raise ValueError(f"unknown table format {fmt!r}")
-    reader = spark.read.options(header=True, sep=SEPARATORS[fmt], quote='"', escape='"')
-    if len(null_values) == 1:
-        reader = reader.option("nullValue", null_values[0])
-    reader = reader.options(**options)
-    if len(null_values) < 2:
-        if schema is None:
-            return reader.option("inferSchema", True).csv(path)
+    reader = spark.read.options(
+        header=True, sep=SEPARATORS[fmt], quote='"', escape='"', multiLine=multi_line,
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).options(**options)
+    if schema is not None and not null_values:
         return reader.schema(schema).csv(path)
 
-    # Spark takes one marker only: read text, blank every marker, then cast.
-    raw = reader.csv(path)
-    text = raw.select([F.when(~F.col(f"`{c}`").isin(*null_values), F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    # Spark takes one marker only, and would judge types before markers are gone: read text, blank the markers, then cast
+    text = reader.csv(path)
+    if null_values:
+        text = text.select([F.when(~F.col(c).isin(*null_values), F.col(c)).alias(n) for c, n in zip(_quoted(text), text.columns)])
     if schema is None:
         return _tighten(text)
     if isinstance(schema, str):
@@ -53,7 +54,10 @@ def read_table(
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", **options: str) -> str:
-    """Write ``df`` with one file per task; text formats get a header in every file."""
+    """Write ``df`` with one file per task; text formats get a header in every file.
+
+    Text keeps its blanks and line breaks. The text formats cannot tell an empty text from a missing one.
+    """
     path = normalize_path(path)
     writer = df.write.mode(mode)
     if fmt == "parquet":
@@ -61,7 +65,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     elif fmt in SEPARATORS:
         # the default formats would cut timestamps to milliseconds
         full = {"timestampNTZFormat": TIME, "timestampFormat": TIME + "XXX"}
-        writer = writer.options(header=True, sep=SEPARATORS[fmt], quote='"', escape='"', **full)
+        blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        writer = writer.options(header=True, sep=SEPARATORS[fmt], quote='"', escape='"', **full, **blanks)
         writer.options(**options).csv(path)
     else:
         raise ValueError(f"unknown table format {fmt!r}")
@@ -72,18 +77,30 @@ def _quoted(df: DataFrame) -> list[str]:
     return [f"`{c}`" for c in df.columns]
 
 
+# Types in the order in which they are tried, each with the texts that are taken for it.
+KINDS = (
+    ("int", r"[+-]?\d+"),
+    ("bigint", r"[+-]?\d+"),
+    ("double", r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|NaN|[+-]?Infinity"),
+    ("date", r"\d{4}-\d{2}-\d{2}"),
+    ("timestamp_ntz", r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?"),
+    ("timestamp", r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})"),
+    ("boolean", r"(?i)true|false"),
+)
+
+
 def _tighten(text: DataFrame) -> DataFrame:
-    """Give every all-text column the narrowest of bigint, double, boolean that holds all its values."""
-    kinds = ("bigint", "double", "boolean")
-    fits = text.agg(
-        *[
-            F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(kind).isNull()).alias(f"{i}_{kind}")
-            for i, c in enumerate(_quoted(text))
-            for kind in kinds
-        ]
-    ).first()
+    """Give every all-text column the first of KINDS that holds all its values; a column without values stays text."""
+    columns = _quoted(text)
+    counts = [
+        F.count_if(F.col(c).isNotNull() & ~(F.col(c).rlike(f"^(?:{pattern})$") & F.col(c).try_cast(kind).isNotNull())).alias(f"{i}_{kind}")
+        for i, c in enumerate(columns)
+        for kind, pattern in KINDS
+    ]
+    held = [F.count(F.col(c)).alias(f"{i}") for i, c in enumerate(columns)]
+    misfits = text.agg(*held, *counts).first()
     out = []
-    for i, name in enumerate(text.columns):
-        kind = next((k for k in kinds if fits[f"{i}_{k}"] == 0), "string")
-        out.append(F.col(f"`{name}`").try_cast(kind).alias(name))
+    for i, (c, name) in enumerate(zip(columns, text.columns)):
+        kind = next((k for k, _ in KINDS if misfits[f"{i}"] and misfits[f"{i}_{k}"] == 0), "string")
+        out.append(F.col(c).try_cast(kind).alias(name))
     return text.select(out)

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -59,12 +61,43 @@ def test_large_table_quantiles_equal_numpy(spark, bins):
         assert np.allclose(found[c], np.nanquantile(v, (0.01, 0.25, 0.5, 0.75, 1.0)), rtol=1e-9), c
 
 
-def test_quantiles_on_both_sides_of_the_limit(make):
-    df = make([(float(v),) for v in (1, 2, 2, 9, 50)] + [(None,)], "x double")
-    direct = profile.profile(df).first()
-    narrowed = profile.profile(df, direct_rows=2).first()
-    assert direct == narrowed
-    assert quantiles.exact_quantiles(df.filter("x > 100"), ["x"]) == {"x": [None, None, None]}
+def test_quantiles_of_extreme_values(make):
+    inf = math.inf
+    cases = {
+        "plain": [1.0, 2.0, 2.0, 9.0, 50.0],
+        "infinite": [1.0, 2.0, inf, inf, 3.0, -inf, 4.0],
+        "all infinite": [inf, inf, -inf, inf],
+        "wide": [-1.7e308, 1.7e308, 0.0, 1e300, -1e300, 5.0],
+        "denormal": [5e-324 * k for k in range(9)] + [1e-300],
+        "long tail": [float(k) for k in range(50)] + [1e12, 1e18, 1e300],
+        "close": [1.0, 1.0 + 2**-52, 1.0 + 2**-51, 1.0],
+        "constant": [7.0] * 5,
+    }
+    for name, values in cases.items():
+        for bins in (2, 1024):
+            df = make([(v,) for v in values] + [(None,), (math.nan,)], "x double")
+            got = quantiles.exact_quantiles(df, ["x"], bins=bins)["x"]
+            order = sorted(values)
+            for p, g in zip((0.25, 0.5, 0.75), got):
+                rank = p * (len(order) - 1)
+                low, high = order[math.floor(rank)], order[math.ceil(rank)]
+                if low == -inf and high == inf and rank != int(rank):
+                    assert math.isnan(g)  # nothing lies between opposite infinities
+                    continue
+                assert low <= g <= high, (name, bins, p, g)
+                if rank == int(rank) or low == high:
+                    assert g == low, (name, bins, p)
+    row = profile.profile(make([(v,) for v in cases["infinite"]], "x double")).first()
+    assert (row["ds_25"], row["ds_50"], row["ds_75"]) == (1.5, 3.0, inf)
+    empty = make([(1.0,)], "x double").filter("x > 100")
+    assert quantiles.exact_quantiles(empty, ["x"]) == {"x": [None, None, None]}
+
+
+def test_distinct_texts_of_any_length(make):
+    rows = [("a",), ("a",), ("b" * 1000,), ("b" * 1000,), ("b" * 999,), ("",), (None,)]
+    df = make(rows, "t string")
+    assert profile.distinct_counts(df).first()["ds_unique"] == 4
+    assert profile.distinct_counts(df, count_null=True).first()["ds_unique"] == 5
 
 
 def test_histogram_edges(make):

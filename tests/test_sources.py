@@ -18,13 +18,54 @@ def test_csv_quotes_and_gaps(spark, make):
     assert [tuple(r) for r in back] == [(1, 'say "hi", you'), (2, None), (3, "back\\slash")]
 
 
+@pytest.mark.parametrize("fmt", ["csv", "tsv"])
+def test_text_keeps_every_row_and_character(spark, make, fmt):
+    rows = [(1, " a "), (2, "x\ny"), (3, "cr\r\nlf"), (4, 'q"u"o,t\te'), (5, "\t"), (6, None), (7, "\\N"), (8, "end\\"), (9, '"'), (10, ","), (11, "\n"), (12, "é😀")]
+    df = make(rows, "id int, t string").repartition(3)
+    path = write_table(df, scratch_path(spark, "t"), fmt)
+    assert sorted(tuple(r) for r in read_table(spark, path, fmt, schema=df.schema).collect()) == rows
+    assert sorted(tuple(r) for r in read_table(spark, path, fmt).collect()) == rows
+    # an empty text comes back as a missing one
+    path = write_table(make([(1, ""), (2, None)], "id int, t string"), scratch_path(spark, "t"), fmt)
+    assert {tuple(r) for r in read_table(spark, path, fmt).collect()} == {(1, None), (2, None)}
+
+
+def test_types_do_not_depend_on_markers(spark, make):
+    df = make([("1", "5000000000", "1.5", "2024-02-03", "2024-02-03 04:05:06", "true", "3D", None)], "a string, b string, c string, d string, e string, f string, g string, h string")
+    path = write_table(df, scratch_path(spark, "t"), "csv")
+    want = [("a", "int"), ("b", "bigint"), ("c", "double"), ("d", "date"), ("e", "timestamp_ntz"), ("f", "boolean"), ("g", "string"), ("h", "string")]
+    for markers in ((), ("NA",), ("NA", "-")):
+        assert read_table(spark, path, "csv", null_values=markers).dtypes == want
+
+
+class Cluster:
+    """A session that is not in one process and has no shared folder."""
+
+    class sparkContext:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class conf:
+        @staticmethod
+        def get(key, default=None):
+            return default
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(Cluster, "t")
+
+
 def test_null_markers(spark, make):
     df = make([("1", "\\N", "x"), ("NA", "2.5", "\\N"), ("3", "1", "NA")], "a string, b string, c string")
     path = write_table(df, scratch_path(spark, "t"), "tsv")
     one = read_table(spark, path, "tsv", null_values=["\\N"])
     assert dict(one.dtypes) == {"a": "string", "b": "double", "c": "string"}
     two = read_table(spark, path, "tsv", null_values=["\\N", "NA"])
-    assert dict(two.dtypes) == {"a": "bigint", "b": "double", "c": "string"}
+    assert dict(two.dtypes) == {"a": "int", "b": "double", "c": "string"}
     assert sorted(two.collect(), key=str)[0] is not None
     assert {tuple(r) for r in two.collect()} == {(1, None, "x"), (None, 2.5, None), (3, 1.0, None)}
     typed = read_table(spark, path, "tsv", schema="a int, b double, c string", null_values=["\\N", "NA"])
