@@ -108,8 +108,8 @@ def vocabulary(counts: DataFrame, sent_words: int = SENT_WORDS) -> Vocabulary:
         if so_far > sent_words:
             break
         least = r["least"]
-    sent = counts.filter(F.col("n") >= least).toPandas()
-    number, count = sent["word"].to_numpy(np.int64).view(np.uint64), sent["n"].to_numpy(np.int64)
+    sent = counts.filter(F.col("n") >= least).select("word", "n").toArrow()
+    number, count = sent["word"].to_numpy().astype(np.int64).view(np.uint64), sent["n"].to_numpy().astype(np.int64)
     order = np.argsort(number)
     number, count = number[order], count[order]
     # frequent words first; each class has about as many tokens
@@ -191,8 +191,9 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float
             total = np.sum(np.stack(rows["moved"].to_numpy()), axis=0, dtype=np.float64) / rows["n"].sum()
             return pd.DataFrame({"place": [key[0]], "moved": [total.astype(np.float32)]})
 
-        for r in steps.groupBy("place").applyInPandas(add, "place int, moved array<float>").toPandas().itertuples():
-            weights[r.place * width : (r.place + 1) * width] += np.asarray(r.moved, dtype=np.float32).reshape(width, CLASSES)
+        total = steps.groupBy("place").applyInPandas(add, "place int, moved array<float>").toArrow()
+        for place, moved in zip(total["place"].to_pylist(), total["moved"]):
+            weights[place * width : (place + 1) * width] += moved.values.to_numpy().reshape(width, CLASSES)
         start.unpersist()
     return weights
 

@@ -147,8 +147,8 @@ def nearest(
     asked = asked.filter(F.size("v") == dim).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).select("vec_id", "v", mark)
     rows = rows.dropDuplicates(["mark", "v", "vec_id"]).withColumn("copy", F.row_number().over(smallest)).filter(F.col("copy") <= k + 1)
 
-    sample = rows.filter("copy = 1").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toPandas()["v"]
-    base = unit(matrix(sample))
+    sample = rows.filter("copy = 1").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow()["v"].combine_chunks()
+    base = unit(sample.flatten().to_numpy().reshape(-1, dim))
     lists = max(1, min(math.ceil(n / rows_per_list), max_lists, len(base)))
     centre = centres(base, lists, seed)
     probes = probes_for(base, centre, k, recall) if lists > 1 else 1
