@@ -12,6 +12,7 @@ look only at the two pieces that meet at a boundary. A text that fits into one c
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,9 +51,17 @@ class Pieces:
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.size = [1 if p.type in (2, 6) else len(p.piece) for p in proto.pieces]  # unknown and byte pieces: one character
         self.longest = max(len(p.piece) for p in proto.pieces if p.type not in (2, 3, 6))
+        self.begin = re.compile(f"(?<=[^{BLANK_PIECE}]){BLANK_PIECE}")
         # no piece has a blank after another character, so that a blank after one always begins a piece
         self.blank_begins = not any(BLANK_PIECE in p.piece.lstrip(BLANK_PIECE) for p in proto.pieces if p.type not in (2, 3, 6))
 
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of plain texts."""
+        return [np.asarray(x, dtype=np.int32) for x in self.bare.encode(texts, num_threads=1)]
+
+    def encode(self, text: str) -> list[int]:
+        return self.bare.encode(text)
+
     def plain(self, text: str) -> str:
         """The text as the vocabulary sees it."""
         return self.prefix + text.replace(" ", BLANK_PIECE) if text else ""
@@ -66,6 +75,13 @@ class Pieces:
                 break
         return out
 
+    def sure_before(self, text: str, end: int) -> int:
+        """The last place before ``end`` where a blank surely begins a piece, or 0."""
+        at = text.rfind(BLANK_PIECE, 0, end)
+        while at > 0 and text[at - 1] == BLANK_PIECE:
+            at = text.rfind(BLANK_PIECE, 0, at)
+        return max(at, 0)
+
     def meet(self, left: str, right: str) -> bool:
         """Whether two pieces may be neighbours."""
         return self.bare.encode(left + right) == self.bare.encode(left) + self.bare.encode(right)
@@ -73,17 +89,30 @@ class Pieces:
     def between(self, text: str, enter: int, leave: int, body: tuple[int, list[int]] | None = None) -> list[int]:
         """Ids of ``text[enter:leave]``; ``body`` has the ids up to a place near the end, if they are known."""
         if body and body[0] < leave and body[1]:
-            tail = self.bare.encode(text[body[0] : leave])
+            tail = self.encode(text[body[0] : leave])
             last, first = self.size[body[1][-1]], self.size[tail[0]]
             if self.meet(text[body[0] - last : body[0]], text[body[0] : body[0] + first]):
                 return body[1] + tail
-        return self.bare.encode(text[enter:leave])
+        return self.encode(text[enter:leave])
 
     def matrix(self, text: str, enters: list[int], cut: int, leaves: list[int]) -> list[tuple[int, int, float, str, str]]:
-        """(enter, leave, weight, first piece, last piece) of every path through the chunk that ends at ``cut``."""
+        """(enter, leave, weight, first piece, last piece) of every path through the chunk that ends at ``cut``.
+
+        Where a blank surely begins a piece, what is between the first and the last such place is on every path; only the
+        pieces before and after it are worked out.
+        """
+        sure = self.begin.search(text, enters[-1] + 1) if self.blank_begins else None
+        if sure and self.sure_before(text, cut) >= sure.start():
+            heads = [self.encode(text[a : sure.start()])[0] for a in enters]
+            out = []
+            for leave in leaves:
+                last = self.size[self.encode(text[self.sure_before(text, leave) : leave])[-1]]
+                if leave == cut or leave - last < cut:
+                    out += [(a, leave, 0.0, text[a : a + self.size[h]], text[leave - last : leave]) for a, h in zip(enters, heads)]
+            return out
         out = []
         for enter in enters:
-            ids = self.bare.encode(text[enter : max(enter, cut - TAIL)])
+            ids = self.encode(text[enter : max(enter, cut - TAIL)])
             body = None
             if len(ids) > 8:
                 ids = ids[:-8]  # the last pieces depend on what follows
@@ -169,7 +198,7 @@ def encode_short(docs: DataFrame, model: bytes) -> DataFrame:
             for a, b in _runs(batch.column(batch.num_columns - 1)):
                 part = batch.slice(a, b - a)
                 texts = part.column(part.num_columns - 1).to_pylist()
-                ids = [np.asarray(x, dtype=np.int32) for x in tool.bare.encode([tool.plain(t) for t in texts], num_threads=1)]
+                ids = tool.encode_all([tool.plain(t) for t in texts])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], _arrow_ids(ids)], names=[*kept, "ids"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
@@ -192,7 +221,9 @@ def chunks_of(texts: DataFrame, prefix: str, longest: int, chunk: int) -> DataFr
 def encode_giant(texts: DataFrame, model: bytes, chunk: int = CHUNK) -> DataFrame:
     """(sha, ids) for distinct giant texts (sha, text)."""
     tool = Pieces(model)
-    rows = chunks_of(texts, tool.prefix, tool.longest, chunk).repartition("sha", "chunk")
+    # chunks are small for what they cost, so their number of tasks is not left to their size
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = chunks_of(texts, tool.prefix, tool.longest, chunk).repartition(tasks, "sha", "chunk")
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = Pieces(model)
@@ -222,12 +253,12 @@ def encode_giant(texts: DataFrame, model: bytes, chunk: int = CHUNK) -> DataFram
         return pd.DataFrame({"sha": key[0], "chunk": range(n), "enter": cuts[:-1], "leave": cuts[1:]})
 
     chosen = entries.groupBy("sha").applyInPandas(best, CHOSEN)
-    paired = chunks_of(texts, tool.prefix, tool.longest, chunk).join(chosen, ["sha", "chunk"]).repartition("sha", "chunk")
+    paired = chunks_of(texts, tool.prefix, tool.longest, chunk).join(chosen, ["sha", "chunk"]).repartition(tasks, "sha", "chunk")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = Pieces(model)
         for batch in batches:
-            ids = [tool.bare.encode(p[a - b : e - b]) for p, a, e, b in zip(batch["part"], batch["enter"], batch["leave"], batch["begin"])]
+            ids = tool.encode_all([p[a - b : e - b] for p, a, e, b in zip(batch["part"], batch["enter"], batch["leave"], batch["begin"])])
             yield pd.DataFrame({"sha": batch["sha"], "chunk": batch["chunk"], "ids": ids})
 
     own = paired.select("sha", "chunk", "begin", "part", "enter", "leave").mapInPandas(encode, "sha string, chunk int, ids array<int>")

@@ -38,7 +38,7 @@ def in_chunks(tool, text, chunk):
             m[len(plain), len(plain)] = (0.0, "", "", ())
         parts.append(m)
     cuts = [0, *tool.path(parts), len(plain)]
-    return [i for a, b in zip(cuts, cuts[1:]) for i in tool.bare.encode(plain[a:b])]
+    return [i for a, b in zip(cuts, cuts[1:]) for i in tool.encode(plain[a:b])]
 
 
 ALPHABET = st.one_of(st.text("abeinrst he", max_size=400), st.text("a b\n", max_size=300), st.text(max_size=120), st.text("th eé😀☃ \u0001", max_size=200))
