@@ -1,6 +1,8 @@
 """Classification metrics as aggregations over scored rows."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -9,8 +11,15 @@ from modelscout.functions.columns import as_column
 RANGES = 1_024
 
 
+def _whole(value: Column, *needed: Column) -> Column:
+    """``value``, or an error in a row in which something needed is missing: no row is left out silently."""
+    gap = reduce(Column.__or__, [c.isNull() for c in needed])
+    return F.when(gap, F.raise_error(F.lit("a row without label, prediction or score"))).otherwise(value)
+
+
 def _counts(y: str, pred: str) -> dict[str, Column]:
-    yes, said = as_column(y) == 1, as_column(pred) == 1
+    needed = as_column(y), as_column(pred)
+    yes, said = (_whole(c == 1, *needed) for c in needed)
     return {
         "tp": F.count_if(yes & said),
         "fp": F.count_if(~yes & said),
@@ -20,7 +29,7 @@ def _counts(y: str, pred: str) -> dict[str, Column]:
 
 
 def confusion(df: DataFrame, y: str, pred: str) -> DataFrame:
-    """One row: true/false positive/negative counts of class 1."""
+    """One row: true/false positive/negative counts of class 1. A missing label or prediction is an error."""
     return df.agg(*[c.alias(n) for n, c in _counts(y, pred).items()])
 
 
@@ -57,15 +66,17 @@ def weighted_metrics(df: DataFrame, y: str, pred: str) -> DataFrame:
 
 
 def auc(df: DataFrame, y: str, score: str) -> DataFrame:
-    """One row: area under the ROC curve, exact, ties counted half. NULL when only one class is present.
+    """One row: area under the ROC curve, exact, ties counted half. NULL when only one class is present. A missing label or
+    score (NaN included) is an error.
 
     Rows are merged per score before anything is ordered. A quantile sketch of the scores (one map-side scan) cuts
     them into ordered ranges; running counts are taken within each range, and only one row per range, at most
     ``RANGES``, is ordered globally.
     """
-    rows = df.select(as_column(score).cast("double").alias("score"), (as_column(y) == 1).alias("yes")).filter(
-        F.col("score").isNotNull() & ~F.isnan("score") & F.col("yes").isNotNull()
-    )
+    x = as_column(score).cast("double")
+    x = F.when(~F.isnan(x), x)
+    needed = x, as_column(y)
+    rows = df.select(_whole(x, *needed).alias("score"), _whole(as_column(y) == 1, *needed).alias("yes"))
     probs = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
     cuts = rows.agg(F.percentile_approx("score", probs, 4 * RANGES)).first()[0] or []
     merged = rows.groupBy("score").agg(

@@ -42,6 +42,21 @@ def grubbs_statistic(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFra
     )
 
 
+def columns_with_outliers(summary: DataFrame, alpha: float = 0.01) -> list[str]:
+    """The numeric columns of a column summary from which the test removes something.
+
+    The first step of the test needs only count, mean, deviation and extremes, which the summary has; one row per
+    column comes to the driver.
+    """
+    out = []
+    for r in summary.filter("var_type = 1").select("var_name", "ds_count", "ds_mean", "ds_std", "ds_min", "ds_max").collect():
+        if r["ds_count"] >= 3 and r["ds_std"]:
+            g = max(r["ds_max"] - r["ds_mean"], r["ds_mean"] - r["ds_min"]) / r["ds_std"]
+            if grubbs_rejects(g, r["ds_count"], alpha):
+                out.append(r["var_name"])
+    return out
+
+
 def grubbs_outliers(
     df: DataFrame, col: str, alpha: float = 0.01, by: Sequence[str] = (), ends: int = MAX_ENDS
 ) -> DataFrame:
@@ -64,7 +79,9 @@ def grubbs_outliers(
         ).fields
     )
     start = {"_step": F.lit(0).cast("bigint"), "_low": F.lit(-math.inf), "_high": F.lit(math.inf)}
-    ends, deep = min(ends, MAX_ENDS), False
+    if not 0 < ends <= MAX_ENDS:
+        raise ValueError(f"ends is from 1 to {MAX_ENDS}")
+    deep = False
     removed, left = [], rows.withColumns(start)
     while True:
         ended = _ends_and_core(left, keys, ends, deep)

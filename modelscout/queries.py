@@ -231,6 +231,18 @@ def quality_report(spark, sf):
     return notes.unionByName(more)
 
 
+def quality_report_outliers(spark, sf):
+    """Notes on customers and events, the outlier test included."""
+    out = []
+    for name in ("customer", "events"):
+        df = table(spark, sf, name)
+        summary = profile.profile(df)
+        rows = profile.table_shape(df).select("row_number").scalar()
+        report = roles.quality_report(summary, rows, outliers.columns_with_outliers(summary))
+        out.append(report.withColumn("table", F.lit(name)))
+    return out[0].unionByName(out[1])
+
+
 def variable_summary(spark, sf):
     df = table(spark, sf, "lineitem")
     return roles.variable_summary(profile.profile(df), profile.table_shape(df).select("row_number").scalar())
@@ -540,7 +552,7 @@ QUERIES = {
     for f in (
         csv_round_trip, csv_documents, tsv_round_trip, tsv_conversations, parquet_round_trip, import_dataset, import_documents, result_store_round_trip, metadata_filter,
         list_datasets, delete_dataset, table_shape, profile_numeric, profile_approx, profile_string, top_value,
-        distinct_counts, distinct_counts_with_null, missing_counts, quality_report, variable_summary, suggest_roles,
+        distinct_counts, distinct_counts_with_null, missing_counts, quality_report, quality_report_outliers, variable_summary, suggest_roles,
         value_counts, histogram_numeric, box_stats, preview, sample_about, grubbs_statistic, grubbs_outliers,
         select_features, drop_sentinel, filter_between, cast_columns, drop_incomplete, flag_weighted_mean, flag_mean,
         flag_constant, weighted_mean, left_join, explode_delimited, train_test_split, one_hot, one_hot_aligned,

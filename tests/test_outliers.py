@@ -1,7 +1,11 @@
+import math
+import time
+
 import numpy as np
 import pytest
 
 from modelscout.functions.student import grubbs_rejects, t_tail
+from modelscout.operators import outliers, profile, roles
 from modelscout.operators.outliers import grubbs_outliers
 
 
@@ -58,3 +62,24 @@ def test_groups_gaps_and_flat_columns(make):
 
 def test_empty(make):
     assert removed(make([], "x double")) == []
+
+
+def test_note_goes_to_columns_the_test_takes_from(make):
+    rows = [(float(i % 7), float(i % 5) + (1000.0 if i == 3 else 0.0), float(i), 1.0) for i in range(60)]
+    df = make(rows, "calm double, odd double, even double, flat double")
+    summary = profile.profile(df)
+    found = outliers.columns_with_outliers(summary)
+    assert found == [c for c in df.columns if not outliers.grubbs_outliers(df, c).isEmpty()] == ["odd"]
+    notes = {r["var_name"]: r["quality"] for r in roles.quality_report(summary, 60, found).collect()}
+    assert notes == {"calm": "", "odd": "might be outliers", "even": "", "flat": ""}
+
+
+def test_many_removals_take_linear_time():
+    """A deep end of distinct values, all of which go."""
+    n = 20_000
+    values = np.concatenate([[-1.0], 1e9 * 1.001 ** np.arange(n), [math.nan]])
+    rows = np.concatenate([np.ones(n + 1, int), [10**7]])
+    means, spreads = np.where(np.isnan(values), 0.0, values), np.where(np.isnan(values), 1.0, 0.0)
+    start = time.monotonic()
+    taken, *_ = outliers._walk(values, rows, means, spreads, -1.0, 0.01)
+    assert len(taken) > 10_000 and time.monotonic() - start < 20
