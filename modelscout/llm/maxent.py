@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from modelscout.llm.words import mix, powers, words
@@ -30,6 +31,7 @@ BUCKETS = 1 << 14  # per kind of feature
 ROUNDS = 3
 STEP_TOKENS = 1 << 15
 RATE = 0.5
+ADDERS = 256  # tasks that add up a part of the table in the first step
 END = np.uint64(0x452821E638D01377)  # the number of the end of a text
 SALTS = mix(np.arange(FEATURES, dtype=np.uint64) + np.uint64(11))
 
@@ -175,25 +177,30 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float
                     n += len(t)
             if not n:
                 return
-            moved = ((w - start.value) * np.float32(n)).reshape(-1, width * CLASSES)
+            moved, share = ((w - start.value) * np.float32(n)).reshape(-1, width * CLASSES), TaskContext.get().partitionId() % ADDERS
             for a in range(0, len(moved), 64):
                 part = moved[a : a + 64]
                 ends = pa.array(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(a, a + len(part), dtype=np.int32)), pa.ListArray.from_arrays(ends, pa.array(part.ravel(), pa.float32())), pa.array(np.full(len(part), n, dtype=np.int64))],
-                    names=["place", "moved", "n"],
+                    [
+                        pa.array(np.arange(a, a + len(part), dtype=np.int32)), pa.array(np.full(len(part), share, dtype=np.int32)),
+                        pa.ListArray.from_arrays(ends, pa.array(part.ravel(), pa.float32())), pa.array(np.full(len(part), n, dtype=np.int64)),
+                    ],
+                    names=["place", "share", "moved", "n"],
                 )
 
         part = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(rounds)) == round_).select("text")
-        steps = part.mapInArrow(run, "place int, moved array<float>, n bigint")
+        kind = "place int, share int, moved array<float>, n bigint"
+        steps = part.mapInArrow(run, kind)
 
         def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            total = np.sum(np.stack(rows["moved"].to_numpy()), axis=0, dtype=np.float64) / rows["n"].sum()
-            return pd.DataFrame({"place": [key[0]], "moved": [total.astype(np.float32)]})
+            moved = np.sum(np.stack(rows["moved"].to_numpy()), axis=0, dtype=np.float64).astype(np.float32)
+            return pd.DataFrame({"place": [key[0]], "share": [0], "moved": [moved], "n": [rows["n"].sum()]})
 
-        total = steps.groupBy("place").applyInPandas(add, "place int, moved array<float>").toArrow()
-        for place, moved in zip(total["place"].to_pylist(), total["moved"]):
-            weights[place * width : (place + 1) * width] += moved.values.to_numpy().reshape(width, CLASSES)
+        # in two steps, so that no task adds up what all tasks of a large run send
+        total = steps.groupBy("place", "share").applyInPandas(add, kind).groupBy("place").applyInPandas(add, kind).toArrow()
+        for place, moved, n in zip(total["place"].to_pylist(), total["moved"], total["n"].to_pylist()):
+            weights[place * width : (place + 1) * width] += (moved.values.to_numpy() / np.float32(n)).reshape(width, CLASSES)
         start.unpersist()
     return weights
 
@@ -208,8 +215,6 @@ def _scored(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray) -> DataFram
     log_all = math.log10(vocab.total + 0.5 * (vocab.distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         base_class, number = sent.value.log_share.astype(np.float32), TaskContext.get().partitionId() << 36
         for batch in batches:
             for a, b, t, cuts in tokens(batch.column(1)):
