@@ -3,9 +3,10 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from compare import compare, duck
+from modelscout.oracle import ORACLE
+from modelscout.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
-SLOW = {"score_local_deep_boosted", "score_local_stumps", "tree_shap", "score_boosted", "run_experiment"}
 
 
 @pytest.fixture(scope="module")
@@ -13,15 +14,15 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, con, name):
-    _, problems = compare(queries()[name](spark, SF), con, oracle_sql()[name])
+    _, problems = compare(QUERIES[name](spark, SF), con, ORACLE[name])
     assert not problems
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_has_rows(spark, name):
-    assert queries()[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
@@ -29,4 +30,5 @@ def test_entry(spark):
 
 
 def test_sql_only_for_queries():
+    assert set(QUERIES) <= set(queries()) and set(ORACLE) <= set(oracle_sql())
     assert set(oracle_sql()) <= set(queries())
