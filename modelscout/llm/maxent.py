@@ -31,7 +31,8 @@ BUCKETS = 1 << 14  # per kind of feature
 ROUNDS = 3
 STEP_TOKENS = 1 << 15
 RATE = 0.5
-ADDERS = 256  # tasks that add up a part of the table in the first step
+TASK_TOKENS = 1 << 20  # that a task goes through in a round, about: what it sends is worth it
+ADDED = 64  # tasks whose weights are added up in the first step
 END = np.uint64(0x452821E638D01377)  # the number of the end of a text
 SALTS = mix(np.arange(FEATURES, dtype=np.uint64) + np.uint64(11))
 
@@ -164,6 +165,9 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float
     sent = spark.sparkContext.broadcast(vocab)
     base = vocab.log_share.astype(np.float32)
     width = 64  # rows of the table per row of the shuffle
+    # a task sends a table of fixed size, so tasks follow the tokens and not the files
+    tasks = max(1, math.ceil(vocab.total / rounds / TASK_TOKENS))
+    shares = math.ceil(tasks / ADDED)
     for round_ in range(rounds):
         start = spark.sparkContext.broadcast(weights)
 
@@ -177,7 +181,7 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float
                     n += len(t)
             if not n:
                 return
-            moved, share = ((w - start.value) * np.float32(n)).reshape(-1, width * CLASSES), TaskContext.get().partitionId() % ADDERS
+            moved, share = ((w - start.value) * np.float32(n)).reshape(-1, width * CLASSES), TaskContext.get().partitionId() % shares
             for a in range(0, len(moved), 64):
                 part = moved[a : a + 64]
                 ends = pa.array(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32))
@@ -189,7 +193,7 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float
                     names=["place", "share", "moved", "n"],
                 )
 
-        part = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(rounds)) == round_).select("text")
+        part = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(rounds)) == round_).select("text").coalesce(tasks)
         kind = "place int, share int, moved array<float>, n bigint"
         steps = part.mapInArrow(run, kind)
 
