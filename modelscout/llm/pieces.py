@@ -242,14 +242,17 @@ def encode_giant(texts: DataFrame, model: bytes, chunk: int = CHUNK) -> DataFram
 
     entries = rows.mapInPandas(matrices, "sha string, chunk int, enter bigint, leave bigint, weight double, first string, last string")
 
+    loaded: list[Pieces] = []  # once per task, not once per text
+
     def best(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        tool = Pieces(model)
+        if not loaded:
+            loaded.append(Pieces(model))
         n = int(rows["chunk"].max()) + 1
         parts: list[dict] = [{} for _ in range(n)]
         for r in rows.itertuples():
             parts[r.chunk][r.enter, r.leave] = (r.weight, r.first, r.last, ())
         end = max(leave for _, leave in parts[-1])
-        cuts = [0, *tool.path(parts), end]
+        cuts = [0, *loaded[0].path(parts), end]
         return pd.DataFrame({"sha": key[0], "chunk": range(n), "enter": cuts[:-1], "leave": cuts[1:]})
 
     chosen = entries.groupBy("sha").applyInPandas(best, CHOSEN)
