@@ -251,7 +251,8 @@ def repeated_spans(texts: DataFrame, placed: DataFrame, window: int, gram: int,
     ``placed`` has the same rows dealt by ``row``.
     """
     low_high = anchors_of(texts, window, gram).groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    repeated = low_high.filter("low < high").select("anchor")
+    # written out, so that the contexts of a very frequent anchor can be dealt to several tasks
+    repeated = materialize(low_high.filter("low < high").select("anchor"), "substring-anchors")
     found = materialize(contexts_of(texts, window, gram).join(repeated, "anchor"), "substring-contexts")
     first = found.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "row", "lo", "n")).alias("at"))
     first = materialize(first.select("anchor", "digest", "at.*"), "substring-reference")
