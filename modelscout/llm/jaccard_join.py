@@ -264,6 +264,8 @@ def jaccard_join(
 
     of_class = named.join(count, "class", "left").join(roots, F.col("rep") == F.col("node"), "left")
     of_class = of_class.select("class", F.coalesce("root", "rep").alias("class_id"), (F.col("n_docs") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    # written out, so that the rows of a class with very many copies can be dealt to several tasks
+    of_class = materialize(of_class, "jaccard-of-class")
     per_id = shared.join(of_class, "class").groupBy("id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
     asked = docs.select(F.col(id).alias("doc_id"))
     return asked.join(per_id, F.col("doc_id") == F.col("id"), "left").select(
