@@ -73,7 +73,8 @@ def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", co
 def without_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_duplicates` keeps, with all their columns.
 
-    Copies of the frequent texts are left out before anything is shuffled; of the others the ids that go are anti-joined.
+    Copies of the frequent texts are left out before anything is shuffled; of the others the rows that go, known by id and
+    digest, are anti-joined.
     """
     spark = docs.sparkSession
     found = materialize(exact_duplicates(docs, id, text, counters), "exact-decisions")
@@ -82,9 +83,11 @@ def without_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text",
     hot = spark.createDataFrame([(r["text_sha256"], r["keep_id"]) for r in winners], "__sha string, __keep bigint")
     sha: Column = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     marked = docs.withColumn("__own_sha", sha).join(F.broadcast(hot), F.col("__own_sha") == F.col("__sha"), "left")
-    marked = marked.filter(F.col("__sha").isNull() | F.col(id).eqNullSafe(F.col("__keep"))).drop("__own_sha", "__sha", "__keep")
+    marked = marked.filter(F.col("__sha").isNull() | F.col(id).eqNullSafe(F.col("__keep"))).drop("__sha", "__keep")
     gone = found.filter("NOT kept").join(F.broadcast(hot.select(F.col("__sha").alias("text_sha256"))), "text_sha256", "left_anti")
-    return marked.join(gone.select(F.col("doc_id").alias("__gone")).distinct(), F.col(id).eqNullSafe(F.col("__gone")), "left_anti")
+    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__gone_sha")).distinct()
+    same = F.col(id).eqNullSafe(F.col("__gone")) & (F.col("__own_sha") == F.col("__gone_sha"))
+    return marked.join(gone, same, "left_anti").drop("__own_sha")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

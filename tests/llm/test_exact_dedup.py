@@ -39,6 +39,14 @@ def test_survivors(docs):
     assert sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(f"Row(doc_id={i!r}, text={t!r})" for i, t in want)
 
 
+def test_survivors_outside_the_frequent_texts(docs):
+    """A row goes by its id and its text: not with another text of its id, nor with another row without an id."""
+    rows = [(i, "hot text") for i in range(10)] + [(None, "copied"), (20, "copied"), (None, "alone"), (30, "A"), (31, "A"), (30, "B"), (None, "pair"), (None, "pair")]
+    kept = E.without_duplicates(docs(rows).repartition(2), counters=1).select("doc_id", "text").collect()
+    want = [(9, "hot text"), (20, "copied"), (None, "alone"), (31, "A"), (30, "B"), (None, "pair"), (None, "pair")]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
 def test_empty(docs):
     assert E.exact_duplicates(docs([])).collect() == []
     assert E.without_duplicates(docs([])).collect() == []
