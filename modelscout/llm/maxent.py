@@ -4,7 +4,8 @@ P(word | history) = P(class | history) * P(word | class). Classes are bands of t
 the same share of all tokens; within a class a word has its smoothed relative frequency. The class factor is a softmax over
 hashed features of the history: the word before, the two and the three words before, and the word before that one (a skip).
 Its weights are trained by rounds of distributed gradient steps: every task goes through its part of the round's texts from
-the weights sent out, and the tasks' weights are averaged by their number of tokens.
+the weights sent out, and what the tasks learnt about a bucket is averaged by how often each met it. The number of buckets
+grows with the training tokens, and tasks send the buckets that they met and no others.
 
 Words are known by 64-bit numbers. Counts of the most frequent words, of a bounded number, are sent to all tasks; the other
 words of a text are joined with their counts by a shuffle.
@@ -27,12 +28,14 @@ from modelscout.sources.scratch import materialize
 SENT_WORDS = 1 << 20  # most frequent words whose counts go to all tasks: 12 bytes each
 CLASSES = 16  # the last one holds the words that are not sent, and unknown ones
 FEATURES = 4
-BUCKETS = 1 << 14  # per kind of feature
+BUCKETS = 1 << 14  # per kind of feature, at least
+BUCKET_TOKENS = 1 << 9  # training tokens per bucket of a kind, at most, once there are more buckets
+PLACE = 1 << 10  # buckets that are added up together
 ROUNDS = 3
 STEP_TOKENS = 1 << 15
 RATE = 0.5
 TASK_TOKENS = 1 << 20  # that a task goes through in a round, about: what it sends is worth it
-ADDED = 64  # tasks whose weights are added up in the first step
+ADDED = 64  # tasks whose steps are added up in the first step
 END = np.uint64(0x452821E638D01377)  # the number of the end of a text
 SALTS = mix(np.arange(FEATURES, dtype=np.uint64) + np.uint64(11))
 
@@ -47,7 +50,12 @@ def tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         yield a, b, np.insert(w, cuts[1:], END), cuts + np.arange(len(cuts))
 
 
-def features(w: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+def buckets_for(total: int, bucket_tokens: int = BUCKET_TOKENS) -> int:
+    """Buckets per kind of feature for so many training tokens: a power of two, without an upper limit."""
+    return max(BUCKETS, 1 << max(math.ceil(total / bucket_tokens) - 1, 0).bit_length())
+
+
+def features(w: np.ndarray, cuts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """Bucket of each of the FEATURES of every token; the start of the text stands for what is before it."""
     first = np.repeat(cuts[:-1], np.diff(cuts))
     at = np.arange(len(w))
@@ -62,7 +70,7 @@ def features(w: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     p = powers(4)
     pair = one + two * p[1]
     kinds = (one, pair, pair + three * p[2], two)
-    return np.stack([(mix(x ^ s) >> np.uint64(40)).astype(np.int64) % BUCKETS + k * BUCKETS for k, (x, s) in enumerate(zip(kinds, SALTS))], axis=1)
+    return np.stack([(mix(x ^ s) >> np.uint64(24)).astype(np.int64) % buckets + k * buckets for k, (x, s) in enumerate(zip(kinds, SALTS))], axis=1)
 
 
 @dataclass(frozen=True)
@@ -153,58 +161,72 @@ def train_step(weights: np.ndarray, seen: np.ndarray, base: np.ndarray, f: np.nd
         weights[rows] += (rate / f.shape[1]) * np.add.reduceat(gradient[order], starts) / np.sqrt(n * seen[rows])[:, None]
 
 
-def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float = RATE) -> np.ndarray:
+def _send(at: np.ndarray, moved: np.ndarray, met: np.ndarray, share: int) -> Iterator[pa.RecordBatch]:
+    """Rows (place, share, at, moved, met) of buckets ``at``, in order: one row per place that has any of them."""
+    starts = np.flatnonzero(np.concatenate(([True], at[1:] // PLACE != at[:-1] // PLACE)))
+    ends = np.append(starts[1:], len(at))
+    for k in range(0, len(starts), 16):
+        a, b = starts[k : k + 16], ends[k : k + 16]
+        rows, cuts = slice(a[0], b[-1]), np.append(a, b[-1]).astype(np.int32) - a[0].astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array((at[a] // PLACE).astype(np.int64)), pa.array(np.full(len(a), share, dtype=np.int32)),
+                pa.ListArray.from_arrays(pa.array(cuts), pa.array((at[rows] % PLACE).astype(np.int16))),
+                pa.ListArray.from_arrays(pa.array(cuts * CLASSES), pa.array(moved[rows].ravel())), pa.ListArray.from_arrays(pa.array(cuts), pa.array(met[rows])),
+            ],
+            names=["place", "share", "at", "moved", "met"],
+        )
+
+
+def _add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a place as one."""
+    moved, met = np.zeros((PLACE, CLASSES)), np.zeros(PLACE)
+    for at, m, n in zip(rows["at"], rows["moved"], rows["met"]):
+        moved[at] += np.asarray(m).reshape(-1, CLASSES)
+        met[at] += n
+    at = np.flatnonzero(met)
+    return pd.DataFrame({"place": [key[0]], "share": [0], "at": [at.astype(np.int16)], "moved": [moved[at].ravel().astype(np.float32)], "met": [met[at].astype(np.float32)]})
+
+
+def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float = RATE, bucket_tokens: int = BUCKET_TOKENS) -> np.ndarray:
     """Weights (buckets, classes) after one pass over all texts of ``docs`` (id, text), a part of them in each round.
 
-    What comes back from a round is one table of weights of a fixed size: the tasks' sums are added up by the shuffle.
+    What comes back from a round is a row of weights per bucket that was met: the tasks' steps are added up by the shuffle.
     """
     spark = docs.sparkSession
-    weights = np.zeros((FEATURES * BUCKETS, CLASSES), dtype=np.float32)
+    buckets = buckets_for(vocab.total, bucket_tokens)
+    weights = np.zeros((FEATURES * buckets, CLASSES), dtype=np.float32)
     if vocab.total == 0:
         return weights
     sent = spark.sparkContext.broadcast(vocab)
     base = vocab.log_share.astype(np.float32)
-    width = 64  # rows of the table per row of the shuffle
-    # a task sends a table of fixed size, so tasks follow the tokens and not the files
+    # tasks follow the tokens and not the files: what a task sends should be worth it
     tasks = max(1, math.ceil(vocab.total / rounds / TASK_TOKENS))
     shares = math.ceil(tasks / ADDED)
     for round_ in range(rounds):
         start = spark.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w, seen, n = start.value.copy(), np.zeros(FEATURES * BUCKETS, dtype=np.float32), 0
+            w, seen = start.value.copy(), np.zeros(FEATURES * buckets, dtype=np.float32)
             for batch in batches:
                 for _, _, t, cuts in tokens(batch.column(0)):
-                    f, target = features(t, cuts), sent.value.look_up(t)[1]
+                    f, target = features(t, cuts, buckets), sent.value.look_up(t)[1]
                     for a in range(0, len(t), STEP_TOKENS):
                         train_step(w, seen, base, f[a : a + STEP_TOKENS], target[a : a + STEP_TOKENS], rate)
-                    n += len(t)
-            if not n:
+            at = np.flatnonzero(seen)
+            if not len(at):
                 return
-            moved, share = ((w - start.value) * np.float32(n)).reshape(-1, width * CLASSES), TaskContext.get().partitionId() % shares
-            for a in range(0, len(moved), 64):
-                part = moved[a : a + 64]
-                ends = pa.array(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(a, a + len(part), dtype=np.int32)), pa.array(np.full(len(part), share, dtype=np.int32)),
-                        pa.ListArray.from_arrays(ends, pa.array(part.ravel(), pa.float32())), pa.array(np.full(len(part), n, dtype=np.int64)),
-                    ],
-                    names=["place", "share", "moved", "n"],
-                )
+            met = seen[at]
+            yield from _send(at, (w[at] - start.value[at]) * met[:, None], met, TaskContext.get().partitionId() % shares)
 
         part = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(rounds)) == round_).select("text").coalesce(tasks)
-        kind = "place int, share int, moved array<float>, n bigint"
+        kind = "place bigint, share int, at array<smallint>, moved array<float>, met array<float>"
         steps = part.mapInArrow(run, kind)
-
-        def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            moved = np.sum(np.stack(rows["moved"].to_numpy()), axis=0, dtype=np.float64).astype(np.float32)
-            return pd.DataFrame({"place": [key[0]], "share": [0], "moved": [moved], "n": [rows["n"].sum()]})
-
         # in two steps, so that no task adds up what all tasks of a large run send
-        total = steps.groupBy("place", "share").applyInPandas(add, kind).groupBy("place").applyInPandas(add, kind).toArrow()
-        for place, moved, n in zip(total["place"].to_pylist(), total["moved"], total["n"].to_pylist()):
-            weights[place * width : (place + 1) * width] += (moved.values.to_numpy() / np.float32(n)).reshape(width, CLASSES)
+        total = steps.groupBy("place", "share").applyInPandas(_add, kind).groupBy("place").applyInPandas(_add, kind).toArrow()
+        for place, at, moved, met in zip(total["place"].to_pylist(), total["at"], total["moved"], total["met"]):
+            rows = place * PLACE + at.values.to_numpy().astype(np.int64)
+            weights[rows] += moved.values.to_numpy().reshape(-1, CLASSES) / met.values.to_numpy()[:, None]
         start.unpersist()
     return weights
 
@@ -215,7 +237,7 @@ def _scored(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray) -> DataFram
     ``rare`` has the numbers of those words; the logarithm of their smoothed counts is still to be added to both scores.
     """
     spark = docs.sparkSession
-    sent, table = spark.sparkContext.broadcast(vocab), spark.sparkContext.broadcast(weights)
+    sent, table, buckets = spark.sparkContext.broadcast(vocab), spark.sparkContext.broadcast(weights), len(weights) // FEATURES
     log_all = math.log10(vocab.total + 0.5 * (vocab.distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +245,7 @@ def _scored(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray) -> DataFram
         for batch in batches:
             for a, b, t, cuts in tokens(batch.column(1)):
                 count, class_ = sent.value.look_up(t)
-                f = features(t, cuts)
+                f = features(t, cuts, buckets)
                 log_class = np.concatenate([
                     _class_scores(table.value, base_class, f[k : k + STEP_TOKENS])[np.arange(len(f[k : k + STEP_TOKENS])), class_[k : k + STEP_TOKENS]]
                     for k in range(0, len(t), STEP_TOKENS)

@@ -85,5 +85,39 @@ def test_gradient_steps_lower_the_loss():
     assert loss() < 0.8 * first
 
 
+def test_table_grows_with_the_corpus(docs):
+    """More tokens give more buckets, and contexts that a small table would mix up are learnt from each on its own."""
+    sizes = [M.buckets_for(10**k) for k in range(5, 12)]
+    assert sizes == sorted(sizes) and all(n & (n - 1) == 0 and n * M.BUCKET_TOKENS >= 10**k for k, n in zip(range(5, 12), sizes))
+    rng = np.random.default_rng(3)
+    follow = rng.integers(0, 300, (300, 300))
+    rows = []
+    for i in range(200):
+        w = [0, 1]
+        while len(w) < 1000:
+            w.append(int(follow[w[-2], w[-1]]) if rng.random() < 0.7 else int(rng.integers(0, 300)))
+        rows.append((i, " ".join(f"w{x}" for x in w)))
+    frame = docs(rows).repartition(3)
+    vocab = M.vocabulary(M.word_counts(frame))
+    score = {}
+    for bucket_tokens in (M.BUCKET_TOKENS, 1):
+        weights = M.train(frame, vocab, bucket_tokens=bucket_tokens)
+        assert len(weights) == M.FEATURES * M.buckets_for(vocab.total, bucket_tokens)
+        score[len(weights)] = sum(r["score"] for r in M._scored(frame, vocab, weights).collect()) / vocab.total
+    small, large = sorted(score)
+    assert large >= 16 * small and score[large] > score[small] + 0.01
+
+
+def test_tasks_are_averaged_by_what_they_met():
+    rows = [M.pd.DataFrame(dict(zip(b.schema.names, (c.to_pylist() for c in b.columns)))) for b in [
+        *M._send(np.array([3, M.PLACE + 1]), np.full((2, M.CLASSES), 2.0, np.float32), np.array([1, 4], np.float32), 0),
+        *M._send(np.array([3, 5]), np.full((2, M.CLASSES), 6.0, np.float32), np.array([3, 2], np.float32), 0),
+    ]]
+    every = M.pd.concat(rows)
+    got = M._add((0,), every[every["place"] == 0]).iloc[0]
+    assert list(got["at"]) == [3, 5] and list(got["met"]) == [4, 2] and list(got["moved"]) == [8.0] * M.CLASSES + [6.0] * M.CLASSES
+    assert sorted(every["place"]) == [0, 0, 1]
+
+
 def test_empty(docs):
     assert M.language_model_scores(docs([]), M.fold("doc_id") != 1).collect() == []
