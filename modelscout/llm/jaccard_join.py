@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from modelscout.llm.components import components
 from modelscout.llm.words import mix, shingles, words
@@ -95,6 +95,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, row bigint, size bigint, set1 bigint, set2 bigint, bands array<bigint>")
 
 
+KEY = ["size", "set1", "set2"]  # of a class of equal sets
 UNIT = ["band", "hash", "i", "j"]
 
 
@@ -227,6 +228,29 @@ def similar_classes(classes: DataFrame, texts: DataFrame, n: int, similarity: fl
     return kept.join(sets, "id").groupBy("group").applyInPandas(verify, "id bigint, other bigint, links bigint")
 
 
+def _row(id: str, text: str) -> Column:
+    """The number of a row's id and text together."""
+    return F.xxhash64(F.col(id), F.coalesce(F.col(text), F.lit("")))
+
+
+def _linked(
+    docs: DataFrame, n: int, similarity: float, recall: float, id: str, text: str, block: int
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows (id, row, KEY, bands) with words; members (KEY, id, row); classes of equal sets (KEY, class, rep, n_docs), of which
+    ``rep`` is the smallest id; and what :func:`similar_classes` finds among the classes."""
+    bands, rows = bands_for(similarity, recall)
+    body = F.coalesce(F.col(text), F.lit(""))
+    given = docs.filter(F.col(id).isNotNull()).select(F.col(id).cast("bigint").alias("id"), _row(id, text).alias("row"), body.alias("text"))
+    signed = materialize(signatures(given, n, bands, rows).filter("size > 0"), "jaccard-signatures")
+    members = signed.groupBy(*KEY, "id").agg(F.min("row").alias("row"))
+    named = members.groupBy(*KEY).agg(F.min("row").alias("class"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_docs"))
+    named = materialize(named, "jaccard-classes")
+    carried = signed.withColumn("class", F.col("row")).join(named, [*KEY, "class"]).dropDuplicates(["class"])
+    classes = materialize(carried.select(F.col("class").alias("id"), "size", "n_docs", "bands"), "jaccard-carriers")
+    texts = given.select(F.col("row").alias("id"), "text")
+    return signed, members, named, materialize(similar_classes(classes, texts, n, similarity, block), "jaccard-found")
+
+
 def jaccard_join(
     docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, id: str = "doc_id", text: str = "text", block: int = BLOCK
 ) -> DataFrame:
@@ -239,25 +263,13 @@ def jaccard_join(
     is linked through each of them (its links add up, its classes run together). Rows with a NULL id have NULL as class and no
     links. An empty table gives no rows. Other columns are not read.
     """
-    bands, rows = bands_for(similarity, recall)
-    body = F.coalesce(F.col(text), F.lit(""))
-    given = docs.filter(F.col(id).isNotNull()).select(F.col(id).cast("bigint").alias("id"), F.xxhash64(F.col(id), body).alias("row"), body.alias("text"))
-    signed = materialize(signatures(given, n, bands, rows).filter("size > 0"), "jaccard-signatures")
-    key = ["size", "set1", "set2"]
-    members = signed.groupBy(*key, "id").agg(F.min("row").alias("row"))
-    named = members.groupBy(*key).agg(F.min("row").alias("class"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_docs"))
-    named = materialize(named, "jaccard-classes")
-    carried = signed.withColumn("class", F.col("row")).join(named, [*key, "class"]).dropDuplicates(["class"])
-    classes = materialize(carried.select(F.col("class").alias("id"), "size", "n_docs", "bands"), "jaccard-carriers")
-    texts = given.select(F.col("row").alias("id"), "text")
-    found = materialize(similar_classes(classes, texts, n, similarity, block), "jaccard-found")
-
+    signed, members, named, found = _linked(docs, n, similarity, recall, id, text, block)
     rep = named.select("class", "rep")
     count = found.groupBy(F.col("id").alias("class")).agg(F.sum("links").alias("others"))
     joined = found.filter("other IS NOT NULL").join(rep.withColumnRenamed("rep", "a"), F.col("id") == F.col("class")).select("a", "other")
     links = joined.join(rep.withColumnRenamed("rep", "b"), F.col("other") == F.col("class")).select("a", "b")
     # an id that stands in several classes connects them
-    shared = members.join(named, key).select("id", "class", "rep")
+    shared = members.join(named, KEY).select("id", "class", "rep")
     spread = shared.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("top")).filter("low < top").select("id")
     bridges = shared.join(spread, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     roots = components(links.unionByName(bridges))
@@ -274,10 +286,20 @@ def jaccard_join(
 
 
 def without_similar(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id is the smallest of its class; rows with a NULL id stay."""
-    found = jaccard_join(docs, n, similarity, id=id, text=text)
-    gone = found.filter("class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id) == F.col("__gone"), "left_anti")
+    """The rows of ``docs``, with all their columns, whose id is the smallest among all texts that links connect with their own.
+
+    Links are those of :func:`jaccard_join`, but every row goes by its own text: an id with several texts does not connect them,
+    and may stay with one and go with another. Rows without words or with a NULL id stay.
+    """
+    signed, _, named, found = _linked(docs, n, similarity, RECALL, id, text, BLOCK)
+    # nodes are classes and not ids, so that an id with several texts is no bridge
+    roots = materialize(components(found.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))), "jaccard-roots")
+    reps = materialize(roots.join(named, F.col("node") == F.col("class")).select("root", "class", "rep"), "jaccard-reps")
+    low = reps.groupBy("root").agg(F.min("rep").alias("low"))
+    lows = materialize(reps.join(low, "root").select("class", "low"), "jaccard-lows")
+    of_class = materialize(named.join(lows, "class", "left").select(*KEY, F.coalesce("low", "rep").alias("low")), "jaccard-lowest")
+    gone = signed.join(of_class, KEY).filter("id <> low").select(F.col("id").alias("__gone"), F.col("row").alias("__gone_row")).distinct()
+    return docs.join(gone, (F.col(id) == F.col("__gone")) & (_row(id, text) == F.col("__gone_row")), "left_anti")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

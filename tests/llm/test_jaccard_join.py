@@ -77,6 +77,14 @@ def test_repeated_and_missing_ids(docs):
     assert J.jaccard_join(docs([])).collect() == []
 
 
+def test_rows_of_one_id_go_by_their_own_text(docs):
+    """An id with two texts stays with the text of which it is the smallest id, and does not connect the two."""
+    a, b = ([f"{x}{k}" for k in range(60)] for x in "ab")
+    rows = [(3, " ".join([*a[:-1], "end"])), (5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*b[:-1], "end"])), (8, None), (None, " ".join(a))]
+    kept = J.without_similar(docs(rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
+
+
 def test_bands_reach_the_recall():
     bands, rows = J.bands_for(0.8, 0.9995)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9995 and bands * rows <= J.MAX_HASHES
