@@ -177,8 +177,9 @@ def similar_classes(classes: DataFrame, texts: DataFrame, n: int, similarity: fl
     members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
     units = members.select("band", "hash", "id", "size", "n_docs", "bands", "block", other)
-    # a unit is small; many of them share a group so that a group is worth its start
-    groups = max(1, math.ceil(met.count() / GROUP_ROWS))
+    # a unit is small; many of them share a group so that a group is worth its start; a row counts once for every unit it goes to
+    copied = met.agg(F.sum(F.ceil(F.col("members") / block))).first()[0] or 0
+    groups = max(1, math.ceil(copied / GROUP_ROWS))
     units = units.select(
         "band", "hash", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "size", "n_docs", "bands", "block"
     ).withColumn("group", F.pmod(F.xxhash64(*UNIT), F.lit(groups)).cast("int"))

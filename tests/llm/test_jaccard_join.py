@@ -85,6 +85,19 @@ def test_rows_of_one_id_go_by_their_own_text(docs):
     assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
 
 
+def test_groups_stay_bounded_in_a_large_bucket(docs, monkeypatch):
+    """Copies of a bucket's rows for its many units count when units are dealt to groups."""
+    seen = {}
+    monkeypatch.setattr(J, "materialize", lambda df, label, f=J.materialize: seen.setdefault(label, f(df, label)))
+    monkeypatch.setattr(J, "GROUP_ROWS", 256)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(i, " ".join([*base[:i], f"own{i}", *base[i + 1 :]])) for i in range(120)]
+    found = J.jaccard_join(docs(rows), block=4).collect()
+    assert {(r["class_id"], r["n_links"]) for r in found} == {(0, 119)}
+    sizes = [r["count"] for r in seen["jaccard-units"].groupBy("group").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 4 * 256, (len(sizes), sum(sizes), max(sizes))
+
+
 def test_bands_reach_the_recall():
     bands, rows = J.bands_for(0.8, 0.9995)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9995 and bands * rows <= J.MAX_HASHES
