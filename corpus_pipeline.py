@@ -1,6 +1,7 @@
 """The corpus pipeline: stages over documents, each of which takes what the one before it kept.
 
-The first four stages keep rows of documents with all their columns; the last one encodes what is left.
+The first four stages keep rows of documents with all their columns; the last one encodes what is left
+and decodes it again.
 """
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from modelscout.llm.exact_dedup import without_duplicates
 from modelscout.llm.jaccard_join import without_similar
 from modelscout.llm.mixing import mixed_documents
-from modelscout.llm.pieces import encode_documents, load_model
+from modelscout.llm.pieces import decode_ids, encode_documents, load_model
 from modelscout.llm.quality import good_documents
 from modelscout.sources.scratch import materialize
 
@@ -37,8 +38,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_pieces, ids) of every document."""
-    return encode_documents(docs, load_model()).select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids")
+    """(doc_id, n_pieces, ids, decoded_sha256) of every document; the last is the digest of the text that the ids decode to."""
+    model = load_model()
+    decoded = decode_ids(encode_documents(docs, model), model)
+    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -46,7 +49,7 @@ STAGES = [
     ("exact dedup", exact_stage),
     ("n-gram Jaccard join", similar_stage),
     ("mixing sources to target weights", mixing_stage),
-    ("SentencePiece encoding", pieces_stage),
+    ("SentencePiece encoding and decoding", pieces_stage),
 ]
 # A classifier's scores, links found by hashing and encodings have no counterpart in SQL.
 ORACLE_SQL = None

@@ -1,5 +1,6 @@
 """Every stage does to its input what its operator says, and run() does them one after the other."""
 import collections
+import hashlib
 
 import corpus_pipeline as P
 import sentencepiece
@@ -47,6 +48,14 @@ def test_stages_and_run(spark):
     assert mixing.WEIGHTS["domain"]
 
 
+def test_last_stage_decodes_what_it_encodes(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    got = {r["doc_id"]: r["decoded_sha256"] for r in P.pieces_stage(spark, docs, SF).collect()}
+    assert got == {i: hashlib.sha256(library.decode(library.encode(t)).encode()).hexdigest() for i, t in texts.items()}
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
