@@ -38,6 +38,15 @@ def test_tail_is_smooth_where_the_formula_changes():
     assert t_tail(5, 100_000) == pytest.approx(t_tail(5, 100_001), rel=1e-6)
 
 
+@pytest.mark.parametrize("t", [1, 6, 30])
+@pytest.mark.parametrize("df", [1, 8, 1_000, 99_999, 150_000])
+def test_tail_steps_by_the_recurrence_at_all_sizes(t, df):
+    """I_x(a + 1, 1/2) = I_x(a, 1/2) - x^a (1 - x)^(1/2) / (a B(a, 1/2)), across 100,000 degrees of freedom too."""
+    a, log_x = df / 2, -math.log1p(t * t / df)
+    term = math.exp(math.lgamma(a + 0.5) - math.lgamma(a + 1) - math.lgamma(0.5) + a * log_x) * math.sqrt(-math.expm1(log_x))
+    assert t_tail(t * math.sqrt((df + 2) / df), df + 2) == pytest.approx(t_tail(t, df) - term / 2, rel=1e-9, abs=0)
+
+
 @pytest.mark.parametrize("n,critical", [(3, 1.155), (10, 2.482), (20, 3.001), (50, 3.483), (100, 3.754)])
 def test_critical_values_against_tables(n, critical):
     assert not grubbs_rejects(critical - 0.002, n, 0.01) and grubbs_rejects(critical + 0.002, n, 0.01)
