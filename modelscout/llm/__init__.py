@@ -7,6 +7,7 @@ from modelscout.llm.nearest import op1_nearest
 from modelscout.llm.pieces import op10_pieces
 from modelscout.llm.quality import op5_quality
 from modelscout.llm.secret_scan import op4_secret_scan
+from modelscout.llm.sketch_dedup import op11_sketch_dedup
 from modelscout.llm.substring_dedup import op6_substring_dedup
 from modelscout.llm.url_filter import OP2_SQL, op2_url_filter
 
@@ -21,5 +22,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_maxent": op9_maxent,
     "op10_pieces": op10_pieces,
+    "op11_sketch_dedup": op11_sketch_dedup,
 }
 ORACLE = {"op2_url_filter": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL}

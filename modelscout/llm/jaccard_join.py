@@ -70,9 +70,9 @@ def _distinct(sh: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return sh[new], np.searchsorted(doc[new], np.arange(len(cuts)))
 
 
-def ngram_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def ngram_sets(texts: pa.Array, n: int, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, last text + 1, distinct n-grams, where each text's begin) for slices of texts."""
-    for a, b, w, cuts in words(texts):
+    for a, b, w, cuts in words(texts, lower):
         yield (a, b, *_distinct(*shingles(w, cuts, n)))
 
 
