@@ -1,5 +1,6 @@
 """Operators of a training-data pipeline and their queries. Nothing else in the library imports this package."""
 from modelscout.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from modelscout.llm.fill_middle import OP12_SQL, op12_fill_middle
 from modelscout.llm.jaccard_join import op3_ngram_jaccard
 from modelscout.llm.maxent import op9_maxent
 from modelscout.llm.mixing import OP8_SQL, op8_mixing
@@ -23,5 +24,6 @@ QUERIES = {
     "op9_maxent": op9_maxent,
     "op10_pieces": op10_pieces,
     "op11_sketch_dedup": op11_sketch_dedup,
+    "op12_fill_middle": op12_fill_middle,
 }
-ORACLE = {"op2_url_filter": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL}
+ORACLE = {"op2_url_filter": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op12_fill_middle": OP12_SQL}
