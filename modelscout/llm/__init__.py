@@ -1,4 +1,5 @@
 """Operators of a training-data pipeline and their queries. Nothing else in the library imports this package."""
+from modelscout.llm.alignment import op13_alignment
 from modelscout.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from modelscout.llm.fill_middle import OP12_SQL, op12_fill_middle
 from modelscout.llm.jaccard_join import op3_ngram_jaccard
@@ -25,5 +26,6 @@ QUERIES = {
     "op10_pieces": op10_pieces,
     "op11_sketch_dedup": op11_sketch_dedup,
     "op12_fill_middle": op12_fill_middle,
+    "op13_alignment": op13_alignment,
 }
 ORACLE = {"op2_url_filter": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op8_mixing": OP8_SQL, "op12_fill_middle": OP12_SQL}
