@@ -5,7 +5,8 @@ the same share of all tokens; within a class a word has its smoothed relative fr
 hashed features of the history: the word before, the two and the three words before, and the word before that one (a skip).
 Its weights are trained by rounds of distributed gradient steps: every task goes through its part of the round's texts from
 the weights sent out, and what the tasks learnt about a bucket is averaged by how often each met it. The number of buckets
-grows with the training tokens, and tasks send the buckets that they met and no others.
+grows with the square root of the training tokens, as do a task's tokens, so that what all tasks send stays in proportion to the
+text: one row of 8-bit steps with a scale of its own for every bucket that a task met. Weights are sent out in 16 bits.
 
 Words are known by 64-bit numbers. Counts of the most frequent words, of a bounded number, are sent to all tasks; the other
 words of a text are joined with their counts by a shuffle.
@@ -29,12 +30,13 @@ SENT_WORDS = 1 << 20  # most frequent words whose counts go to all tasks: 12 byt
 CLASSES = 16  # the last one holds the words that are not sent, and unknown ones
 FEATURES = 4
 BUCKETS = 1 << 14  # per kind of feature, at least
-BUCKET_TOKENS = 1 << 9  # training tokens per bucket of a kind, at most, once there are more buckets
+GROWTH = 14.0  # buckets of a kind for the square root of the training tokens, once that is more
 PLACE = 1 << 10  # buckets that are added up together
 ROUNDS = 3
 STEP_TOKENS = 1 << 15
 RATE = 0.5
-TASK_TOKENS = 1 << 20  # that a task goes through in a round, about: what it sends is worth it
+TASK_TOKENS = 1 << 20  # that a task goes through in a round, at least: what it sends is worth it
+BUCKET_HITS = 4  # tokens of a task for every bucket of all kinds, at least
 ADDED = 64  # tasks whose steps are added up in the first step
 END = np.uint64(0x452821E638D01377)  # the number of the end of a text
 SALTS = mix(np.arange(FEATURES, dtype=np.uint64) + np.uint64(11))
@@ -50,9 +52,9 @@ def tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         yield a, b, np.insert(w, cuts[1:], END), cuts + np.arange(len(cuts))
 
 
-def buckets_for(total: int, bucket_tokens: int = BUCKET_TOKENS) -> int:
-    """Buckets per kind of feature for so many training tokens: a power of two, without an upper limit."""
-    return max(BUCKETS, 1 << max(math.ceil(total / bucket_tokens) - 1, 0).bit_length())
+def buckets_for(total: int, growth: float = GROWTH) -> int:
+    """Buckets per kind of feature for so many training tokens: whole places, without an upper limit."""
+    return max(BUCKETS, math.ceil(growth * math.sqrt(total) / PLACE) * PLACE)
 
 
 def features(w: np.ndarray, cuts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
@@ -161,53 +163,67 @@ def train_step(weights: np.ndarray, seen: np.ndarray, base: np.ndarray, f: np.nd
         weights[rows] += (rate / f.shape[1]) * np.add.reduceat(gradient[order], starts) / np.sqrt(n * seen[rows])[:, None]
 
 
+STEPS = "place bigint, share int, at binary, moved binary, scale binary, met binary"
+
+
+def _eight_bits(moved: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps as whole numbers up to 127 and the scale of each row."""
+    scale = np.abs(moved).max(axis=1) / 127
+    return np.rint(moved / np.where(scale > 0, scale, 1)[:, None]).astype(np.int8), scale.astype(np.float32)
+
+
+def _packed(at: np.ndarray, moved: np.ndarray, met: np.ndarray) -> list[bytes]:
+    steps, scale = _eight_bits(moved)
+    return [(at % PLACE).astype("<i2").tobytes(), steps.tobytes(), scale.astype("<f4").tobytes(), met.astype("<f4").tobytes()]
+
+
+def _unpacked(at: bytes, moved: bytes, scale: bytes, met: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, moved, met) of a row."""
+    steps = np.frombuffer(moved, dtype=np.int8).reshape(-1, CLASSES)
+    return np.frombuffer(at, dtype="<i2").astype(np.int64), steps * np.frombuffer(scale, dtype="<f4")[:, None], np.frombuffer(met, dtype="<f4")
+
+
 def _send(at: np.ndarray, moved: np.ndarray, met: np.ndarray, share: int) -> Iterator[pa.RecordBatch]:
-    """Rows (place, share, at, moved, met) of buckets ``at``, in order: one row per place that has any of them."""
+    """Rows of STEPS of buckets ``at``, in order: one row per place that has any of them."""
     starts = np.flatnonzero(np.concatenate(([True], at[1:] // PLACE != at[:-1] // PLACE)))
     ends = np.append(starts[1:], len(at))
     for k in range(0, len(starts), 16):
-        a, b = starts[k : k + 16], ends[k : k + 16]
-        rows, cuts = slice(a[0], b[-1]), np.append(a, b[-1]).astype(np.int32) - a[0].astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array((at[a] // PLACE).astype(np.int64)), pa.array(np.full(len(a), share, dtype=np.int32)),
-                pa.ListArray.from_arrays(pa.array(cuts), pa.array((at[rows] % PLACE).astype(np.int16))),
-                pa.ListArray.from_arrays(pa.array(cuts * CLASSES), pa.array(moved[rows].ravel())), pa.ListArray.from_arrays(pa.array(cuts), pa.array(met[rows])),
-            ],
-            names=["place", "share", "at", "moved", "met"],
-        )
+        rows = [(int(at[a]) // PLACE, share, *_packed(at[a:b], moved[a:b], met[a:b])) for a, b in zip(starts[k : k + 16], ends[k : k + 16])]
+        types = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["place", "share", "at", "moved", "scale", "met"])
 
 
 def _add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """The rows of a place as one."""
     moved, met = np.zeros((PLACE, CLASSES)), np.zeros(PLACE)
-    for at, m, n in zip(rows["at"], rows["moved"], rows["met"]):
-        moved[at] += np.asarray(m).reshape(-1, CLASSES)
+    for row in zip(rows["at"], rows["moved"], rows["scale"], rows["met"]):
+        at, m, n = _unpacked(*row)
+        moved[at] += m
         met[at] += n
     at = np.flatnonzero(met)
-    return pd.DataFrame({"place": [key[0]], "share": [0], "at": [at.astype(np.int16)], "moved": [moved[at].ravel().astype(np.float32)], "met": [met[at].astype(np.float32)]})
+    return pd.DataFrame([(key[0], 0, *_packed(at, moved[at], met[at]))], columns=["place", "share", "at", "moved", "scale", "met"])
 
 
-def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float = RATE, bucket_tokens: int = BUCKET_TOKENS) -> np.ndarray:
-    """Weights (buckets, classes) after one pass over all texts of ``docs`` (id, text), a part of them in each round.
+def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float = RATE, growth: float = GROWTH) -> np.ndarray:
+    """Weights (buckets, classes), in 16 bits, after one pass over all texts of ``docs`` (id, text), a part of them in each round.
 
     What comes back from a round is a row of weights per bucket that was met: the tasks' steps are added up by the shuffle.
     """
     spark = docs.sparkSession
-    buckets = buckets_for(vocab.total, bucket_tokens)
-    weights = np.zeros((FEATURES * buckets, CLASSES), dtype=np.float32)
+    buckets = buckets_for(vocab.total, growth)
+    weights = np.zeros((FEATURES * buckets, CLASSES), dtype=np.float16)
     if vocab.total == 0:
         return weights
     sent = spark.sparkContext.broadcast(vocab)
     base = vocab.log_share.astype(np.float32)
     # tasks follow the tokens and not the files: what a task sends should be worth it
-    tasks = max(1, math.ceil(vocab.total / rounds / TASK_TOKENS))
+    tasks = max(1, math.ceil(vocab.total / rounds / max(TASK_TOKENS, BUCKET_HITS * len(weights))))
     shares = math.ceil(tasks / ADDED)
     for round_ in range(rounds):
         start = spark.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w, seen = start.value.copy(), np.zeros(FEATURES * buckets, dtype=np.float32)
+            w, seen = start.value.astype(np.float32), np.zeros(FEATURES * buckets, dtype=np.float32)
             for batch in batches:
                 for _, _, t, cuts in tokens(batch.column(0)):
                     f, target = features(t, cuts, buckets), sent.value.look_up(t)[1]
@@ -220,13 +236,12 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float
             yield from _send(at, (w[at] - start.value[at]) * met[:, None], met, TaskContext.get().partitionId() % shares)
 
         part = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(rounds)) == round_).select("text").coalesce(tasks)
-        kind = "place bigint, share int, at array<smallint>, moved array<float>, met array<float>"
-        steps = part.mapInArrow(run, kind)
+        steps = part.mapInArrow(run, STEPS)
         # in two steps, so that no task adds up what all tasks of a large run send
-        total = steps.groupBy("place", "share").applyInPandas(_add, kind).groupBy("place").applyInPandas(_add, kind).toArrow()
-        for place, at, moved, met in zip(total["place"].to_pylist(), total["at"], total["moved"], total["met"]):
-            rows = place * PLACE + at.values.to_numpy().astype(np.int64)
-            weights[rows] += moved.values.to_numpy().reshape(-1, CLASSES) / met.values.to_numpy()[:, None]
+        total = steps.groupBy("place", "share").applyInPandas(_add, STEPS).groupBy("place").applyInPandas(_add, STEPS).toArrow()
+        for place, *row in zip(*(total[c].to_pylist() for c in ("place", "at", "moved", "scale", "met"))):
+            at, moved, met = _unpacked(*row)
+            weights[place * PLACE + at] += moved / met[:, None]
         start.unpersist()
     return weights
 

@@ -88,7 +88,8 @@ def test_gradient_steps_lower_the_loss():
 def test_table_grows_with_the_corpus(docs):
     """More tokens give more buckets, and contexts that a small table would mix up are learnt from each on its own."""
     sizes = [M.buckets_for(10**k) for k in range(5, 12)]
-    assert sizes == sorted(sizes) and all(n & (n - 1) == 0 and n * M.BUCKET_TOKENS >= 10**k for k, n in zip(range(5, 12), sizes))
+    assert sizes == sorted(sizes) and all(n % M.PLACE == 0 and n >= M.GROWTH * 10 ** (k / 2) for k, n in zip(range(5, 12), sizes))
+    assert sizes[-1] > 9 * sizes[-3]
     rng = np.random.default_rng(3)
     follow = rng.integers(0, 300, (300, 300))
     rows = []
@@ -100,9 +101,9 @@ def test_table_grows_with_the_corpus(docs):
     frame = docs(rows).repartition(3)
     vocab = M.vocabulary(M.word_counts(frame))
     score = {}
-    for bucket_tokens in (M.BUCKET_TOKENS, 1):
-        weights = M.train(frame, vocab, bucket_tokens=bucket_tokens)
-        assert len(weights) == M.FEATURES * M.buckets_for(vocab.total, bucket_tokens)
+    for growth in (M.GROWTH, 600.0):
+        weights = M.train(frame, vocab, growth=growth)
+        assert len(weights) == M.FEATURES * M.buckets_for(vocab.total, growth)
         score[len(weights)] = sum(r["score"] for r in M._scored(frame, vocab, weights).collect()) / vocab.total
     small, large = sorted(score)
     assert large >= 16 * small and score[large] > score[small] + 0.01
@@ -114,10 +115,60 @@ def test_tasks_are_averaged_by_what_they_met():
         *M._send(np.array([3, 5]), np.full((2, M.CLASSES), 6.0, np.float32), np.array([3, 2], np.float32), 0),
     ]]
     every = M.pd.concat(rows)
-    got = M._add((0,), every[every["place"] == 0]).iloc[0]
-    assert list(got["at"]) == [3, 5] and list(got["met"]) == [4, 2] and list(got["moved"]) == [8.0] * M.CLASSES + [6.0] * M.CLASSES
+    at, moved, met = M._unpacked(*M._add((0,), every[every["place"] == 0]).iloc[0][["at", "moved", "scale", "met"]])
+    assert list(at) == [3, 5] and list(met) == [4, 2] and moved == pytest.approx(np.repeat([[8.0], [6.0]], M.CLASSES, axis=1), rel=1e-6)
     assert sorted(every["place"]) == [0, 0, 1]
 
 
+def test_eight_bits_miss_little():
+    rng = np.random.default_rng(2)
+    moved = rng.standard_normal((500, M.CLASSES)) * 10.0 ** rng.integers(-6, 6, (500, 1))
+    moved[7] = 0
+    at, back, met = M._unpacked(*M._packed(np.arange(500), moved, np.ones(500)))
+    assert list(at) == list(range(500)) and (np.abs(back - moved).max(axis=1) <= np.abs(moved).max(axis=1) / 253).all() and (met == 1).all()
+
+
+def test_score_matches_a_plain_model(docs):
+    """The whole score, token by token in plain Python with the same weights."""
+    rows = [(i, f"The cat {i % 7} sat on w{i * i % 23} the mat. " * (i % 5)) for i in range(50)] + [(90, None), (91, "one"), (92, "new words here")]
+    frame = docs(rows).selectExpr("doc_id", "coalesce(text, '') AS text").repartition(3)
+    vocab = M.vocabulary(M.word_counts(frame), 30)
+    rng = np.random.default_rng(4)
+    weights = (M.train(frame, vocab) + rng.standard_normal((M.FEATURES * M.BUCKETS, M.CLASSES))).astype(np.float16)
+    top = 2**64
+
+    def scramble(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) % top
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) % top
+        return x ^ x >> 31
+
+    step = 0x9E3779B97F4A7C15
+    count = collections.Counter(w for _, t in rows for w in tokens(t))
+    number = {}
+    for w in count:
+        if w is not None:
+            (_, _, n, _), = M.words(M.pa.array([w]), lower=True)
+            number[w] = int(n[0])
+    number[None] = int(M.END)
+    class_of = dict(zip(vocab.number.tolist(), vocab.class_.tolist()))
+    got = {r["doc_id"]: r for r in M._scored(frame, vocab, weights).collect()}
+    for i, t in rows:
+        ws, score, rare = [number[w] for w in tokens(t)], 0.0, 0.0
+        for k, (w, name) in enumerate(zip(ws, tokens(t))):
+            one, two, three = (ws[k - d] if k >= d else d for d in (1, 2, 3))
+            kinds = (one, one + two * step, one + two * step + three * step * step, two)
+            z = vocab.log_share.astype(float)
+            for kind, x in enumerate(kinds):
+                z = z + weights[(scramble(x % top ^ scramble(kind + 11)) >> 24) % M.BUCKETS + kind * M.BUCKETS].astype(float)
+            z -= z.max()
+            own = class_of.get(w, M.CLASSES - 1)
+            score += (z[own] - math.log(np.exp(z).sum())) / math.log(10) - vocab.log_mass[own]
+            if w in class_of:
+                score += math.log10(count[name] + 0.5)
+            else:
+                rare += 1
+        assert got[i]["score"] == pytest.approx(score, abs=1e-3, rel=1e-5) and len(got[i]["rare"]) == rare
+
+
 def test_empty(docs):
     assert M.language_model_scores(docs([]), M.fold("doc_id") != 1).collect() == []
