@@ -1,7 +1,9 @@
 import hashlib
 import re
+import time
 
 import duckdb
+import numpy as np
 
 from modelscout.llm import secret_scan as S
 
@@ -46,6 +48,21 @@ def test_edges(docs, tmp_path):
     assert len(found) == len(rows)
 
 
+def test_running_sums(make):
+    rows = [[], [5], [1, 2, 3], list(range(1, 101)), [7] * 1000]
+    got = make([(k, r) for k, r in enumerate(rows)], "k int, v array<bigint>").orderBy("k").select(S.running_sums(S.F.col("v")).alias("s")).collect()
+    assert [list(r["s"]) for r in got] == [np.cumsum(r).tolist() for r in rows]
+
+
+def test_many_matches_in_one_text(docs, tmp_path):
+    text = "é token=abcdef12\n" * 200_000
+    start = time.perf_counter()
+    (row,) = S.scan_documents(docs([(1, text)]), str(tmp_path)).select("found").collect()
+    seconds = time.perf_counter() - start
+    assert [(x["start"], x["end"]) for x in row["found"]] == [(17 * k + 2, 17 * k + 16) for k in range(200_000)]
+    assert seconds < 60  # the square of the matches would take most of an hour
+
+
 def test_only_unseen_pairs_are_scanned(docs, tmp_path):
     folder = str(tmp_path)
     first = docs([(1, "token=abcdef"), (2, "token=abcdef"), (3, None)])
