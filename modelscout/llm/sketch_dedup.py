@@ -31,7 +31,7 @@ KEPT = 32  # values of a sketch
 RECALL = 0.9999  # that the sketches of a pair exactly at the threshold share enough values
 BLOCK = 512  # sets of a list that meet in one unit, squared
 GROUP_ROWS = 2048  # rows of units that share a group, about
-GROUP_SHINGLES = 1 << 20  # shingles of texts that share a group when they are verified, about
+GROUP_SHINGLES = 1 << 18  # shingles of texts that share a group when they are verified, about
 LISTED_IDS = 1 << 20  # up to so many 8-byte ids are broadcast to pick texts before they are shuffled
 
 
