@@ -3,8 +3,10 @@
 A giant text is cut at fixed places. What a cut does to the pieces is unknown to a chunk, so it works out a transfer matrix
 between its boundary states: a state of a cut is the first piece boundary at or after it, of which there are at most as
 many as a piece has characters. An entry is the weight of the chunk's text between two such boundaries with its first and
-last piece. Matrices of neighbours are combined over (max, +), which is associative, by a balanced tree. The best path
-fixes two boundaries per chunk, between which every chunk is encoded again, independently of the others.
+last piece. Matrices of neighbours are combined over (max, +), which is associative: first those of a run of chunks, a run
+per task, then those of all runs of a text. The best path through the runs fixes the boundaries of each run, from which the
+runs are gone through again, apart from each other, for the boundaries of their chunks. Between two of them every chunk is
+encoded again, independently of the others.
 
 The vocabulary at hand is one of merges, for which a path has weight 0 if it is the encoding and minus infinity if not. A
 row of pieces is the encoding of its text exactly if every two neighbours are the encoding of theirs. So matrices need to
@@ -21,9 +23,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from modelscout.sources.scratch import materialize
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 15  # characters
 BATCH_CHARS = 1 << 18
+RUN = 64  # chunks whose matrices are combined in one task; a text then has one matrix for two million characters
 TAIL = 256  # characters before a cut that are encoded anew for every state of the cut
 BLANK_PIECE = "▁"
 CHOSEN = "sha string, chunk int, enter bigint, leave bigint"
@@ -146,7 +151,11 @@ class Pieces:
         return out
 
     def combine(self, left: dict, right: dict) -> dict:
-        """The (max, +) product of two matrices {(enter, leave): (weight, first, last, boundaries passed)}."""
+        """The (max, +) product of two matrices {(enter, leave): (weight, first, last, boundaries passed)}.
+
+        The boundaries passed are a pair of those of the left and the right with the one between them, so that an entry
+        costs the same however long its path is.
+        """
         by_enter: dict[int, list] = {}
         for (enter, leave), value in right.items():
             by_enter.setdefault(enter, []).append((leave, value))
@@ -158,15 +167,28 @@ class Pieces:
                     known[end, begin] = self.meet(end, begin)
                 weight = w1 + w2 if known[end, begin] else -np.inf
                 if weight > -np.inf and weight > out.get((enter, leave), (-np.inf,))[0]:
-                    out[enter, leave] = (weight, first, last, (*path1, middle, *path2))
+                    # an empty chunk at the end of a text has no pieces of its own
+                    out[enter, leave] = (weight, first or begin, last or end, (path1, middle, path2))
         return out
 
-    def path(self, matrices: list[dict]) -> list[int]:
-        """Boundaries between the chunks on the best path through all of them."""
+    def product(self, matrices: list[dict]) -> dict:
+        """All matrices combined, neighbours first."""
         while len(matrices) > 1:
             pairs = [self.combine(*matrices[i : i + 2]) for i in range(0, len(matrices) - 1, 2)]
             matrices = pairs + matrices[len(matrices) - len(matrices) % 2 :]
-        return list(max(matrices[0].values(), key=lambda v: v[0])[3])
+        return matrices[0]
+
+
+def _boundaries(path: tuple) -> list[int]:
+    """The boundaries of a path through a product of matrices, from left to right."""
+    out, todo = [], [path]
+    while todo:
+        part = todo.pop()
+        if isinstance(part, int):
+            out.append(part)
+        elif part:
+            todo += reversed(part)
+    return out
 
 
 def _arrow_ids(ids: list) -> pa.ListArray:
@@ -208,22 +230,34 @@ def encode_short(docs: DataFrame, model: bytes) -> DataFrame:
 def chunks_of(texts: DataFrame, prefix: str, longest: int, chunk: int) -> DataFrame:
     """(sha, chunk, chunks, begin, part): every chunk of the column ``text`` with the states of the cuts at both its ends.
 
-    ``part`` begins one character before the chunk, and goes on until all states of the next cut are in it.
+    ``part`` begins one character before the chunk, and goes on until all states of the next cut are in it. A text is gone
+    through once from front to back, and its chunks leave one by one.
     """
-    plain = F.concat(F.lit(prefix), F.translate(F.col("text"), " ", BLANK_PIECE))
-    sized = texts.select("sha", plain.alias("plain")).withColumn("chunks", F.ceil(F.length("plain") / chunk).cast("int"))
-    each = sized.select("sha", "chunks", "plain", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    begin = F.greatest(F.col("chunk") * chunk - 1, F.lit(0))
-    length = F.col("chunk") * chunk + chunk + longest + 1 - begin
-    return each.select("sha", "chunk", "chunks", begin.cast("bigint").alias("begin"), F.substring(F.col("plain"), begin + 1, length).alias("part"))
+    names = ["sha", "chunk", "chunks", "begin", "part"]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                sha, plain = batch.column(0)[k].as_py(), prefix + batch.column(1)[k].as_py().replace(" ", BLANK_PIECE)
+                chunks = -(-len(plain) // chunk)
+                for first in range(0, chunks, 8):
+                    own = range(first, min(first + 8, chunks))
+                    begins = [max(c * chunk - 1, 0) for c in own]
+                    parts = [plain[b : c * chunk + chunk + longest + 1] for c, b in zip(own, begins)]
+                    columns = [[sha] * len(own), list(own), [chunks] * len(own), begins, parts]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    return texts.select("sha", "text").mapInArrow(run, "sha string, chunk int, chunks int, begin bigint, part string")
 
-def encode_giant(texts: DataFrame, model: bytes, chunk: int = CHUNK) -> DataFrame:
+
+def encode_giant(texts: DataFrame, model: bytes, chunk: int = CHUNK, run: int = RUN) -> DataFrame:
     """(sha, ids) for distinct giant texts (sha, text)."""
     tool = Pieces(model)
     # chunks are small for what they cost, so their number of tasks is not left to their size
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = chunks_of(texts, tool.prefix, tool.longest, chunk).repartition(tasks, "sha", "chunk")
+    cut = materialize(chunks_of(texts, tool.prefix, tool.longest, chunk), "pieces-chunks")
+    rows = cut.repartition(tasks, "sha", "chunk")
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = Pieces(model)
@@ -240,23 +274,41 @@ def encode_giant(texts: DataFrame, model: bytes, chunk: int = CHUNK) -> DataFram
                     out.append((r.sha, r.chunk, len(r.part) + r.begin, len(r.part) + r.begin, 0.0, "", ""))
             yield pd.DataFrame(out, columns=["sha", "chunk", "enter", "leave", "weight", "first", "last"])
 
-    entries = rows.mapInPandas(matrices, "sha string, chunk int, enter bigint, leave bigint, weight double, first string, last string")
-
+    kind = "enter bigint, leave bigint, weight double, first string, last string"
+    entries = rows.mapInPandas(matrices, f"sha string, chunk int, {kind}")
+    entries = materialize(entries.withColumn("run", F.expr(f"chunk div {run}").cast("int")), "pieces-matrices")
     loaded: list[Pieces] = []  # once per task, not once per text
 
-    def best(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def product(rows: pd.DataFrame, place: str) -> dict:
+        """The product of the matrices of a group, in the order of the column ``place``."""
         if not loaded:
             loaded.append(Pieces(model))
-        n = int(rows["chunk"].max()) + 1
-        parts: list[dict] = [{} for _ in range(n)]
-        for r in rows.itertuples():
-            parts[r.chunk][r.enter, r.leave] = (r.weight, r.first, r.last, ())
-        end = max(leave for _, leave in parts[-1])
-        cuts = [0, *loaded[0].path(parts), end]
-        return pd.DataFrame({"sha": key[0], "chunk": range(n), "enter": cuts[:-1], "leave": cuts[1:]})
-
-    chosen = entries.groupBy("sha").applyInPandas(best, CHOSEN)
-    paired = chunks_of(texts, tool.prefix, tool.longest, chunk).join(chosen, ["sha", "chunk"]).repartition(tasks, "sha", "chunk")
+        parts: dict[int, dict] = {}
+        for at, *key, weight, first, last in zip(*(rows[c].tolist() for c in (place, "enter", "leave", "weight", "first", "last"))):
+            parts.setdefault(at, {})[tuple(key)] = (weight, first, last, ())
+        return loaded[0].product([parts[k] for k in sorted(parts)])
+
+    def of_run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = [(*key, *at, *value[:3]) for at, value in product(rows, "chunk").items()]
+        return pd.DataFrame(out, columns=["sha", "run", "enter", "leave", "weight", "first", "last"])
+
+    def over_runs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        whole = product(rows, "run")
+        (enter, leave), value = max(whole.items(), key=lambda x: x[1][0])
+        cuts = [enter, *_boundaries(value[3]), leave]
+        return pd.DataFrame({"sha": key[0], "run": range(len(cuts) - 1), "enter": cuts[:-1], "leave": cuts[1:]})
+
+    def within_run(key: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        at = int(known["enter"].iloc[0]), int(known["leave"].iloc[0])
+        cuts = [at[0], *_boundaries(product(rows, "chunk")[at][3]), at[1]]
+        first = int(rows["chunk"].min())
+        return pd.DataFrame({"sha": key[0], "chunk": range(first, first + len(cuts) - 1), "enter": cuts[:-1], "leave": cuts[1:]})
+
+    runs = entries.groupBy("sha", "run").applyInPandas(of_run, f"sha string, run int, {kind}")
+    fixed = runs.groupBy("sha").applyInPandas(over_runs, "sha string, run int, enter bigint, leave bigint")
+    fixed = fixed.select(F.col("sha").alias("of"), F.col("run").alias("number"), "enter", "leave")
+    chosen = entries.groupBy("sha", "run").cogroup(fixed.groupBy("of", "number")).applyInPandas(within_run, CHOSEN)
+    paired = cut.join(chosen, ["sha", "chunk"]).repartition(tasks, "sha", "chunk")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = Pieces(model)

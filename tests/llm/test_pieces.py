@@ -1,6 +1,7 @@
 import hashlib
 import os
 import random
+import time
 
 import duckdb
 import pytest
@@ -37,7 +38,7 @@ def in_chunks(tool, text, chunk):
         if last and len(plain) in enters:
             m[len(plain), len(plain)] = (0.0, "", "", ())
         parts.append(m)
-    cuts = [0, *tool.path(parts), len(plain)]
+    cuts = [0, *P._boundaries(max(tool.product(parts).values(), key=lambda v: v[0])[3]), len(plain)]
     return [i for a, b in zip(cuts, cuts[1:]) for i in tool.encode(plain[a:b])]
 
 
@@ -70,7 +71,9 @@ def test_product_is_associative(tool, library):
         leaves = [len(plain)] if last else tool.states(plain, cut)
         parts.append({(a, b): (w, f, e, ()) for a, b, w, f, e in tool.matrix(plain, enters, cut, leaves)})
     a, b, c = parts[:3]
-    assert tool.combine(tool.combine(a, b), c) == tool.combine(a, tool.combine(b, c))
+    flat = lambda m: {at: (*v[:3], P._boundaries(v[3])) for at, v in m.items()}
+    assert flat(tool.combine(tool.combine(a, b), c)) == flat(tool.combine(a, tool.combine(b, c)))
+    assert len(next(iter(flat(tool.product(parts)).values()))[3]) == n - 1
 
 
 def test_documents(docs, library):
@@ -84,6 +87,28 @@ def test_documents(docs, library):
     assert P.encode_documents(docs([]), P.load_model()).collect() == []
 
 
+@pytest.mark.parametrize("run", [1, 3, 64])
+def test_runs_of_chunks(spark, library, run):
+    """Texts of many chunks, whose matrices are combined in runs, and one that ends where its last chunk begins."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(a, k=9000)) for a in ("ab e", "th eaoin", "é☃x")] + ["a" * 4999, "the " * 1250, "x" * 250 + " " * 700]
+    giant = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "sha string, text string")
+    got = {r["sha"]: r["ids"] for r in P.encode_giant(giant, P.load_model(), chunk=500, run=run).collect()}
+    assert got == {str(k): library.encode(t) for k, t in enumerate(texts)}
+
+
+def test_cutting_is_linear(spark):
+    """Four times the text takes about four times as long, and not sixteen times."""
+    seconds = []
+    for n in (4, 16):
+        text = spark.range(1).selectExpr("'x' AS sha", f"repeat('the cat sat on a mat and ', {n * 1_000_000 // 25}) AS text")
+        start = time.perf_counter()
+        cut = P.chunks_of(text, P.BLANK_PIECE, 16, P.CHUNK).selectExpr("count(*)", "sum(length(part))").first()
+        seconds.append(time.perf_counter() - start)
+        assert cut[0] == -(-(n * 1_000_000 // 25 * 25 + 1) // P.CHUNK)
+    assert seconds[1] < 8 * seconds[0] + 2
+
+
 def test_query(spark, library):
     got = {r["doc_id"]: r for r in P.op10_pieces(spark, SF).collect()}
     rows = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
