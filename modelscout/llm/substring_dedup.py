@@ -232,11 +232,16 @@ def _hot_windows(passages: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for r in batch.itertuples():
-                w = np.asarray(r.words).view(np.uint64)
-                begin = np.arange(len(w) - window + 1)
-                one, two = (run_hashes(prefix_sums(x), begin, begin + window).view(np.int64) for x in (w, mix(w + np.uint64(1))))
-                yield pd.DataFrame({"anchor": r.anchor, "digest": r.digest, "doc_id": r.doc_id, "at": begin.astype(np.int32), "w1": one, "w2": two})
+            sizes = batch["words"].map(len).to_numpy()
+            ends = np.cumsum(sizes)
+            w = np.concatenate(batch["words"].to_numpy()).view(np.uint64)
+            # a window begins at every place but the last ones of its passage
+            row = np.repeat(np.arange(len(sizes)), sizes - window + 1)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(sizes - window + 1) - (sizes - window + 1), sizes - window + 1)
+            begin = (ends - sizes)[row] + at
+            one, two = (run_hashes(prefix_sums(x), begin, begin + window).view(np.int64) for x in (w, mix(w + np.uint64(1))))
+            out = batch[["anchor", "digest", "doc_id"]].iloc[row].reset_index(drop=True)
+            yield out.assign(at=at.astype(np.int32), w1=one, w2=two)
 
     each = passages.mapInPandas(run, "anchor bigint, digest bigint, doc_id bigint, at int, w1 bigint, w2 bigint")
     first = each.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"))
@@ -286,12 +291,15 @@ def repeated_spans(texts: DataFrame, placed: DataFrame, window: int, gram: int,
     if not hot.isEmpty():
         earlier = earlier.unionByName(_hot_windows(of(True), window))
     known = first.select("anchor", "digest", F.col("doc_id").alias("low")).join(earlier, ["anchor", "digest"], "left")
+    # written out, so that the rows of a context that very many documents share can be dealt to several tasks
+    known = materialize(known, "substring-known")
 
     whole = F.array(F.struct(F.col("lo"), (F.col("n") + window - 1).alias("n")))
     part = F.transform("runs", lambda x: F.struct((F.col("lo") + x["lo"]).alias("lo"), (x["n"] + window - 1).alias("n")))
     spans_ = F.when(F.col("doc_id") > F.col("low"), whole).otherwise(part)
     lost = found.join(known, ["anchor", "digest"]).select("row", spans_.alias("spans")).filter("spans IS NOT NULL")
-    return lost.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # a set, because rows that repeat an id and a text share their number
+    return lost.groupBy("row").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def _cut(marked: DataFrame) -> DataFrame:
