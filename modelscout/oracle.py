@@ -147,6 +147,7 @@ ORACLE = {
     "csv_round_trip": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
     "tsv_round_trip": "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part",
     "csv_documents": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "csv_documents_one_file": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "tsv_conversations": "SELECT conv_id, turn, role, text FROM conversations",
     "import_documents": f"""SELECT var_id, var_name, var_type, ds_count, ds_unique, {ROUNDED_STATS}
       FROM ({summary_sql('documents', DOCUMENTS)}) s""",

@@ -136,6 +136,13 @@ def csv_documents(spark, sf):
     return read_table(spark, path, "csv", schema=documents.schema)
 
 
+def csv_documents_one_file(spark, sf):
+    """Whole texts written as one file, which many tasks read."""
+    documents = table(spark, sf, "documents")
+    path = write_table(documents.coalesce(1), scratch_path(spark, "csv"), "csv")
+    return read_table(spark, path, "csv", schema=documents.schema)
+
+
 def tsv_conversations(spark, sf):
     path = write_table(table(spark, sf, "conversations"), scratch_path(spark, "tsv"), "tsv", compression="gzip")
     return prep.cast_columns(read_table(spark, path, "tsv"), {"conv_id": "bigint", "turn": "bigint"})
@@ -550,7 +557,7 @@ SCORES = {
 QUERIES = {
     f.__name__: f
     for f in (
-        csv_round_trip, csv_documents, tsv_round_trip, tsv_conversations, parquet_round_trip, import_dataset, import_documents, result_store_round_trip, metadata_filter,
+        csv_round_trip, csv_documents, csv_documents_one_file, tsv_round_trip, tsv_conversations, parquet_round_trip, import_dataset, import_documents, result_store_round_trip, metadata_filter,
         list_datasets, delete_dataset, table_shape, profile_numeric, profile_approx, profile_string, top_value,
         distinct_counts, distinct_counts_with_null, missing_counts, quality_report, quality_report_outliers, variable_summary, suggest_roles,
         value_counts, histogram_numeric, box_stats, preview, sample_about, grubbs_statistic, grubbs_outliers,

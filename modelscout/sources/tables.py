@@ -5,6 +5,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from modelscout.sources.records import find_ranges, read_records
+
+# Options under which Spark tells records and columns apart in other ways.
+RECORD_OPTIONS = {"header", "quote", "escape", "lineSep", "comment", "encoding", "charset", "multiLine", "mode", "charToEscapeQuoteEscaping",
+                  "ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace", "unescapedQuoteHandling", "columnNameOfCorruptRecord"}
 SEPARATORS = {"csv": ",", "tsv": "\t"}
 TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -26,8 +31,9 @@ def read_table(
     """Read a table with a header row (CSV, TSV, gzip by extension) or Parquet.
 
     In the text formats an empty field is a missing value, quoted or not, and so is each of ``null_values``. Fields may hold
-    line breaks; a file is then read by one task. ``multi_line=False`` lets large files be split that are known to have
-    none. Without a ``schema`` the text formats cost one more scan that finds the types, by one rule for all options.
+    line breaks; a scan tells where records begin, so that many tasks read a large file all the same. ``multi_line=False`` saves
+    that scan for files known to have none. Options that say how records are told apart leave a file to one task. Without
+    a ``schema`` the text formats cost one more scan that finds the types, by one rule for all options.
     """
     path = normalize_path(path)
     if fmt == "parquet":
@@ -35,21 +41,33 @@ def read_table(
         return reader.options(**options).parquet(path)
     if fmt not in SEPARATORS:
         raise ValueError(f"unknown table format {fmt!r}")
-    reader = spark.read.options(
-        header=True, sep=SEPARATORS[fmt], quote='"', escape='"', multiLine=multi_line,
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    ).options(**options)
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    given = {
+        "header": True, "sep": SEPARATORS[fmt], "quote": '"', "escape": '"', "multiLine": multi_line,
+        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, **options,
+    }
+    ranges = None
+    if multi_line and not set(options) & RECORD_OPTIONS:
+        ranges = find_ranges(spark, path, given["sep"])
+        given["multiLine"] = not ranges.plain
+    reader = spark.read.options(**given)
+
+    def read(kinds: T.StructType | None) -> DataFrame:
+        if ranges is not None and not ranges.plain and ranges.split:
+            names = kinds.names if kinds else reader.csv(path).columns
+            return read_records(spark, path, names, kinds, given, ranges)
+        return (reader.schema(kinds) if kinds else reader).csv(path)
+
     if schema is not None and not null_values:
-        return reader.schema(schema).csv(path)
+        return read(schema)
 
     # Spark takes one marker only, and would judge types before markers are gone: read text, blank the markers, then cast
-    text = reader.csv(path)
+    text = read(None)
     if null_values:
         text = text.select([F.when(~F.col(c).isin(*null_values), F.col(c)).alias(n) for c, n in zip(_quoted(text), text.columns)])
     if schema is None:
         return _tighten(text)
-    if isinstance(schema, str):
-        schema = T.StructType.fromDDL(schema)
     return text.select([F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
