@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from modelscout.functions.columns import as_column, mean_abs
 from modelscout.sources.scratch import scratch_path
 
+EXACT_FEATURES = 10  # up to so many features all coalitions are gone through
+ORDERS = 500  # in which more features become known, each of them both ways
+
 
 def linear_shap(weights: dict[str, float], train: DataFrame, test: DataFrame) -> DataFrame:
     """(feature, shap): mean over the test rows of |w * (x - mean of x over the train rows)|.
@@ -38,6 +42,160 @@ def linear_weights(model: LogisticRegressionModel, columns: Sequence[str]) -> di
     return dict(zip(columns, model.coefficients.toArray().tolist()))
 
 
+class LinearMap(NamedTuple):
+    """The Shapley values of a linear model as a linear map: ``matrix @ (x - mean)``."""
+
+    names: list[str]
+    mean: np.ndarray
+    matrix: np.ndarray
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        """One row of values per row of ``x``."""
+        return (x - self.mean) @ self.matrix.T
+
+
+def mean_and_covariance(df: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Means and covariances of numeric columns without gaps; every task sends one row of products per column."""
+    names, d = list(names), len(names)
+    first = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(as_column(c).cast("double")).alias(f"m{i}") for i, c in enumerate(names)]).first()
+    mean = np.array([first[f"m{i}"] or 0.0 for i in range(d)])
+    rows = df.select(*[as_column(c).cast("double").alias(f"_x{i}") for i, c in enumerate(names)])
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((d, d))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float) - mean
+            total += x.T @ x
+        yield pd.DataFrame({"i": range(d), "row": list(total)})
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": [key[0]], "row": [np.sum(np.stack(pdf["row"].to_numpy()), axis=0)]})
+
+    parts = rows.mapInPandas(products, "i int, row array<double>").groupBy("i").applyInPandas(add, "i int, row array<double>")
+    total = {r["i"]: r["row"] for r in parts.collect()}
+    return mean, np.array([total[i] for i in range(d)]) / max(first["n"], 1)
+
+
+class _Given:
+    """What is expected of all features when some are known: ``mean + map @ (x - mean)``, and what is left of their covariance."""
+
+    def __init__(self, covariance: np.ndarray):
+        self.left, self.map = covariance.copy(), np.zeros_like(covariance)
+        self.least = 1e-9 * np.maximum(np.diag(covariance), 1e-300)
+
+    def learn(self, i: int) -> None:
+        """Feature ``i`` becomes known; one that follows from those known already tells nothing new."""
+        spread = self.left[i, i]
+        if spread <= self.least[i]:
+            return
+        share = self.left[:, i] / spread
+        news = -self.map[i]
+        news[i] += 1
+        self.map += np.outer(share, news)
+        self.left -= np.outer(share, self.left[i])
+
+    def copy(self) -> "_Given":
+        other = object.__new__(_Given)
+        other.left, other.map, other.least = self.left.copy(), self.map.copy(), self.least
+        return other
+
+
+def correlated_matrix(weights: np.ndarray, covariance: np.ndarray, exact: int = EXACT_FEATURES, orders: int = ORDERS, seed: int = 0) -> np.ndarray:
+    """Shapley values of ``weights @ x`` where a feature left out has its mean given those known, as a matrix for ``x - mean``.
+
+    All coalitions are gone through with up to ``exact`` features, beyond that seeded orders, each with its reverse. A row's
+    values add up to its score minus the mean score in either case.
+    """
+    d = len(weights)
+    out = np.zeros((d, d))
+    if d <= exact:
+        worth = np.zeros((1 << d, d))
+        todo = [(0, 0, _Given(covariance))]
+        while todo:
+            known, first, given = todo.pop()
+            worth[known] = weights @ given.map
+            for i in range(first, d):
+                more = given.copy()
+                more.learn(i)
+                todo.append((known | 1 << i, i + 1, more))
+        share = [math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)]
+        for known in range(1 << d):
+            for i in range(d):
+                if not known >> i & 1:
+                    out[i] += share[known.bit_count()] * (worth[known | 1 << i] - worth[known])
+        return out
+    draw = np.random.default_rng(seed)
+    for _ in range(orders):
+        order = draw.permutation(d)
+        for way in (order, order[::-1]):
+            given, before = _Given(covariance), np.zeros(d)
+            for i in way:
+                given.learn(i)
+                after = weights @ given.map
+                out[i] += (after - before) / (2 * orders)
+                before = after
+    return out
+
+
+def linear_map(weights: dict[str, float], train: DataFrame, correlated: bool = True) -> LinearMap:
+    """The map of a linear model: with ``correlated`` a feature left out has its mean given the known ones (as in a normal
+    distribution with the train rows' covariances), without it the plain mean of the train rows."""
+    names, w = list(weights), np.array([float(v) for v in weights.values()])
+    if not correlated:
+        first = train.agg(*[F.avg(as_column(c).cast("double")).alias(f"m{i}") for i, c in enumerate(names)]).first()
+        return LinearMap(names, np.array([first[i] for i in range(len(names))], dtype=float), np.diag(w))
+    mean, covariance = mean_and_covariance(train, names)
+    return LinearMap(names, mean, correlated_matrix(w, covariance))
+
+
+def mean_abs_values(values: Callable[[np.ndarray], np.ndarray], df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, shap): mean absolute value per feature. Each task returns one partial sum per feature, so next to nothing is shuffled."""
+    columns = list(columns)
+    rows = df.select(*[as_column(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros(len(columns)), 0
+        for pdf in batches:
+            total += np.abs(values(pdf.to_numpy(dtype=float))).sum(axis=0)
+            n += len(pdf)
+        if n:
+            yield pd.DataFrame({"feature": columns, "total": total, "n": n})
+
+    parts = rows.mapInPandas(run, "feature string, total double, n bigint")
+    return parts.groupBy("feature").agg((F.sum("total") / F.sum("n")).alias("shap"))
+
+
+def values_per_row(values: Callable[[np.ndarray], np.ndarray], df: DataFrame, columns: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """(key..., feature, value) for every row and feature."""
+    columns, key = list(columns), list(key)
+    rows = df.select(*[as_column(k) for k in key], *[as_column(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    spec = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key)
+    names = np.array(columns, dtype=object)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = values(pdf.iloc[:, len(key):].to_numpy(dtype=float))
+            out = pdf.iloc[:, : len(key)].loc[pdf.index.repeat(len(names))].reset_index(drop=True)
+            out["feature"] = np.tile(names, len(pdf))
+            out["value"] = found.ravel()
+            yield out
+
+    return rows.mapInPandas(run, f"{spec}, feature string, value double")
+
+
+def linear_shap_correlated(weights: dict[str, float], train: DataFrame, test: DataFrame) -> DataFrame:
+    """(feature, shap): mean over the test rows of the absolute values of :func:`linear_map`."""
+    return mean_abs_values(linear_map(weights, train).values, test, list(weights))
+
+
+def linear_values(
+    weights: dict[str, float], train: DataFrame, df: DataFrame, key: Sequence[str], correlated: bool = True
+) -> DataFrame:
+    """(key..., feature, value) for every row and feature of a linear model. The values of a row add up to its score minus
+    the mean score of the train rows; without ``correlated`` a value is ``weight * (x - mean)``."""
+    return values_per_row(linear_map(weights, train, correlated).values, df, list(weights), key)
+
+
 class Leaf:
     """A leaf seen from its features: what each must satisfy and how likely that is, and the payoff table.
 
@@ -114,47 +272,29 @@ def tree_values(leaves: list[Leaf], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def shap_values(model: Model, df: DataFrame, columns: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """(key..., feature, value) for every row and feature of a tree model. The values of a row sum to its raw
-    output minus the mean output."""
-    leaves, _ = tree_leaves(model)
-    columns, key = list(columns), list(key)
-    rows = df.select(*[as_column(k) for k in key], *[as_column(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
-    spec = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key)
-    names = np.array(columns, dtype=object)
+def shap_values(
+    model: Model, df: DataFrame, columns: Sequence[str], key: Sequence[str], train: DataFrame | None = None, correlated: bool = True
+) -> DataFrame:
+    """(key..., feature, value) for every row and feature of any model of the catalogue.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            values = tree_values(leaves, pdf.iloc[:, len(key):].to_numpy(dtype=float))
-            out = pdf.iloc[:, : len(key)].loc[pdf.index.repeat(len(names))].reset_index(drop=True)
-            out["feature"] = np.tile(names, len(pdf))
-            out["value"] = values.ravel()
-            yield out
-
-    return rows.mapInPandas(run, f"{spec}, feature string, value double")
+    The values of a row add up to its raw output minus the mean output. A linear model needs the rows it was trained on, or
+    takes ``df`` for them.
+    """
+    if isinstance(model, LogisticRegressionModel):
+        return linear_values(linear_weights(model, columns), df if train is None else train, df, key, correlated)
+    leaves, _ = tree_leaves(model)
+    return values_per_row(lambda x: tree_values(leaves, x), df, columns, key)
 
 
 def tree_shap(model: Model, df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, shap): mean absolute Shapley value per feature. Each task returns one partial sum per feature and
-    batch, so next to nothing is shuffled."""
+    """(feature, shap): mean absolute Shapley value per feature of a tree model."""
     leaves, _ = tree_leaves(model)
-    columns = list(columns)
-    rows = df.select(*[as_column(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros(len(columns)), 0
-        for pdf in batches:
-            total += np.abs(tree_values(leaves, pdf.to_numpy(dtype=float))).sum(axis=0)
-            n += len(pdf)
-        if n:
-            yield pd.DataFrame({"feature": columns, "total": total, "n": n})
-
-    parts = rows.mapInPandas(run, "feature string, total double, n bigint")
-    return parts.groupBy("feature").agg((F.sum("total") / F.sum("n")).alias("shap"))
+    return mean_abs_values(lambda x: tree_values(leaves, x), df, columns)
 
 
-def explain(model: Model, train: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, shap) for any model of the catalogue."""
+def explain(model: Model, train: DataFrame, test: DataFrame, columns: Sequence[str], correlated: bool = True) -> DataFrame:
+    """(feature, shap) for any model of the catalogue. ``correlated=False`` takes the features of linear models as independent."""
     if isinstance(model, LogisticRegressionModel):
-        return linear_shap(linear_weights(model, columns), train, test)
+        weights = linear_weights(model, columns)
+        return linear_shap_correlated(weights, train, test) if correlated else linear_shap(weights, train, test)
     return tree_shap(model, test, columns)

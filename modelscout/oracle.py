@@ -15,6 +15,7 @@ CATALOGUE = [
     (9, 1, 2, "Gradient Boosting"),
 ]
 SHAP_WEIGHTS = {"l_quantity": 0.02, "l_discount": 1.5, "l_tax": -2.0}
+WA, WB = "0.02", "-0.0001"
 
 GAPPY_LINEITEM = """gappy AS (
   SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
@@ -299,4 +300,17 @@ ORACLE = {
         (SELECT avg({c}) AS mu FROM l WHERE is_train) m WHERE NOT is_train"""
         for c, w in SHAP_WEIGHTS.items()
     ),
+    # of two features, each is expected from the other one by a straight line
+    "linear_shap_correlated_fixed_weights": f"""WITH l AS (SELECT l_quantity AS a, l_extendedprice AS b, {LINE_BUCKET} < 'cccc' AS is_train FROM lineitem),
+      m AS (SELECT avg(a) AS ma, avg(b) AS mb, covar_pop(a, b) / var_pop(a) AS ba, covar_pop(a, b) / var_pop(b) AS ab FROM l WHERE is_train),
+      x AS (SELECT a - ma AS a, b - mb AS b, ba, ab FROM l, m WHERE NOT is_train),
+      v AS (SELECT ({WA} + ({WB}) * ba) * a AS only_a, (({WB}) + {WA} * ab) * b AS only_b, {WA} * a + ({WB}) * b AS both_ FROM x)
+      SELECT 'l_quantity' AS feature, round(avg(abs((only_a + both_ - only_b) / 2)), 6) AS shap FROM v
+      UNION ALL SELECT 'l_extendedprice', round(avg(abs((only_b + both_ - only_a) / 2)), 6) FROM v""",
+    "linear_values_fixed_weights": f"WITH l AS (SELECT *, {LINE_BUCKET} < 'cccc' AS is_train FROM lineitem) "
+    + " UNION ALL ".join(
+        f"""SELECT l_orderkey, l_partkey, l_linenumber, '{c}' AS feature, round({w} * ({c} - mu), 6) AS value FROM l,
+        (SELECT avg({c}) AS mu FROM l WHERE is_train) m WHERE NOT is_train"""
+        for c, w in SHAP_WEIGHTS.items()
+    ),
 }

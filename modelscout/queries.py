@@ -11,6 +11,7 @@ from modelscout.plans import derived, experiments, importing, preparing
 from modelscout.sources import ResultStore, read_table, scratch_path, write_table
 
 LINEITEM_KEY = ["l_orderkey", "l_partkey", "l_linenumber"]
+CORRELATED_WEIGHTS = {"l_quantity": 0.02, "l_extendedprice": -0.0001}
 SHAP_WEIGHTS = {"l_quantity": 0.02, "l_discount": 1.5, "l_tax": -2.0}
 
 
@@ -484,6 +485,16 @@ def linear_shap_fixed_weights(spark, sf):
     return rounded(explain.linear_shap(SHAP_WEIGHTS, train, test), 6)
 
 
+def linear_shap_correlated_fixed_weights(spark, sf):
+    train, test = prep.split(table(spark, sf, "lineitem"), LINEITEM_KEY)
+    return rounded(explain.linear_shap_correlated(CORRELATED_WEIGHTS, train, test), 6)
+
+
+def linear_values_fixed_weights(spark, sf):
+    train, test = prep.split(table(spark, sf, "lineitem"), LINEITEM_KEY)
+    return rounded(explain.linear_values(SHAP_WEIGHTS, train, test, LINEITEM_KEY, correlated=False), 6)
+
+
 def _fitted(spark, sf, id):
     p = prepared_model_table(spark, sf)
     train, test = preparing.vectors(p, spark.sparkContext.defaultParallelism)
@@ -565,7 +576,8 @@ QUERIES = {
         flag_constant, weighted_mean, left_join, explode_delimited, train_test_split, one_hot, one_hot_aligned,
         columns_to_impute, knn_impute, prepare_features, derived_flags, leaderboard_join,
         best_model_per_experiment, experiment_table, algorithm_catalogue, shap_ranking, confusion_counts,
-        binary_metrics, weighted_metrics, auc_score, auc_hard_label, linear_shap_fixed_weights, linear_shap, tree_shap,
+        binary_metrics, weighted_metrics, auc_score, auc_hard_label, linear_shap_fixed_weights,
+        linear_shap_correlated_fixed_weights, linear_values_fixed_weights, linear_shap, tree_shap,
         shap_values, run_experiment, run_local_experiment,
     )
 } | {name: _score(id) for name, id in SCORES.items()}
