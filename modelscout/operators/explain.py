@@ -13,8 +13,10 @@ from pyspark.ml.classification import GBTClassificationModel, LogisticRegression
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from modelscout.functions.columns import as_column, mean_abs
+from modelscout.operators.penalized import PenalizedLogisticModel
 from modelscout.sources.scratch import scratch_path
 
+LINEAR_MODELS = (LogisticRegressionModel, PenalizedLogisticModel)
 EXACT_FEATURES = 10  # up to so many features all coalitions are gone through
 ORDERS = 500  # in which more features become known, each of them both ways
 
@@ -38,8 +40,8 @@ def linear_shap(weights: dict[str, float], train: DataFrame, test: DataFrame) ->
     return test.withColumn("_m", means).agg(F.array(*parts).alias("r")).select(F.inline("r"))
 
 
-def linear_weights(model: LogisticRegressionModel, columns: Sequence[str]) -> dict[str, float]:
-    return dict(zip(columns, model.coefficients.toArray().tolist()))
+def linear_weights(model: LogisticRegressionModel | PenalizedLogisticModel, columns: Sequence[str]) -> dict[str, float]:
+    return dict(zip(columns, np.asarray(model.coefficients).tolist()))
 
 
 class LinearMap(NamedTuple):
@@ -280,7 +282,7 @@ def shap_values(
     The values of a row add up to its raw output minus the mean output. A linear model needs the rows it was trained on, or
     takes ``df`` for them.
     """
-    if isinstance(model, LogisticRegressionModel):
+    if isinstance(model, LINEAR_MODELS):
         return linear_values(linear_weights(model, columns), df if train is None else train, df, key, correlated)
     leaves, _ = tree_leaves(model)
     return values_per_row(lambda x: tree_values(leaves, x), df, columns, key)
@@ -294,7 +296,7 @@ def tree_shap(model: Model, df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def explain(model: Model, train: DataFrame, test: DataFrame, columns: Sequence[str], correlated: bool = True) -> DataFrame:
     """(feature, shap) for any model of the catalogue. ``correlated=False`` takes the features of linear models as independent."""
-    if isinstance(model, LogisticRegressionModel):
+    if isinstance(model, LINEAR_MODELS):
         weights = linear_weights(model, columns)
         return linear_shap_correlated(weights, train, test) if correlated else linear_shap(weights, train, test)
     return tree_shap(model, test, columns)

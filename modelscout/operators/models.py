@@ -9,16 +9,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from modelscout.functions.columns import as_column
+from modelscout.operators.penalized import PenalizedLogisticRegression
 
 LOCAL, SPARK = 0, 1
 CLASSIFICATION = 0
 LINEAR, TREE = 1, 2
 
 # Fixed catalogue: id, impl_type, problem_type, algo_type, algo_name, algo_class, params.
-# "C" is the inverse penalty weight of the summed loss; it becomes regParam = 1/(C*n) of the mean loss at fit time.
+# "C" is the inverse penalty weight of the summed loss; for MLlib it becomes regParam = 1/(C*n) of the mean loss at fit time.
 CATALOGUE = [
-    (0, LOCAL, CLASSIFICATION, LINEAR, "Lasso Logistic Regression", "LogisticRegression",
-     {"C": 1.0, "elasticNetParam": 1.0, "standardization": False, "maxIter": 10000}),
+    (0, LOCAL, CLASSIFICATION, LINEAR, "Lasso Logistic Regression", "PenalizedLogisticRegression",
+     {"C": 1.0, "penalty": "l1", "maxIter": 10000}),
     (1, LOCAL, CLASSIFICATION, TREE, "Random Forest", "RandomForestClassifier",
      {"numTrees": 100, "maxDepth": 2, "seed": 0}),
     (2, LOCAL, CLASSIFICATION, TREE, "Gradient Boosting", "GBTClassifier",
@@ -27,8 +28,8 @@ CATALOGUE = [
      {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "seed": 0}),
     (4, LOCAL, CLASSIFICATION, LINEAR, "Logistic Regression", "LogisticRegression",
      {"C": 1.0, "elasticNetParam": 0.0, "standardization": False, "maxIter": 10000}),
-    (5, LOCAL, CLASSIFICATION, LINEAR, "Ridge Logistic Regression", "LogisticRegression",
-     {"C": 1.0, "elasticNetParam": 0.0, "standardization": False, "maxIter": 10000}),
+    (5, LOCAL, CLASSIFICATION, LINEAR, "Ridge Logistic Regression", "PenalizedLogisticRegression",
+     {"C": 1.0, "penalty": "l2", "maxIter": 10000}),
     (6, SPARK, CLASSIFICATION, LINEAR, "Lasso Logistic Regression", "LogisticRegression",
      {"maxIter": 1000, "regParam": 0.01, "elasticNetParam": 1.0}),
     (7, SPARK, CLASSIFICATION, LINEAR, "Ridge Logistic Regression", "LogisticRegression",
@@ -40,7 +41,10 @@ ESTIMATORS = {
     "LogisticRegression": LogisticRegression,
     "RandomForestClassifier": RandomForestClassifier,
     "GBTClassifier": GBTClassifier,
+    "PenalizedLogisticRegression": PenalizedLogisticRegression,
 }
+# Estimators of this library; all others are MLlib's.
+OWN = {"PenalizedLogisticRegression": "modelscout.operators.penalized"}
 CATALOGUE_SCHEMA = (
     "id INT, impl_type INT, problem_type INT, algo_type INT, algo_name STRING, import_pkg STRING, algo_class STRING, "
     "params STRING"
@@ -52,7 +56,7 @@ def catalogue(
 ) -> DataFrame:
     """The catalogue as a table, ordered by id."""
     rows = [
-        (id, impl, problem, kind, name, "pyspark.ml.classification", cls, json.dumps(params))
+        (id, impl, problem, kind, name, OWN.get(cls, "pyspark.ml.classification"), cls, json.dumps(params))
         for id, impl, problem, kind, name, cls, params in CATALOGUE
     ]
     df = spark.createDataFrame(rows, CATALOGUE_SCHEMA)
@@ -74,7 +78,7 @@ def build_estimator(row: dict, label: str = "label", n_train: int | None = None,
     if row["algo_class"] not in ESTIMATORS:
         raise ValueError(f"unknown estimator {row['algo_class']!r}")
     params = json.loads(row["params"]) if row["params"] else {}
-    inverse_penalty = params.pop("C", None)
+    inverse_penalty = None if row["algo_class"] in OWN else params.pop("C", None)
     if inverse_penalty is not None:
         if not n_train:
             raise ValueError("the penalty of this model depends on the number of training rows")

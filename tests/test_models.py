@@ -70,10 +70,12 @@ def test_catalogue(spark):
     assert [r["id"] for r in models.catalogue(spark).collect()] == list(range(10))
     assert [r["id"] for r in models.catalogue(spark, models.SPARK).collect()] == [6, 7, 8, 9]
     assert models.catalogue(spark, problem_type=1).count() == 0
-    lasso = models.build_estimator(models.catalogue_row(0), n_train=200)
-    assert lasso.getRegParam() == 1 / 200 and lasso.getElasticNetParam() == 1.0
+    plain = models.build_estimator(models.catalogue_row(4), n_train=200)
+    assert plain.getRegParam() == 1 / 200 and plain.getElasticNetParam() == 0.0
     with pytest.raises(ValueError):
-        models.build_estimator(models.catalogue_row(0))
+        models.build_estimator(models.catalogue_row(4))
+    lasso, ridge = (models.build_estimator(models.catalogue_row(i)) for i in (0, 5))
+    assert (lasso.penalty, lasso.C, ridge.penalty, ridge.C) == ("l1", 1.0, "l2", 1.0)
     with pytest.raises(ValueError):
         models.build_estimator({"algo_class": "Popen", "params": None})
 
