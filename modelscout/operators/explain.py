@@ -3,7 +3,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
-from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
@@ -13,11 +12,13 @@ from pyspark.ml.classification import GBTClassificationModel, LogisticRegression
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from modelscout.functions.columns import as_column, mean_abs
+from modelscout.operators.boosting import HistogramBoostingModel
 from modelscout.operators.penalized import PenalizedLogisticModel
 from modelscout.sources.scratch import scratch_path
 
 LINEAR_MODELS = (LogisticRegressionModel, PenalizedLogisticModel)
 EXACT_FEATURES = 10  # up to so many features all coalitions are gone through
+TABLE_FEATURES = 10  # a leaf with up to so many keeps the values of all its cases
 ORDERS = 500  # in which more features become known, each of them both ways
 
 
@@ -199,67 +200,93 @@ def linear_values(
 
 
 class Leaf:
-    """A leaf seen from its features: what each must satisfy and how likely that is, and the payoff table.
+    """A leaf seen from its features: what each must satisfy and how likely that is.
 
-    ``table[b]`` holds the Shapley values of the leaf's features when bit i of ``b`` says whether the row meets the
-    condition on feature i. A feature out of the coalition meets it with the share of training rows that did.
+    A feature out of a coalition meets its condition with the share of training rows that did. So the payoff of a coalition is
+    the leaf's value times one factor per feature, and the weighted sum over all coalitions is the integral over t in [0, 1] of
+    the product of (1 - t) * share + t * met over the other features, a polynomial that Gauss's rule integrates exactly with
+    half as many points as there are features.
     """
 
     def __init__(self, value: float, path: dict[int, tuple[float, float, float]]):
+        self.value = value
         self.features = np.array(sorted(path), dtype=int)
         self.low = np.array([path[f][0] for f in self.features])
         self.high = np.array([path[f][1] for f in self.features])
-        cover = [path[f][2] for f in self.features]
-        m = len(cover)
-        self.table = np.zeros((1 << m, m))
-        for bits in range(1 << m):
-            met = [bits >> i & 1 for i in range(m)]
-            for i in range(m):
-                rest = [j for j in range(m) if j != i]
-                for size in range(m):
-                    weight = math.factorial(size) * math.factorial(m - size - 1) / math.factorial(m)
-                    for inside in combinations(rest, size):
-                        chance = 1.0
-                        for j in rest:
-                            chance *= met[j] if j in inside else cover[j]
-                        self.table[bits, i] += weight * chance * (met[i] - cover[i]) * value
+        self.cover = np.array([path[f][2] for f in self.features])
+        m = len(self.features)
+        at, weight = np.polynomial.legendre.leggauss((m + 1) // 2)
+        self.points, self.weights = (at + 1) / 2, weight / 2
+        self.table = self.of((np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float)) if m <= TABLE_FEATURES else None
+
+    def of(self, met: np.ndarray) -> np.ndarray:
+        """The values of rows that meet (1) or miss (0) the condition on each feature."""
+        total = np.zeros_like(met)
+        for t, w in zip(self.points, self.weights):
+            factors = (1 - t) * self.cover + t * met  # never 0, as t < 1
+            total += w * factors.prod(axis=1, keepdims=True) / factors
+        return self.value * (met - self.cover) * total
 
+    def values(self, x: np.ndarray) -> np.ndarray:
+        met = (x[:, self.features] > self.low) & (x[:, self.features] <= self.high)
+        if self.table is not None:
+            return self.table[met @ (1 << np.arange(met.shape[1]))]
+        kinds, which = np.unique(met, axis=0, return_inverse=True)
+        return self.of(kinds.astype(float))[which.ravel()]
 
-def tree_leaves(model: Model) -> tuple[list[Leaf], float]:
-    """Leaves of all trees of a forest or boosted model and the mean output over the training rows.
 
-    Trees are read from the saved form of the model, the only place that has the row counts per node. Forests
+class TreeNode(NamedTuple):
+    """A node as the explanation sees it; ``left`` is negative for a leaf."""
+
+    rows: float
+    value: float
+    feature: int
+    cut: float
+    left: int
+    right: int
+
+
+def stored_trees(model: Model) -> tuple[list[dict[int, TreeNode]], list[float]]:
+    """Trees and their weights of a forest or boosted model.
+
+    MLlib's trees are read from the saved form of the model, the only place that has the row counts per node. Forests
     explain the probability of class 1, boosted trees the log-odds.
     """
+    if isinstance(model, HistogramBoostingModel):
+        return [{i: TreeNode(n.rows, n.value, n.feature, n.cut, n.left, n.right) for i, n in enumerate(t.nodes)} for t in model.trees], [1.0] * len(model.trees)
     spark = SparkSession.active()
     path = scratch_path(spark, "model")
     model.write().save(path)
     # bounded by the number and depth of trees in the catalogue
     rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
     boosted = isinstance(model, GBTClassificationModel)
-    weights = [2.0 * w for w in model.treeWeights] if boosted else [1.0 / len(model.trees)] * len(model.trees)
-    trees: dict[int, dict[int, object]] = {}
+    trees: dict[int, dict[int, TreeNode]] = {}
     for r in rows:
-        trees.setdefault(r["treeID"], {})[r["id"]] = r
-    leaves, base = [], 0.0
-    for tree, nodes in trees.items():
-        total = nodes[0]["rawCount"]
-        work = [(0, {})]
+        leaf = r["leftChild"] < 0
+        value = r["prediction"] if boosted else r["impurityStats"][1] / sum(r["impurityStats"])
+        cut = math.nan if leaf else r["split"]["leftCategoriesOrThreshold"][0]
+        trees.setdefault(r["treeID"], {})[r["id"]] = TreeNode(r["rawCount"], value, r["split"]["featureIndex"], cut, r["leftChild"], r["rightChild"])
+    weights = [2.0 * w for w in model.treeWeights] if boosted else [1.0 / len(model.trees)] * len(model.trees)
+    return [trees[k] for k in sorted(trees)], [weights[k] for k in sorted(trees)]
+
+
+def tree_leaves(model: Model) -> tuple[list[Leaf], float]:
+    """Leaves of all trees of a forest or boosted model and the mean output over the training rows."""
+    leaves, base = [], model.start if isinstance(model, HistogramBoostingModel) else 0.0
+    for nodes, weight in zip(*stored_trees(model)):
+        work: list[tuple[int, dict]] = [(0, {})]
         while work:
-            at, path_ = work.pop()
+            at, path = work.pop()
             node = nodes[at]
-            if node["leftChild"] < 0:
-                value = node["prediction"] if boosted else node["impurityStats"][1] / sum(node["impurityStats"])
-                base += weights[tree] * value * node["rawCount"] / total
-                if path_:
-                    leaves.append(Leaf(weights[tree] * value, path_))
+            if node.left < 0:
+                base += weight * node.value * node.rows / nodes[0].rows
+                if path:
+                    leaves.append(Leaf(weight * node.value, path))
                 continue
-            f, cut = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
-            for child, is_left in ((node["leftChild"], True), (node["rightChild"], False)):
-                low, high, share = path_.get(f, (-math.inf, math.inf, 1.0))
-                low, high = (low, min(high, cut)) if is_left else (max(low, cut), high)
-                ratio = nodes[child]["rawCount"] / node["rawCount"]
-                work.append((child, {**path_, f: (low, high, share * ratio)}))
+            for child, is_left in ((node.left, True), (node.right, False)):
+                low, high, share = path.get(node.feature, (-math.inf, math.inf, 1.0))
+                low, high = (low, min(high, node.cut)) if is_left else (max(low, node.cut), high)
+                work.append((child, {**path, node.feature: (low, high, share * nodes[child].rows / node.rows)}))
     return leaves, base
 
 
@@ -267,10 +294,7 @@ def tree_values(leaves: list[Leaf], x: np.ndarray) -> np.ndarray:
     """Shapley values of a batch of rows, one column per feature."""
     out = np.zeros_like(x, dtype=float)
     for leaf in leaves:
-        bits = np.zeros(len(x), dtype=int)
-        for i, f in enumerate(leaf.features):
-            bits |= ((x[:, f] > leaf.low[i]) & (x[:, f] <= leaf.high[i])).astype(int) << i
-        out[:, leaf.features] += leaf.table[bits]
+        out[:, leaf.features] += leaf.values(x)
     return out
 
 

@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from modelscout.functions.columns import as_column
+from modelscout.operators.boosting import HistogramBoosting
 from modelscout.operators.penalized import PenalizedLogisticRegression
 
 LOCAL, SPARK = 0, 1
@@ -24,8 +25,8 @@ CATALOGUE = [
      {"numTrees": 100, "maxDepth": 2, "seed": 0}),
     (2, LOCAL, CLASSIFICATION, TREE, "Gradient Boosting", "GBTClassifier",
      {"maxIter": 100, "maxDepth": 1, "stepSize": 1.0, "seed": 0}),
-    (3, LOCAL, CLASSIFICATION, TREE, "Boosted Trees (deep)", "GBTClassifier",
-     {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "seed": 0}),
+    (3, LOCAL, CLASSIFICATION, TREE, "Boosted Trees (leaf by leaf)", "HistogramBoosting",
+     {"numTrees": 100, "numLeaves": 31, "stepSize": 0.1, "minRows": 20}),
     (4, LOCAL, CLASSIFICATION, LINEAR, "Logistic Regression", "LogisticRegression",
      {"C": 1.0, "elasticNetParam": 0.0, "standardization": False, "maxIter": 10000}),
     (5, LOCAL, CLASSIFICATION, LINEAR, "Ridge Logistic Regression", "PenalizedLogisticRegression",
@@ -42,9 +43,10 @@ ESTIMATORS = {
     "RandomForestClassifier": RandomForestClassifier,
     "GBTClassifier": GBTClassifier,
     "PenalizedLogisticRegression": PenalizedLogisticRegression,
+    "HistogramBoosting": HistogramBoosting,
 }
 # Estimators of this library; all others are MLlib's.
-OWN = {"PenalizedLogisticRegression": "modelscout.operators.penalized"}
+OWN = {"PenalizedLogisticRegression": "modelscout.operators.penalized", "HistogramBoosting": "modelscout.operators.boosting"}
 CATALOGUE_SCHEMA = (
     "id INT, impl_type INT, problem_type INT, algo_type INT, algo_name STRING, import_pkg STRING, algo_class STRING, "
     "params STRING"

@@ -6,7 +6,7 @@ CATALOGUE = [
     (0, 0, 1, "Lasso Logistic Regression"),
     (1, 0, 2, "Random Forest"),
     (2, 0, 2, "Gradient Boosting"),
-    (3, 0, 2, "Boosted Trees (deep)"),
+    (3, 0, 2, "Boosted Trees (leaf by leaf)"),
     (4, 0, 1, "Logistic Regression"),
     (5, 0, 1, "Ridge Logistic Regression"),
     (6, 1, 1, "Lasso Logistic Regression"),
