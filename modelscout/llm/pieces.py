@@ -304,6 +304,8 @@ def encode_giant(texts: DataFrame, model: bytes, chunk: int = CHUNK, run: int =
         first = int(rows["chunk"].min())
         return pd.DataFrame({"sha": key[0], "chunk": range(first, first + len(cuts) - 1), "enter": cuts[:-1], "leave": cuts[1:]})
 
+    # these rows are few, but each costs much: their number of tasks is not left to their size either
+    entries = entries.repartition(tasks, "sha", "run")
     runs = entries.groupBy("sha", "run").applyInPandas(of_run, f"sha string, run int, {kind}")
     fixed = runs.groupBy("sha").applyInPandas(over_runs, "sha string, run int, enter bigint, leave bigint")
     fixed = fixed.select(F.col("sha").alias("of"), F.col("run").alias("number"), "enter", "leave")
