@@ -60,6 +60,28 @@ class Pieces:
         # no piece has a blank after another character, so that a blank after one always begins a piece
         self.blank_begins = not any(BLANK_PIECE in p.piece.lstrip(BLANK_PIECE) for p in proto.pieces if p.type not in (2, 3, 6))
 
+        # what a piece decodes to; byte, unknown and control pieces need the library
+        self.plain_bytes = [b"" if p.type in (2, 3, 6) else p.piece.replace(BLANK_PIECE, " ").encode() for p in proto.pieces]
+        self.needs_library = np.array([p.type in (2, 3, 6) for p in proto.pieces])
+        self.byte_sizes = np.array([len(b) for b in self.plain_bytes], dtype=np.int64)
+        self.byte_starts = np.cumsum(self.byte_sizes) - self.byte_sizes
+        self.all_bytes = np.frombuffer(b"".join(self.plain_bytes), dtype=np.uint8)
+
+    def decode_all(self, ids: np.ndarray, cuts: np.ndarray) -> list[str]:
+        """The texts of the ids between every two ``cuts``: the bytes of their pieces without the blank that was put at the front."""
+        sizes = self.byte_sizes[ids]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        flat = self.all_bytes[np.arange(ends[-1]) + np.repeat(self.byte_starts[ids] - ends[:-1], sizes)].tobytes()
+        odd = np.concatenate(([0], np.cumsum(self.needs_library[ids])))
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if odd[b] != odd[a]:
+                out.append(self.whole.decode(ids[a:b].tolist()))
+                continue
+            text = flat[ends[a] : ends[b]].decode()
+            out.append(text[1:] if self.prefix and text.startswith(" ") else text)
+        return out
+
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of plain texts."""
         return [np.asarray(x, dtype=np.int32) for x in self.bare.encode(texts, num_threads=1)]
@@ -349,8 +371,9 @@ def decode_ids(encoded: DataFrame, model: bytes) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
-                ids = part.column(part.num_columns - 1).to_pylist()
-                texts = tool.whole.decode([x or [] for x in ids], num_threads=1)
+                ids = part.column(part.num_columns - 1)
+                cuts = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))))
+                texts = tool.decode_all(ids.flatten().to_numpy().astype(np.int64), cuts)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)

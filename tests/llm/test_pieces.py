@@ -52,6 +52,16 @@ def test_chunks_give_the_whole_encoding(tool, library, text, chunk):
         assert in_chunks(tool, text, chunk) == library.encode(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(ALPHABET, st.lists(st.integers(0, 31_999), max_size=12))
+def test_decoding_equals_the_library(tool, library, text, free):
+    """Of encoded texts and of any ids."""
+    rows = [library.encode(text), free, [], [29871], [29871, 29871, 263], [1, 263, 2], [0]]
+    cuts = P.np.cumsum([0, *map(len, rows)])
+    flat = P.np.array([i for r in rows for i in r], dtype=P.np.int64)
+    assert tool.decode_all(flat, cuts) == [library.decode(r) for r in rows]
+
+
 def test_long_without_blanks(tool, library):
     random.seed(1)
     for alphabet in ("a", "ab", "etaoinshr", "0123456789", "é", "☃", "aé☃b"):
