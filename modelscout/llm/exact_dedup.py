@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from modelscout.llm.names import free_names
 from modelscout.sources.scratch import materialize
 
 COUNTERS = 1024
@@ -60,10 +61,10 @@ def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", co
         digests.join(F.broadcast(marks), "digest").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     )
     split = digests.join(hot, "digest", "left")
-    within = Window.partitionBy("digest")
-    rest = digests.join(F.broadcast(marks), "digest", "left_anti").select(
-        "digest", "doc_id", F.max("doc_id").over(within).alias("keep_id"), F.count(F.lit(1)).over(within).alias("group_size")
-    )
+    others = digests.join(F.broadcast(marks), "digest", "left_anti")
+    # written out, so that the rows of a group can be dealt to several tasks when they are joined back
+    groups = materialize(others.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
+    rest = others.join(groups, "digest").select("digest", "doc_id", "keep_id", "group_size")
     every = split.filter("group_size IS NOT NULL").select("digest", "doc_id", "keep_id", "group_size").unionByName(rest)
     return every.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
@@ -77,17 +78,18 @@ def without_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text",
     digest, are anti-joined.
     """
     spark = docs.sparkSession
+    own, its_sha, keep, lost, lost_sha = free_names(docs.columns, "own_sha", "sha", "keep", "gone", "gone_sha")
     found = materialize(exact_duplicates(docs, id, text, counters), "exact-decisions")
     top = found.groupBy("text_sha256", "keep_id").agg(F.max("group_size").alias("n")).filter("n > 1")
     winners = top.orderBy(F.desc("n"), "text_sha256").limit(counters).select("text_sha256", "keep_id").collect()
-    hot = spark.createDataFrame([(r["text_sha256"], r["keep_id"]) for r in winners], "__sha string, __keep bigint")
+    hot = spark.createDataFrame([(r["text_sha256"], r["keep_id"]) for r in winners], f"{its_sha} string, {keep} bigint")
     sha: Column = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    marked = docs.withColumn("__own_sha", sha).join(F.broadcast(hot), F.col("__own_sha") == F.col("__sha"), "left")
-    marked = marked.filter(F.col("__sha").isNull() | F.col(id).eqNullSafe(F.col("__keep"))).drop("__sha", "__keep")
-    gone = found.filter("NOT kept").join(F.broadcast(hot.select(F.col("__sha").alias("text_sha256"))), "text_sha256", "left_anti")
-    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__gone_sha")).distinct()
-    same = F.col(id).eqNullSafe(F.col("__gone")) & (F.col("__own_sha") == F.col("__gone_sha"))
-    return marked.join(gone, same, "left_anti").drop("__own_sha")
+    marked = docs.withColumn(own, sha).join(F.broadcast(hot), F.col(own) == F.col(its_sha), "left")
+    marked = marked.filter(F.col(its_sha).isNull() | F.col(id).eqNullSafe(F.col(keep))).drop(its_sha, keep)
+    gone = found.filter("NOT kept").join(F.broadcast(hot.select(F.col(its_sha).alias("text_sha256"))), "text_sha256", "left_anti")
+    gone = gone.select(F.col("doc_id").alias(lost), F.col("text_sha256").alias(lost_sha)).distinct()
+    same = F.col(id).eqNullSafe(F.col(lost)) & (F.col(own) == F.col(lost_sha))
+    return marked.join(gone, same, "left_anti").drop(own)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

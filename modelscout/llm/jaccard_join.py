@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from modelscout.llm.components import components
+from modelscout.llm.names import free_names
 from modelscout.llm.words import mix, shingles, words
 from modelscout.sources.scratch import materialize
 
@@ -292,6 +293,7 @@ def without_similar(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     Links are those of :func:`jaccard_join`, but every row goes by its own text: an id with several texts does not connect them,
     and may stay with one and go with another. Rows without words or with a NULL id stay.
     """
+    lost, lost_row = free_names(docs.columns, "gone", "gone_row")
     signed, _, named, found = _linked(docs, n, similarity, RECALL, id, text, BLOCK)
     # nodes are classes and not ids, so that an id with several texts is no bridge
     roots = materialize(components(found.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))), "jaccard-roots")
@@ -299,8 +301,8 @@ def without_similar(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     low = reps.groupBy("root").agg(F.min("rep").alias("low"))
     lows = materialize(reps.join(low, "root").select("class", "low"), "jaccard-lows")
     of_class = materialize(named.join(lows, "class", "left").select(*KEY, F.coalesce("low", "rep").alias("low")), "jaccard-lowest")
-    gone = signed.join(of_class, KEY).filter("id <> low").select(F.col("id").alias("__gone"), F.col("row").alias("__gone_row")).distinct()
-    return docs.join(gone, (F.col(id) == F.col("__gone")) & (_row(id, text) == F.col("__gone_row")), "left_anti")
+    gone = signed.join(of_class, KEY).filter("id <> low").select(F.col("id").alias(lost), F.col("row").alias(lost_row)).distinct()
+    return docs.join(gone, (F.col(id) == F.col(lost)) & (_row(id, text) == F.col(lost_row)), "left_anti")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from modelscout.llm.names import free_names
 from modelscout.sources.scratch import materialize
 
 LEAF = ("domain", "lang", "source")
@@ -144,14 +145,16 @@ def mixed_documents(
 
     The plan has one row per leaf; Spark broadcasts it if its file is small, else it joins by leaf.
     """
+    own_lang, own_source, copy, *names = free_names(docs.columns, "own_lang", "own_source", "copy", *[f"plan_{c}" for c in (*LEAF, "full", "upto")])
+    _, its_lang, its_source, full, upto = names
     sizes = materialize(sized(docs, id, text, lang, source), "mixing-sizes")
-    plan = mixing_plan(sizes, share, epochs, seed, weights).select(*[F.col(c).alias(f"__{c}") for c in (*LEAF, "full", "upto")])
+    plan = mixing_plan(sizes, share, epochs, seed, weights).select(*[F.col(c).alias(n) for c, n in zip((*LEAF, "full", "upto"), names)])
     place = F.coalesce(F.col(source), F.lit(""))
-    marked = docs.withColumns({"__own_lang": F.coalesce(F.col(lang), F.lit("")), "__own_source": place})
-    joined = marked.join(plan, (F.col("__own_lang") == F.col("__lang")) & (F.col("__own_source") == F.col("__source")))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__full").cast("string"), F.coalesce(F.col(id).cast("string"), F.lit(""))))
-    copies = (F.col("__full") + (key <= F.col("__upto")).cast("bigint")).cast("int")
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.withColumns({own_lang: F.coalesce(F.col(lang), F.lit("")), own_source: place})
+    joined = marked.join(plan, (F.col(own_lang) == F.col(its_lang)) & (F.col(own_source) == F.col(its_source)))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(full).cast("string"), F.coalesce(F.col(id).cast("string"), F.lit(""))))
+    copies = (F.col(full) + (key <= F.col(upto)).cast("bigint")).cast("int")
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
