@@ -1,7 +1,14 @@
 """The corpus pipeline: stages over documents, each of which takes what the one before it kept.
 
-The first four stages keep rows of documents with all their columns; the last one encodes what is left
-and decodes it again.
+The first four stages keep rows of documents with all their columns, whatever these are called; the last one encodes what is
+left and decodes it again.
+
+NULL texts count as empty ones: they are scored with all statistics zero, are copies of each other and of empty texts, are
+linked with nothing, have no tokens and no pieces. Blank texts are like them but for being equal only to themselves. Texts
+of any length are gone through whole. Rows with a NULL id stay in the exact stage only if no row with an id has their text, and
+are never dropped as near copies; they share one draw when sources are mixed. Rows that repeat an id are judged each by their own text;
+rows equal in id and text stand or fall together. Ties go to the largest id among equal texts and to the smallest id among
+near ones. An empty table stays empty.
 """
 from __future__ import annotations
 
