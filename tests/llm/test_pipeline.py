@@ -5,6 +5,7 @@ import hashlib
 import corpus_pipeline as P
 import sentencepiece
 from modelscout.llm import mixing, pieces, quality
+from modelscout.sources import materialize
 from test_jaccard_join import brute as near
 from test_mixing import brute as mixed
 
@@ -77,7 +78,7 @@ def test_edge_rows_and_clashing_columns(spark, make, tmp_path):
             got = sorted((str(r["doc_id"]), r["n_pieces"]) for r in docs.collect())
             assert got == sorted((i, len(library.encode("" if t == "None" else t))) for (i, t), n in before.items() for _ in range(n))
             continue
-        docs = P.materialize(docs, "test")
+        docs = materialize(docs, "test")
         after = collections.Counter(key(r) for r in docs.collect())
         assert docs.columns == columns and not after - before
         if name == "quality classifier":
