@@ -19,7 +19,7 @@ from modelscout.llm.jaccard_join import without_similar
 from modelscout.llm.mixing import mixed_documents
 from modelscout.llm.pieces import decode_ids, encode_documents, load_model
 from modelscout.llm.quality import good_documents
-from modelscout.sources.scratch import materialize
+from modelscout.sources.scratch import remove, scratch, scratch_path
 
 MIX_SHARE = 0.9  # of the tokens that are left; a document is taken once at most
 
@@ -63,10 +63,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; every stage's result is written once and read again by the next."""
+    """All stages over the table documents; every stage's result is written once and read again by the next.
+
+    A stage's own intermediate tables are deleted when its result is written, and its input when the next result is.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = materialize(docs, "pipeline-stage")
-    return docs
+    before = None
+    for _, stage in STAGES[:-1]:
+        path = scratch_path(spark, "pipeline-stage")
+        with scratch(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.schema(kept.schema).parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -96,21 +96,24 @@ def missing_counts(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
-def profile(df: DataFrame, exact: bool = True, count_null: bool = False) -> DataFrame:
+def profile(df: DataFrame, exact: bool = True, count_null: bool = False, quartiles: bool = True) -> DataFrame:
     """One summary row per column, in the layout of the ``dataset_summary`` table.
 
     Counts and moments of all columns come from one scan, distinct counts from the merged values of each column and
     quartiles from :func:`exact_quantiles`. ``exact=False`` uses sketches for both, and the whole profile is one scan.
+    Without ``quartiles`` these are left NULL and cost nothing.
     """
     kinds = classify(df.schema)
     numeric = [c for c in df.columns if kinds[c] == NUMERIC]
     nothing = "cast(null AS double)"
     nowhere = literal_sql([None] * 3)
-    if exact:
-        quartiles = {c: literal_sql(v) for c, v in exact_quantiles(df, numeric, QUARTILES).items()}
+    if not quartiles:
+        found = {}
+    elif exact:
+        found = {c: literal_sql(v) for c, v in exact_quantiles(df, numeric, QUARTILES).items()}
     else:
         sketch = f"{fractions_sql(QUARTILES)}, {SKETCH_ACCURACY}"
-        quartiles = {c: f"percentile_approx({number_sql(df, c)}, {sketch})" for c in numeric}
+        found = {c: f"percentile_approx({number_sql(df, c)}, {sketch})" for c in numeric}
 
     summary = []
     for i, f in enumerate(df.schema.fields):
@@ -118,7 +121,7 @@ def profile(df: DataFrame, exact: bool = True, count_null: bool = False) -> Data
         if kinds[f.name] == NUMERIC:
             x = number_sql(df, f.name)
             mean, std, low, high = f"avg({x})", f"stddev_samp({x})", f"min({x})", f"max({x})"
-        q = f", {quartiles.get(f.name, nowhere)} AS q"
+        q = f", {found.get(f.name, nowhere)} AS q"
         summary.append(
             f"struct({i} AS var_id, {kinds[f.name]} AS var_type, count({present_sql(f.name, f.dataType)}) AS ds_count, "
             f"{mean} AS ds_mean, {std} AS ds_std, {low} AS ds_min, {high} AS ds_max{q})"

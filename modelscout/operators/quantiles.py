@@ -2,16 +2,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from modelscout.functions.columns import present_sql
 
 QUARTILES = (0.25, 0.5, 0.75)
 BINS = 1_024
-SMALLEST = 5e-324  # the smallest positive double
 
 
 def number_sql(df: DataFrame, name: str) -> str:
@@ -47,7 +47,7 @@ def exact_quantiles(
     """Quantiles by narrowing: count the values of each column in equal-width bins, look into the bin that holds the
     wanted rank, and so on until the values at the rank are singled out.
 
-    A round reads each column once and brings back at most ``bins`` rows per open rank; nothing else is shuffled,
+    A round is one scan of the columns that are still open, however many, and brings back at most ``bins`` rows per open rank; nothing else is shuffled,
     whatever the table size or the skew. Every round divides the range by ``bins``. A round that hardly divides the
     rows (a long tail) is followed by one with bins on a logarithmic scale. Infinite values stand at the ends of the order
     and are only counted; a quantile between opposite infinities is NaN. The ends of a bracket fall into different bins, so every round has fewer rows to look at.
@@ -124,37 +124,52 @@ def _between(a: float, b: float, share: float) -> float:
 
 
 def _bin_counts(df: DataFrame, x: dict[str, Column], brackets: list[tuple], bins: int) -> DataFrame:
-    """(k, bin, n, lo, hi) for every bracket; one branch per column, its brackets being disjoint."""
-    branches = []
-    for c in {b[0]: None for b in brackets}:
-        mine = [(k, b) for k, b in enumerate(brackets) if b[0] == c]
-        v = F.col("v")
-        which, spot = F.lit(None).cast("int"), F.lit(None).cast("bigint")
-        for k, (_, lo, hi, _, _, logarithmic) in mine:
-            t, t_lo, t_hi = v, lo, hi
-            if logarithmic and _log_of(lo) < _log_of(hi):
-                t, t_lo, t_hi = _log_scale(v), _log_of(lo), _log_of(hi)
-            # a quarter of everything, so that no difference overflows
-            part = 0.25 if max(abs(t_lo), abs(t_hi)) > 1 else 1.0
-            width = max((t_hi * part - t_lo * part) / bins, SMALLEST)
-            here = v.between(lo, hi)
-            at = F.floor(F.when(here, (t * part - F.lit(t_lo * part)) / F.lit(width)))
-            # the largest value never shares a bin with the smallest
-            at = F.when(v == hi, F.lit(bins)).otherwise(F.least(at, F.lit(bins - 1)))
-            which = F.when(here, F.lit(k)).otherwise(which)
-            spot = F.when(here, F.greatest(at, F.lit(0))).otherwise(spot)
-        values = df.select(x[c].alias("v")).filter(v.between(min(b[1] for _, b in mine), max(b[2] for _, b in mine)))
-        branches.append(
-            values.select("v", which.alias("k"), spot.alias("bin"))
-            .filter(F.col("k").isNotNull())
-            .groupBy("k", "bin")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        )
-    return reduce(DataFrame.union, branches)
-
+    """(k, bin, n, lo, hi) for every bracket, in one scan of all columns that have any.
 
-def _log_scale(v: Column) -> Column:
-    return F.signum(v) * F.log1p(F.abs(v))
+    Bins are given by their bounds among the values themselves, so that a larger value is never in a lower bin.
+    """
+    columns = list({b[0]: None for b in brackets})
+    ranges = [(b[1], b[2], _bounds(*b[1:3], b[5], bins)) for b in brackets]
+    of_column = [[k for k, b in enumerate(brackets) if b[0] == c] for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((len(ranges), bins + 1), dtype=np.int64)
+        low, high = np.full(n.shape, math.inf), np.full(n.shape, -math.inf)
+        for batch in batches:
+            for values, mine in zip(batch.columns, of_column):
+                v = np.sort(values.drop_null().to_numpy())
+                for k in mine:
+                    lo, hi, bounds = ranges[k]
+                    # the largest value never shares a bin with the smallest
+                    first, top, last = np.searchsorted(v, lo), np.searchsorted(v, hi), np.searchsorted(v, hi, side="right")
+                    if first == last:
+                        continue
+                    starts = np.concatenate(([first], first + np.searchsorted(v[first:top], bounds), [top]))
+                    ends = np.append(starts[1:], last)
+                    some = np.flatnonzero(ends > starts)
+                    n[k, some] += (ends - starts)[some]
+                    low[k, some] = np.minimum(low[k, some], v[starts[some]])
+                    high[k, some] = np.maximum(high[k, some], v[ends[some] - 1])
+        k, spot = np.nonzero(n)
+        columns_ = [pa.array(k, pa.int32()), pa.array(spot, pa.int64()), *(pa.array(a[k, spot]) for a in (n, low, high))]
+        yield pa.RecordBatch.from_arrays(columns_, names=["k", "bin", "n", "lo", "hi"])
+
+    values = df.select([x[c].alias(f"v{i}") for i, c in enumerate(columns)])
+    parts = values.mapInArrow(run, "k int, bin bigint, n bigint, lo double, hi double")
+    return parts.groupBy("k", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def _bounds(lo: float, hi: float, logarithmic: bool, bins: int) -> np.ndarray:
+    """The lower bounds of all bins but the first, in ascending order."""
+    share = np.arange(1, bins) / bins
+    between = lambda a, b: a * (1 - share) + b * share  # noqa: E731 - no difference, which could overflow
+    if logarithmic and _log_of(lo) < _log_of(hi):
+        t = between(_log_of(lo), _log_of(hi))
+        with np.errstate(over="ignore"):
+            out = np.sign(t) * np.expm1(np.abs(t))
+    else:
+        out = between(lo, hi)
+    return np.maximum.accumulate(np.clip(out, lo, hi))
 
 
 def _log_of(v: float) -> float:

@@ -300,6 +300,9 @@ ORACLE = {
         (SELECT avg({c}) AS mu FROM l WHERE is_train) m WHERE NOT is_train"""
         for c, w in SHAP_WEIGHTS.items()
     ),
+    "score_fixed_weights": """WITH z AS (SELECT *, -0.3::DOUBLE + 0.02::DOUBLE * l_quantity + 1.5::DOUBLE * l_discount + -2.0::DOUBLE * l_tax AS z FROM lineitem)
+      SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS y, CASE WHEN z > 0 THEN 1 ELSE 0 END AS prediction,
+        round(1 / (1 + exp(-z)), 6) AS score FROM z""",
     # of two features, each is expected from the other one by a straight line
     "linear_shap_correlated_fixed_weights": f"""WITH l AS (SELECT l_quantity AS a, l_extendedprice AS b, {LINE_BUCKET} < 'cccc' AS is_train FROM lineitem),
       m AS (SELECT avg(a) AS ma, avg(b) AS mb, covar_pop(a, b) / var_pop(a) AS ba, covar_pop(a, b) / var_pop(b) AS ab FROM l WHERE is_train),

@@ -2,7 +2,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from zoneinfo import ZoneInfo
 
@@ -17,6 +18,8 @@ from modelscout.plans.importing import read_dataset
 from modelscout.plans.preparing import Prepared, prepare, vectors
 from modelscout.sources.store import ResultStore
 
+WORKERS = 4  # rows of the catalogue that are trained side by side
+
 
 def evaluate(model, test: DataFrame, label: str) -> dict[str, float]:
     """Every metric of one model. The scored rows are kept while AUC and the label metrics read them."""
@@ -29,25 +32,46 @@ def evaluate(model, test: DataFrame, label: str) -> dict[str, float]:
     return out
 
 
-def run_models(p: Prepared, impl_type: int, partitions: int | None = None) -> list[dict]:
-    """Fit, score and explain every catalogue row of one kind."""
+class ExperimentFailed(RuntimeError):
+    """Some rows of the catalogue could not be trained. What the others gave is stored under the run's id, by which it is taken up."""
+
+    def __init__(self, run: int, failed: dict[int, Exception]):
+        super().__init__(f"run {run}: rows {sorted(failed)} of the catalogue failed: " + "; ".join(f"{k}: {e}" for k, e in failed.items()))
+        self.run, self.failed = run, failed
+
+
+def run_models(
+    p: Prepared, impl_type: int, partitions: int | None = None, workers: int = WORKERS, done: Collection[int] = ()
+) -> tuple[list[dict], dict[int, Exception]]:
+    """Fit, score and explain every catalogue row of one kind that is not ``done``, ``workers`` of them side by side.
+
+    All read one train and one test table that are kept meanwhile, each in a scheduler pool of its own, so that with the fair
+    scheduler none waits for another's last tasks. Returns the results in the order of the catalogue, and what failed by id.
+    """
     train, test = (df.persist(StorageLevel.MEMORY_AND_DISK) for df in vectors(p, partitions))
-    results = []
+    context = train.sparkSession.sparkContext
+    rows = [models.catalogue_row(entry[0]) for entry in models.CATALOGUE]
+    rows = [row for row in rows if row["impl_type"] == impl_type and row["id"] not in done]
+    results, failed = [], {}
     try:
         n = train.count()
-        for entry in models.CATALOGUE:
-            row = models.catalogue_row(entry[0])
-            if row["impl_type"] != impl_type:
-                continue
+
+        def one(row: dict) -> dict:
+            context.setLocalProperty("spark.scheduler.pool", f"row-{row['id']}")
             model = models.fit(models.build_estimator(row, p.label, n), train)
             shap = {r["feature"]: r["shap"] for r in explain(model, train, test, p.columns).collect()}
-            results.append(
-                {"algo_id": row["id"], **evaluate(model, test, p.label), "shap": json.dumps(shap, sort_keys=True)}
-            )
+            return {"algo_id": row["id"], **evaluate(model, test, p.label), "shap": json.dumps(shap, sort_keys=True)}
+
+        with ThreadPoolExecutor(workers) as pool:
+            for row, future in [(row, pool.submit(one, row)) for row in rows]:
+                try:
+                    results.append(future.result())
+                except Exception as e:  # noqa: BLE001 - the other rows go on
+                    failed[row["id"]] = e
     finally:
         train.unpersist()
         test.unpersist()
-    return results
+    return results, failed
 
 
 def run_experiment(
@@ -61,21 +85,30 @@ def run_experiment(
     keys: Sequence[str] | None = None,
     impute: bool = True,
     partitions: int | None = None,
+    workers: int = WORKERS,
+    run: int | None = None,
 ) -> int:
     """Train the whole catalogue of one kind on a stored dataset. Returns the run id.
 
-    ``impl_type`` defaults to how the dataset is stored. The run row is written after its details.
+    ``impl_type`` defaults to how the dataset is stored. The run row is written after its details. If a row of the catalogue
+    fails, the others are stored and :class:`ExperimentFailed` tells the run's id; called again with that ``run`` and the same
+    arguments, only what is missing is trained.
     """
     dataset = store.get("dataset", dataset_id)
     impl_type = dataset["stored"] if impl_type is None else impl_type
     p = prepare(read_dataset(store, dataset_id), target, categories, unused, keys, impute=impute)
-    results = run_models(p, impl_type, partitions)
+    done = set()
+    if run is not None:
+        done = {r["algo_id"] for r in store.read_all("experiment_detail", experiment_id=run).select("algo_id").collect()}
+    results, failed = run_models(p, impl_type, partitions, workers, done)
     now = datetime.now(ZoneInfo("America/Los_Angeles")).replace(tzinfo=None)
-    run, first = store.next_id("experiment"), store.next_id("experiment_detail")
-    store.append_rows(
-        "experiment_detail",
-        [{"id": first + i, "experiment_id": run, "created_date": now, **r} for i, r in enumerate(results)],
-    )
+    if run is None:
+        (run,) = store.claim_ids("experiment")
+    if results:
+        details = store.claim_ids("experiment_detail", len(results))
+        store.append_rows("experiment_detail", [{"id": i, "experiment_id": run, "created_date": now, **r} for i, r in zip(details, results)])
+    if failed:
+        raise ExperimentFailed(run, failed)
     store.append_rows(
         "experiment",
         [{"id": run, "experiment_name": name, "target_name": target, "features": ", ".join(p.features),

@@ -25,7 +25,7 @@ def import_dataset(
     The id is settled before anything is written, and the dataset row is written last: a failed import leaves no
     registered dataset behind.
     """
-    id = store.next_id("dataset")
+    (id,) = store.claim_ids("dataset")
     path = f"{store.root}/data/{id}"
     write_table(read_table(spark, src, fmt, **read_options), path, mode="overwrite")
     df = read_table(spark, path)

@@ -3,10 +3,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from modelscout.operators import charts, explain, metrics, models, outliers, prep, profile, ranking, roles
 from modelscout.operators.impute import KnnImpute
+from modelscout.operators.penalized import PenalizedLogisticModel
 from modelscout.plans import derived, experiments, importing, preparing
 from modelscout.sources import ResultStore, read_table, scratch_path, write_table
 
@@ -233,9 +235,9 @@ def missing_counts(spark, sf):
 
 def quality_report(spark, sf):
     df = gappy_lineitem(spark, sf)
-    notes = roles.quality_report(profile.profile(df), profile.table_shape(df).select("row_number").scalar())
+    notes = roles.quality_report(profile.profile(df, quartiles=False), profile.table_shape(df).select("row_number").scalar())
     people = table(spark, sf, "customer")
-    more = roles.quality_report(profile.profile(people), profile.table_shape(people).select("row_number").scalar())
+    more = roles.quality_report(profile.profile(people, quartiles=False), profile.table_shape(people).select("row_number").scalar())
     return notes.unionByName(more)
 
 
@@ -244,7 +246,7 @@ def quality_report_outliers(spark, sf):
     out = []
     for name in ("customer", "events"):
         df = table(spark, sf, name)
-        summary = profile.profile(df)
+        summary = profile.profile(df, quartiles=False)
         rows = profile.table_shape(df).select("row_number").scalar()
         report = roles.quality_report(summary, rows, outliers.columns_with_outliers(summary))
         out.append(report.withColumn("table", F.lit(name)))
@@ -257,7 +259,7 @@ def variable_summary(spark, sf):
 
 
 def suggest_roles(spark, sf):
-    found = [roles.suggest_roles(profile.profile(table(spark, sf, n))) for n in ("lineitem", "customer", "labels")]
+    found = [roles.suggest_roles(profile.profile(table(spark, sf, n), quartiles=False)) for n in ("lineitem", "customer", "labels")]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -495,6 +497,14 @@ def linear_values_fixed_weights(spark, sf):
     return rounded(explain.linear_values(SHAP_WEIGHTS, train, test, LINEITEM_KEY, correlated=False), 6)
 
 
+def score_fixed_weights(spark, sf):
+    """Assembled features scored by a linear model whose weights are given."""
+    lines = table(spark, sf, "lineitem").withColumn("label", (F.col("l_linestatus") == "F").cast("int"))
+    model = PenalizedLogisticModel(np.array(list(SHAP_WEIGHTS.values())), -0.3, "features", 0.0)
+    scored = models.score(model, prep.assemble(lines, list(SHAP_WEIGHTS)), "label", keep=tuple(LINEITEM_KEY))
+    return rounded(scored, 6)
+
+
 def _fitted(spark, sf, id):
     p = prepared_model_table(spark, sf)
     train, test = preparing.vectors(p, spark.sparkContext.defaultParallelism)
@@ -577,7 +587,7 @@ QUERIES = {
         columns_to_impute, knn_impute, prepare_features, derived_flags, leaderboard_join,
         best_model_per_experiment, experiment_table, algorithm_catalogue, shap_ranking, confusion_counts,
         binary_metrics, weighted_metrics, auc_score, auc_hard_label, linear_shap_fixed_weights,
-        linear_shap_correlated_fixed_weights, linear_values_fixed_weights, linear_shap, tree_shap,
+        linear_shap_correlated_fixed_weights, linear_values_fixed_weights, score_fixed_weights, linear_shap, tree_shap,
         shap_values, run_experiment, run_local_experiment,
     )
 } | {name: _score(id) for name, id in SCORES.items()}

@@ -3,9 +3,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folder: ContextVar[str | None] = ContextVar("scratch folder", default=None)
+
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the folder named by ``spark.checkpoint.dir``.
@@ -20,7 +25,28 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="modelscout-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/modelscout-{label}-{uuid.uuid4().hex}"
+    return f"{_folder.get() or root.rstrip('/')}/modelscout-{label}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`scratch_path` names within this block are deleted when it ends.
+
+    What is wanted of them must have been written elsewhere by then: frames that still read them fail afterwards.
+    """
+    folder = scratch_path(spark, "scope")
+    before = _folder.set(folder)
+    try:
+        yield
+    finally:
+        _folder.reset(before)
+        remove(spark, folder)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Append-only Parquet tables for datasets, summaries, runs and run details."""
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -75,6 +76,13 @@ class ResultStore:
             df = df.join(live, "experiment_id", "left_semi")
         return df
 
+    def read_all(self, table: str, **eq) -> DataFrame:
+        """Rows of a table filtered by equality, also those of deleted datasets and of runs that are not complete."""
+        df = self._raw(table)
+        for name, value in eq.items():
+            df = df.filter(F.col(name) == F.lit(value))
+        return df
+
     def get(self, table: str, id: int):
         """One row by primary key; ``KeyError`` when it is missing or deleted."""
         row = self.read(table, id=id).limit(1).first()
@@ -83,10 +91,43 @@ class ResultStore:
         return row
 
     def next_id(self, table: str) -> int:
-        """The id for the next row. Deleted ids are not handed out again. One writer at a time."""
+        """The smallest id above all ids of the table, deleted ones included. Writers take ids by :meth:`claim_ids`."""
         top = self._raw(table).agg(F.max("id")).first()[0]
         return 1 if top is None else top + 1
 
+    def claim_ids(self, table: str, n: int = 1) -> list[int]:
+        """``n`` ids that no other writer gets, in ascending order.
+
+        An id belongs to whoever creates the file of its name, which a file system lets happen once. Ids that were claimed and
+        never written stay unused. The claims of written ids are below the start of the search and not looked at again.
+        """
+        folder = f"{self.path(table)}_ids"
+        out, at = [], self.next_id(table)
+        while len(out) < n:
+            if self._create(f"{folder}/{at}"):
+                out.append(at)
+            at += 1
+        return out
+
+    def _create(self, path: str) -> bool:
+        """Create an empty file; False if there is one already."""
+        jvm = self.spark.sparkContext._jvm
+        file = jvm.org.apache.hadoop.fs.Path(path)
+        system = file.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(file.getParent())
+        try:
+            if system.getScheme() == "file":
+                # Hadoop's view of a local disk looks first and creates then; the disk itself does both at once
+                place = system.makeQualified(file).toUri().getPath()
+                jvm.java.nio.file.Files.createFile(jvm.java.io.File(place).toPath(), self.spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0))
+            else:
+                system.create(file, False).close()
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise
+            return False
+        return True
+
     def delete_dataset(self, id: int) -> None:
         """Hide a dataset and everything that hangs on it."""
         self.get("dataset", id)

@@ -193,3 +193,34 @@ def test_experiment_end_to_end(spark, separable):
     assert all(json.loads(r["shap"]) and abs(r["weighted_recall"] - r["accuracy"]) < 1e-12 for r in stored)
     with pytest.raises(KeyError):
         experiments.experiment_table(store, run + 1)
+
+
+def test_failed_rows_are_taken_up_again(spark, monkeypatch):
+    """What the other rows gave stays; with the run's id only the missing ones are trained."""
+    rng = np.random.default_rng(4)
+    rows = [(i, int(x + rng.normal() > 0), float(x)) for i, x in enumerate(rng.normal(size=200))]
+    store = ResultStore(spark, scratch_path(spark, "store"))
+    src = write_table(spark.createDataFrame(rows, "pid int, y int, x double"), scratch_path(spark, "src"))
+    id = importing.import_dataset(spark, src, "rows", store, fmt="parquet")
+    fit, trained = models.fit, []
+
+    def sometimes(estimator, train):
+        trained.append(type(estimator).__name__)
+        if broken and isinstance(estimator, RandomForestClassifier):
+            raise RuntimeError("no forest today")
+        return fit(estimator, train)
+
+    monkeypatch.setattr(models, "fit", sometimes)
+    broken = True
+    with pytest.raises(experiments.ExperimentFailed, match="no forest today") as caught:
+        experiments.run_experiment(store, "runs", id, "y", (), ["pid"], keys=["pid"])
+    run = caught.value.run
+    assert set(caught.value.failed) == {8} and store.read("experiment").count() == 0
+    first = {r["algo_id"]: r["id"] for r in store.read_all("experiment_detail", experiment_id=run).collect()}
+    assert set(first) == {6, 7, 9}
+    broken, trained[:] = False, []
+    assert experiments.run_experiment(store, "runs", id, "y", (), ["pid"], keys=["pid"], run=run) == run
+    assert trained == ["RandomForestClassifier"]
+    stored = {r["algo_id"]: r["id"] for r in store.read("experiment_detail", experiment_id=run).collect()}
+    assert set(stored) == {6, 7, 8, 9} and first.items() <= stored.items() and len(set(stored.values())) == 4
+    assert store.read("experiment").count() == 1

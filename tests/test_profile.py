@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from modelscout.functions.columns import mean_abs, now_pacific, weighted_mean
+from modelscout.sources import read_table, scratch_path, write_table
 from modelscout.operators import charts, profile, quantiles, roles
 
 NAN = float("nan")
@@ -93,6 +94,29 @@ def test_quantiles_of_extreme_values(make):
     assert quantiles.exact_quantiles(empty, ["x"]) == {"x": [None, None, None]}
 
 
+def test_quartiles_of_many_columns_take_one_scan_a_round(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    columns = {f"c{i}": (rng.normal(i, 1 + i, 300) if i % 3 else rng.integers(0, 9, 300).astype(float)) for i in range(200)}
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*columns.values())], ", ".join(f"{c} double" for c in columns))
+    path = write_table(df, scratch_path(spark, "wide"))
+    rounds = []
+    count = quantiles._bin_counts
+
+    def counted(*args):
+        rounds.append(count(*args))
+        return rounds[-1]
+
+    monkeypatch.setattr(quantiles, "_bin_counts", counted)
+    found = quantiles.exact_quantiles(read_table(spark, path), list(columns), bins=32)
+    for c, v in columns.items():
+        assert found[c] == pytest.approx(np.quantile(v, (0.25, 0.5, 0.75)).tolist()), c
+    assert 1 < len(rounds) < 8
+    for r in rounds:
+        assert r._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    left_out = profile.profile(df.select("c0", "c1"), quartiles=False).collect()
+    assert all(r["ds_50"] is None and r["ds_mean"] is not None for r in left_out)
+
+
 def test_distinct_texts_of_any_length(make):
     rows = [("a",), ("a",), ("b" * 1000,), ("b" * 1000,), ("b" * 999,), ("",), (None,)]
     df = make(rows, "t string")

@@ -1,7 +1,11 @@
+import os
+import threading
+
 import pytest
 
 from modelscout.plans import importing
 from modelscout.sources import ResultStore, materialize, read_table, scratch_path, write_table
+from modelscout.sources.scratch import scratch
 from modelscout.sources.tables import normalize_path
 
 
@@ -121,3 +125,45 @@ def test_import_then_delete(spark, make, store):
     with pytest.raises(KeyError):
         store.delete_dataset(id)
     assert store.next_id("dataset") == other + 1
+
+
+def test_two_writers_never_share_an_id(spark, tmp_path):
+    """Each appends 50 runs, some of them at once; no id comes twice, none is lost, and a claim without a row is passed over."""
+    root, taken = str(tmp_path), {}
+
+    def write(name):
+        store = ResultStore(spark, root)
+        taken[name] = []
+        for k in range(5):
+            ids = store.claim_ids("experiment", 10)
+            store.append_rows("experiment", [{"id": i, "experiment_name": name, "dataset_id": 1} for i in ids])
+            taken[name] += ids
+
+    threads = [threading.Thread(target=write, args=(n,)) for n in ("a", "b")]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    rows = [(r["id"], r["experiment_name"]) for r in ResultStore(spark, root).read("experiment").collect()]
+    assert len(rows) == 100 and len({i for i, _ in rows}) == 100
+    assert sorted(rows) == sorted((i, n) for n, ids in taken.items() for i in ids)
+    store = ResultStore(spark, root)
+    (lost,) = store.claim_ids("experiment")
+    assert store.claim_ids("experiment", 2) == [lost + 1, lost + 2] and lost > max(i for i, _ in rows)
+
+
+def test_scratch_tables_of_a_block_are_deleted(spark, make):
+    path = scratch_path(spark, "kept")
+    with scratch(spark):
+        inner = materialize(make([(1,), (2,)], "i int"), "inner")
+        inside = inner.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(inside)
+        with scratch(spark):
+            deeper = materialize(inner, "deeper").inputFiles()[0].removeprefix("file://")
+        assert not os.path.exists(deeper) and os.path.exists(inside)
+        inner.write.parquet(path)
+    assert not os.path.exists(inside) and spark.read.parquet(path).count() == 2
+    with pytest.raises(ValueError), scratch(spark):
+        gone = materialize(make([(1,)], "i int"), "inner").inputFiles()[0].removeprefix("file://")
+        raise ValueError
+    assert not os.path.exists(gone) and os.path.dirname(materialize(make([(1,)], "i int"), "x").inputFiles()[0]).count("scope") == 0
