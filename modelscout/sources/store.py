@@ -1,6 +1,8 @@
 """Append-only Parquet tables for datasets, summaries, runs and run details."""
 from __future__ import annotations
 
+import uuid
+
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -40,8 +42,12 @@ class ResultStore:
         return f"{self.root}/{table}"
 
     def append(self, table: str, df: DataFrame) -> None:
-        """Append rows; columns the frame lacks become NULL."""
-        path = self.path(table)
+        """Append rows; columns the frame lacks become NULL.
+
+        Every call has a folder of its own: Spark's writers keep unfinished files in the folder they write to and clear it
+        when they are done, those of another writer included.
+        """
+        path = f"{self.path(table)}/append={uuid.uuid4().hex}"
         wanted = self.spark.createDataFrame([], SCHEMAS[table]).schema
         have = set(df.columns)
         rows = df.select(
@@ -54,7 +60,7 @@ class ResultStore:
         order = keys or [SORT[table]] if (keys or table in SORT) else []
         if order:
             rows = rows.sortWithinPartitions(*order)
-        rows.write.mode("append").partitionBy(*keys).parquet(path)
+        rows.write.partitionBy(*keys).parquet(path)
 
     def append_rows(self, table: str, rows: list[dict]) -> None:
         """Append a handful of driver-side records (one run, one dataset)."""
@@ -142,5 +148,5 @@ class ResultStore:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schema)
-        # partition columns come last in the files; keep the declared order
+        # partition columns come last in the files; keep the declared order, without the name of the append
         return found.select(self.spark.createDataFrame([], schema).columns)
