@@ -2,14 +2,14 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_folder: ContextVar[str | None] = ContextVar("scratch folder", default=None)
+_folders: dict[int, str] = {}  # of the threads that are in a block of scratch(); a plain table, which functions sent to workers may carry
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -25,7 +25,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="modelscout-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{_folder.get() or root.rstrip('/')}/modelscout-{label}-{uuid.uuid4().hex}"
+    return f"{_folders.get(threading.get_ident()) or root.rstrip('/')}/modelscout-{label}-{uuid.uuid4().hex}"
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -41,11 +41,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     What is wanted of them must have been written elsewhere by then: frames that still read them fail afterwards.
     """
     folder = scratch_path(spark, "scope")
-    before = _folder.set(folder)
+    thread = threading.get_ident()
+    before = _folders.get(thread)
+    _folders[thread] = folder
     try:
         yield
     finally:
-        _folder.reset(before)
+        if before is None:
+            del _folders[thread]
+        else:
+            _folders[thread] = before
         remove(spark, folder)
 
 
