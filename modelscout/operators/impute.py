@@ -16,8 +16,10 @@ LEAF_ROWS = 512
 MAX_LEAVES = 16_384
 MAX_PATTERNS = 64
 SAMPLE_ROWS = 200_000
-# receivers x leaves that are looked at together in a task
-LOOK_CELLS = 4_000_000
+# receivers x leaves x known columns that are looked at together in a task
+LOOK_CELLS = 8_000_000
+BLOCK_COLUMNS = 4
+BLOCK_RECEIVERS = 2_048
 
 
 class KnnImpute:
@@ -60,8 +62,7 @@ class KnnImputeModel:
         gap = reduce(Column.__or__, [x[c].isNull() for c in cols])
         whole = df.filter(~gap).withColumns({c: as_column(c).cast("double") for c in cols})
         holes = df.filter(gap).withColumns({a: x[c] for c, a in zip(cols, self.axes)})
-        # equal gaps have equal fills
-        fills = self._fills(materialize(holes.select(*self.axes).distinct(), "receivers"))
+        fills = self._fills(self._receivers(df))
         if fills is None:
             return df.withColumns({c: F.coalesce(x[c], means[c]) for c in cols})
         same = reduce(Column.__and__, [holes[a].eqNullSafe(fills[a]) for a in self.axes])
@@ -75,15 +76,58 @@ class KnnImputeModel:
         )
         return whole.unionByName(filled)
 
+    def search_effort(self, df: DataFrame) -> DataFrame:
+        """One row (computed, pairs): how many distances the search for ``df`` works out, of how many there are between
+        receivers and donors."""
+        receivers = self._receivers(df)
+        found = self._search(receivers)
+        if found is None:
+            return receivers.sparkSession.range(1).selectExpr("0L AS computed", "0L AS pairs")
+        near, sizes, kinds = found
+        known = F.array(*[F.col(a).isNotNull() for a in self.axes])
+        number = F.lit(0)
+        for p, g in kinds.items():
+            number = F.when(known == F.array(*map(F.lit, p)), g).otherwise(number)
+        some = reduce(Column.__or__, [F.col(a).isNotNull() for a in self.axes])
+        donors = F.get(F.array(*[F.lit(n).cast("bigint") for n in sizes]), number)
+        every = receivers.filter(some).agg(F.sum(donors).alias("pairs"))
+        return near.filter("_c < 0").agg(F.sum("_dist").cast("bigint").alias("computed")).join(every)
+
+    def _receivers(self, df: DataFrame) -> DataFrame:
+        """The distinct rows with gaps: equal gaps have equal fills."""
+        x = [number(df, c).alias(a) for c, a in zip(self.params.cols, self.axes)]
+        gap = reduce(Column.__or__, [F.col(a).isNull() for a in self.axes])
+        return materialize(df.select(*x).filter(gap).distinct(), "receivers")
+
     def _fills(self, receivers: DataFrame) -> DataFrame | None:
-        """One row per distinct receiver with the filled value of every missing column.
+        """One row per distinct receiver with the filled value of every missing column."""
+        axes = self.axes
+        found = self._search(receivers)
+        if found is None:
+            return None
+        return materialize(
+            self._best(found[0]).groupBy(*axes).agg(
+                *[F.avg(F.when(F.col("_c") == i, F.col("_value"))).alias(f"_f{i}") for i in range(len(axes))]
+            ),
+            "fills",
+        )
+
+    def _best(self, near: DataFrame) -> DataFrame:
+        """The ``k`` nearest values per receiver and missing column."""
+        order = Window.partitionBy(*self.axes, "_c").orderBy("_dist", "_value")
+        return near.filter("_c >= 0").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= self.params.k)
+
+    def _search(self, receivers: DataFrame) -> tuple[DataFrame, list[int], dict[tuple, int]] | None:
+        """Near donor values of every receiver, the donors per pattern, and the numbers of the patterns.
 
         Receivers are grouped by which columns they have. For each such pattern the donors are projected on those
         columns, equal projections merge into one with its ``k`` smallest values per missing column, and the
-        projections are laid out in the leaves of a k-d tree. A receiver meets only the leaves that can hold one of
-        its nearest: those no further than the far corner of some leaf with ``k`` donors. The trees are built on
-        bounded samples, which decide the layout and never the result. With more than ``max_patterns`` patterns
-        all receivers share one tree over the whole donor rows.
+        projections are laid out in the leaves of a k-d tree. A receiver first meets the leaf that looks nearest for each
+        of its missing columns. The distances found there bound what can be among its nearest, and it then meets
+        only the leaves whose box is no further. Within a leaf, distances to two pivots rule out pairs, and the
+        distances of the others are added up by blocks of columns and given up once they are beyond the bound.
+        The trees are built on bounded samples, which decide the layout and never the result. With more
+        than ``max_patterns`` patterns all receivers share one tree over the whole donor rows.
         """
         k, d, axes = self.params.k, len(self.axes), self.axes
         have = F.array(*[F.col(a).isNotNull() for a in axes])
@@ -91,28 +135,40 @@ class KnnImputeModel:
         patterns = [tuple(r["p"]) for r in seen if any(r["p"])]
         if not patterns:
             return None
-        if len(seen) > self.params.max_patterns:
+        one_tree = len(seen) > self.params.max_patterns
+        if one_tree:
             patterns = [(True,) * d]
+        kinds = {} if one_tree else {p: g for g, p in enumerate(patterns)}
         spots = materialize(self._spots(patterns), "spots")
         trees, boxes, placed = self._layout(spots, patterns)
         packs = self._packs(placed, boxes)
-        one_tree = len(seen) > self.params.max_patterns
-        blocks = receivers.mapInPandas(
-            lambda batches: receiver_blocks(batches, patterns, one_tree, boxes, k), "_leaf int, receivers array<double>"
-        )
-        pairs = blocks.join(packs, "_leaf").select("receivers", "donors")
+        if len(boxes.rows) > len(patterns):
+            packs = materialize(packs, "packs")
         coords = ", ".join(f"{a} double" for a in axes)
-        near = pairs.mapInPandas(
-            lambda batches: nearest(batches, d, k), f"{coords}, _c int, _dist double, _value double"
-        )
-        order = Window.partitionBy(*axes, "_c").orderBy("_dist", "_value")
-        best = near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
-        return materialize(
-            best.groupBy(*axes).agg(
-                *[F.avg(F.when(F.col("_c") == i, F.col("_value"))).alias(f"_f{i}") for i in range(d)]
-            ),
-            "fills",
-        )
+
+        def meet(points: DataFrame, home: bool) -> DataFrame:
+            blocks = points.mapInPandas(
+                lambda batches: receiver_blocks(batches, kinds, boxes, k, home), "_leaf int, receivers array<double>"
+            )
+            return blocks.join(packs, "_leaf").select("receivers", "donors").mapInPandas(
+                lambda batches: nearest(batches, d, k), f"{coords}, _c int, _dist double, _value double"
+            )
+
+        unbounded = F.array_repeat(F.lit(None).cast("double"), d)
+        if len(boxes.rows) == len(patterns):
+            near = meet(receivers.withColumn("_bounds", unbounded), False)
+        else:
+            first = materialize(meet(receivers, True), "first meetings")
+            worst = self._best(first).groupBy(*axes, "_c").agg(
+                F.when(F.count(F.lit(1)) == k, F.max("_dist")).alias("_worst")
+            )
+            every = worst.unionByName(receivers.select(*axes, F.lit(-1).alias("_c"), F.lit(None).cast("double").alias("_worst")))
+            bounded = every.groupBy(*axes).agg(
+                F.array(*[F.max(F.when(F.col("_c") == i, F.col("_worst"))) for i in range(d)]).alias("_bounds")
+            )
+            near = meet(materialize(bounded, "bounds"), False).unionByName(first.filter("_c < 0"))
+        sizes = [int(boxes.rows[boxes.group == g].sum()) for g in range(len(patterns))]
+        return near, sizes, kinds
 
     def _spots(self, patterns: list[tuple]) -> DataFrame:
         """Distinct donor projections per pattern: (_g, axes..., _v0.. arrays of the k smallest values)."""
@@ -234,22 +290,24 @@ def build_tree(points: np.ndarray, leaves: int, first: int) -> tuple[list[tuple]
         a = len(nodes)
         nodes += [(), ()]
         nodes[at] = (axis, value, a, a + 1)
-        work += [(a, pts[~right], budget // 2), (a + 1, pts[right], budget - budget // 2)]
+        share = min(budget - 1, max(1, round(budget * float(1 - right.mean()))))
+        work += [(a, pts[~right], share), (a + 1, pts[right], budget - share)]
     return nodes, done
 
 
 def _cut(pts: np.ndarray) -> tuple[int, float] | None:
-    """Axis and value that split the points: gaps from values first, else the median of the axis spread most."""
-    gaps = np.isnan(pts).mean(axis=0)
-    mixed = np.minimum(gaps, 1 - gaps)
-    if mixed.max() > 0.1:
-        axis = int(mixed.argmax())
-        return axis, float(np.nextafter(np.nanmin(pts[:, axis]), -np.inf))
+    """Axis and value that split the points: the median of the axis spread most, once the points that lack it are apart
+    (they would widen the boxes of one side)."""
     columns = [c[~np.isnan(c)] for c in pts.T]
     spread = np.array([c.std() if len(c) else 0.0 for c in columns])
-    axis = int(spread.argmax())
+    gaps = np.isnan(pts).mean(axis=0)
+    axis = int(spread.argmax()) if spread.max() > 0 else int(np.minimum(gaps, 1 - gaps).argmax())
     column = columns[axis]
-    if not len(column) or column.min() == column.max():
+    if not len(column):
+        return None
+    if gaps[axis]:
+        return axis, float(np.nextafter(column.min(), -np.inf))
+    if column.min() == column.max():
         return None
     value = float(np.median(column))
     if value >= column.max():
@@ -280,26 +338,33 @@ def leaf_udf(trees: list[list[tuple]]):
     return leaf
 
 
-def receiver_blocks(batches, patterns: list[tuple], one_tree: bool, boxes: Boxes, k: int):
-    """Send each receiver to the leaves that can hold one of its nearest donors, many receivers per row."""
-    number_of = {p: g for g, p in enumerate(patterns)}
+def receiver_blocks(batches, kinds: dict[tuple, int], boxes: Boxes, k: int, home: bool):
+    """Send each receiver to the leaves that can hold one of its nearest donors, many receivers per row; with ``home``
+    only to the one leaf that looks nearest for each missing column. A receiver is its coordinates and the largest
+    distance that still matters. Without ``kinds`` there is one tree for all."""
     for pdf in batches:
-        points = pdf.to_numpy(dtype=float)
+        d = len(boxes.full[0])
+        points = pdf.iloc[:, :d].to_numpy(dtype=float)
+        bounds = np.full(points.shape, np.inf)
+        if not home:
+            found = np.array([np.asarray(b, dtype=float) for b in pdf["_bounds"]]).reshape(-1, d)
+            bounds = np.where(np.isnan(found), np.inf, found)
         known = ~np.isnan(points)
         leaf_rows: dict[int, list] = {}
-        kinds, which = np.unique(known, axis=0, return_inverse=True)
+        patterns, which = np.unique(known, axis=0, return_inverse=True)
         which = which.ravel()
-        for i, pattern in enumerate(kinds):
+        for i, pattern in enumerate(patterns):
             if not pattern.any():
                 continue
-            leaves = np.flatnonzero(boxes.group == (0 if one_tree else number_of[tuple(pattern.tolist())]))
+            leaves = np.flatnonzero(boxes.group == (kinds[tuple(pattern.tolist())] if kinds else 0))
             rows = np.flatnonzero(which == i)
-            step = max(16, LOOK_CELLS // max(1, len(leaves)))
+            step = max(16, LOOK_CELLS // max(1, len(leaves) * int(pattern.sum())))
             for start in range(0, len(rows), step):
-                part = points[rows[start : start + step]]
-                wanted = candidate_leaves(part, pattern, boxes, leaves, k)
+                part = rows[start : start + step]
+                wanted, limit = candidate_leaves(points[part], bounds[part], pattern, boxes, leaves, k, home)
+                sent = np.column_stack([points[part], limit])
                 for at in np.flatnonzero(wanted.any(axis=0)):
-                    leaf_rows.setdefault(int(leaves[at]), []).append(part[wanted[:, at]])
+                    leaf_rows.setdefault(int(leaves[at]), []).append(sent[wanted[:, at]])
         yield pd.DataFrame(
             {
                 "_leaf": np.fromiter(leaf_rows, dtype="int32"),
@@ -308,60 +373,124 @@ def receiver_blocks(batches, patterns: list[tuple], one_tree: bool, boxes: Boxes
         )
 
 
-def candidate_leaves(points: np.ndarray, pattern: np.ndarray, boxes: Boxes, leaves: np.ndarray, k: int) -> np.ndarray:
-    d, shared = len(pattern), int(pattern.sum())
-    near = np.zeros((len(points), len(leaves)))
-    far = np.zeros_like(near)
-    certain = np.zeros(len(leaves))
-    possible = np.zeros(len(leaves), dtype=bool)
-    full, empty, have = boxes.full[leaves], boxes.empty[leaves], boxes.have[leaves]
-    for a in np.flatnonzero(pattern):
-        lo, hi = np.nan_to_num(boxes.lo[leaves, a]), np.nan_to_num(boxes.hi[leaves, a])
-        p = points[:, a][:, None]
-        gap = np.maximum(0.0, np.maximum(lo - p, p - hi)) ** 2
-        reach = np.maximum(np.abs(p - lo), np.abs(p - hi)) ** 2
-        near += np.where(full[:, a], gap, 0.0)
-        far += np.where(empty[:, a], 0.0, reach)
-        certain += full[:, a]
-        possible |= ~empty[:, a]
-    # a donor shares between `certain` and `shared` columns with the receiver
-    near *= d / shared
-    far = np.where(certain > 0, far * d / np.maximum(certain, 1), np.inf)
+def box_bounds(points: np.ndarray, pattern: np.ndarray, boxes: Boxes, leaves: np.ndarray):
+    """The least and the largest distance that a donor of a leaf can have, per receiver and leaf.
+
+    The distance is the mean over the shared columns, times all columns. A donor shares the columns that the whole leaf has
+    and any of those that part of it has, so the least mean takes from the latter the smallest gaps as
+    long as they lower it; the largest mean likewise. A leaf where a donor may share nothing has no largest distance.
+    """
+    at = np.flatnonzero(pattern)
+    full, empty = boxes.full[np.ix_(leaves, at)], boxes.empty[np.ix_(leaves, at)]
+    lo, hi = np.nan_to_num(boxes.lo[np.ix_(leaves, at)]), np.nan_to_num(boxes.hi[np.ix_(leaves, at)])
+    p = points[:, None, at]
+    certain = full.sum(axis=1)
+
+    def extreme(parts: np.ndarray, sign: int) -> np.ndarray:
+        total = np.where(full, parts, 0.0).sum(axis=2)
+        best = np.where(certain > 0, total / np.maximum(certain, 1), sign * np.inf)
+        pick = np.minimum if sign > 0 else np.maximum
+        options = np.sort(np.where(full | empty, np.inf, sign * parts), axis=2)
+        for j in range(int((~(full | empty)).sum(axis=1).max(initial=0))):
+            total = total + sign * options[:, :, j]
+            best = pick(best, total / (certain + j + 1))
+        return best
+
+    d = len(pattern)
+    near = d * extreme(np.maximum(0.0, np.maximum(lo - p, p - hi)) ** 2, 1)
+    far = d * extreme(np.maximum(np.abs(p - lo), np.abs(p - hi)) ** 2, -1)
+    return near, np.where(certain > 0, far, np.inf)
+
+
+def candidate_leaves(points, bounds, pattern: np.ndarray, boxes: Boxes, leaves: np.ndarray, k: int, home: bool):
+    """Which leaves each receiver is sent to, and the largest distance that matters to it."""
+    near, far = box_bounds(points, pattern, boxes, leaves)
+    have = boxes.have[leaves]
+    possible = (~boxes.empty[leaves] & pattern).any(axis=1)
     wanted = np.zeros(near.shape, dtype=bool)
+    limit = np.zeros(len(points))
+    every = np.arange(len(points))
     for c in np.flatnonzero(~pattern):
-        enough = np.where(have[:, c] >= k, far, np.inf).min(axis=1, keepdims=True)
-        wanted |= (near <= enough * (1 + 1e-9)) & (have[:, c] > 0) & possible
-    return wanted
+        enough = np.minimum(np.where(have[:, c] >= k, far, np.inf).min(axis=1), bounds[:, c]) * (1 + 1e-9)
+        limit = np.maximum(limit, enough)
+        gives = (have[:, c] > 0) & possible
+        if home:
+            look = np.where(gives & (have[:, c] >= k), near, np.inf)
+            least = look.min(axis=1, keepdims=True)
+            # boxes overlap: among those equally near the one whose far corner is nearest
+            spot = np.where(look == least, far, np.inf).argmin(axis=1)
+            some = np.isfinite(least[:, 0])
+            wanted[every[some], spot[some]] = True
+        else:
+            wanted |= (near <= enough[:, None]) & gives
+    return wanted, limit
 
 
 def nearest(batches, d: int, k: int):
-    """The k nearest donor values of one pack for every missing column of every receiver of a block."""
+    """The k nearest donor values of one pack for every missing column of every receiver of a block, and a row with
+    column -1 and the number of distances worked out."""
     names = [*[f"_a{i}" for i in range(d)], "_c", "_dist", "_value"]
     for pdf in batches:
-        out = [np.empty((0, d + 3))]
+        out, computed = [], 0
         for receivers, donors in zip(pdf["receivers"], pdf["donors"]):
-            r = np.asarray(receivers, dtype=float).reshape(-1, d)
+            block = np.asarray(receivers, dtype=float).reshape(-1, d + 1)
             packed = np.asarray(donors, dtype=float).reshape(-1, d + d * k)
             spots, values = packed[:, :d], packed[:, d:].reshape(-1, d, k)
-            total = np.zeros((len(r), len(spots)))
-            shared = np.zeros_like(total)
-            for a in range(d):
-                diff = r[:, a][:, None] - spots[:, a][None, :]
-                ok = ~np.isnan(diff)
-                total += np.where(ok, diff * diff, 0.0)
-                shared += ok
-            dist = np.where(shared > 0, d / np.maximum(shared, 1) * total, np.inf)
-            for c in range(d):
-                need = np.flatnonzero(np.isnan(r[:, c]))
-                give = np.flatnonzero(~np.isnan(values[:, c, 0]))
-                if len(need) and len(give):
-                    give = give[np.argsort(values[give, c, 0], kind="stable")]
-                    out.append(_pick(r[need], dist[np.ix_(need, give)], values[give, c], c, k))
+            for start in range(0, len(block), BLOCK_RECEIVERS):
+                r, limit = block[start : start + BLOCK_RECEIVERS, :d], block[start : start + BLOCK_RECEIVERS, d]
+                dist, n = bounded_distances(r, limit, spots)
+                computed += n
+                for c in range(d):
+                    need = np.flatnonzero(np.isnan(r[:, c]))
+                    give = np.flatnonzero(~np.isnan(values[:, c, 0]))
+                    if len(need) and len(give):
+                        give = give[np.argsort(values[give, c, 0], kind="stable")]
+                        out.append(_pick(r[need], dist[np.ix_(need, give)], values[give, c], c, k))
+        out.append(np.array([[np.nan] * d + [-1, computed, np.nan]]))
         frame = pd.DataFrame(np.concatenate(out), columns=names)
         frame["_c"] = frame["_c"].astype("int32")
         yield frame
 
 
+def bounded_distances(r: np.ndarray, limit: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, int]:
+    """Distances of receivers and donors, infinite where beyond the receiver's limit, and how many were begun.
+
+    On the columns that a pair shares, the difference of its distances to a pivot is at most its own distance. Both are
+    sums over the shared columns, so one product with the other side's known columns gives them for all pairs.
+    """
+    d = spots.shape[1]
+    known, has = ~np.isnan(r), ~np.isnan(spots)
+    shared = known.astype(float) @ has.T.astype(float)
+    scale = d / np.maximum(shared, 1)
+    open_ = shared > 0
+    if np.isfinite(limit).any():
+        for pivot in _pivots(spots, has):
+            from_r = np.sqrt(np.where(known, r - pivot, 0.0) ** 2 @ has.T.astype(float))
+            from_x = np.sqrt(known.astype(float) @ (np.where(has, spots - pivot, 0.0) ** 2).T)
+            # less what rounding may have added
+            apart = np.maximum(np.abs(from_r - from_x) - 1e-12 * (from_r + from_x), 0.0)
+            open_ &= ~(scale * apart**2 > limit[:, None])
+    i, j = np.nonzero(open_)
+    begun = len(i)
+    total = np.zeros(begun)
+    for start in range(0, d, BLOCK_COLUMNS):
+        for a in range(start, min(d, start + BLOCK_COLUMNS)):
+            diff = r[i, a] - spots[j, a]
+            total += np.where(np.isnan(diff), 0.0, diff * diff)
+        on = np.flatnonzero(scale[i, j] * total <= limit[i])
+        i, j, total = i[on], j[on], total[on]
+    dist = np.full(shared.shape, np.inf)
+    dist[i, j] = scale[i, j] * total
+    return dist, begun
+
+
+def _pivots(spots: np.ndarray, has: np.ndarray) -> list[np.ndarray]:
+    """The mean of the donors and the donor furthest from it; what it lacks is taken from the mean."""
+    mean = np.where(has, spots, 0.0).sum(axis=0) / np.maximum(has.sum(axis=0), 1)
+    off = np.where(has, spots - mean, 0.0)
+    return [mean, mean + off[(off**2).sum(axis=1).argmax()]]
+
+
 def _pick(r: np.ndarray, dist: np.ndarray, values: np.ndarray, c: int, k: int) -> np.ndarray:
     """The k smallest (distance, value) per receiver; donors come sorted by their smallest value."""
     first = np.argsort(dist, axis=1, kind="stable")[:, :k]
