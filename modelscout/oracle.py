@@ -156,6 +156,9 @@ ORACLE = {
     "import_dataset": f"""SELECT var_id, var_name, var_type, ds_count, ds_unique, {ROUNDED_STATS},
       'customer' AS dataset_name, (SELECT count(*) FROM customer) AS row_number, 5 AS column_number
       FROM ({summary_sql('customer', CUSTOMER)}) s""",
+    "append_to_dataset": f"""SELECT var_id, var_name, var_type, ds_count, ds_mean, ds_std, ds_min, ds_max,
+      (SELECT count(*) FROM customer) AS row_number
+      FROM (SELECT var_id, var_name, var_type, ds_count, {ROUNDED_STATS} FROM ({summary_sql('customer', CUSTOMER)}) s) t""",
     "result_store_round_trip": f"""WITH {DETAIL} SELECT id, experiment_id, algo_id, auc, precision, recall, accuracy
       FROM detail WHERE experiment_id IN (SELECT c_custkey FROM customer)""",
     "metadata_filter": """SELECT c_custkey AS id, c_name AS experiment_name, c_mktsegment AS target_name,

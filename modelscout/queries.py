@@ -172,6 +172,20 @@ def import_dataset(spark, sf):
     return rounded(summary.join(shape, "dataset_id").drop("dataset_id"))
 
 
+def append_to_dataset(spark, sf):
+    """The customers imported in three parts; counts, moments and ends of the whole come from the parts' sketches."""
+    customer = table(spark, sf, "customer")
+    part = F.pmod("c_custkey", F.lit(3))
+    first, *more = [write_table(customer.filter(part == i), scratch_path(spark, "src"), "csv") for i in range(3)]
+    store = new_store(spark)
+    id = importing.import_dataset(spark, first, "customer", store)
+    for src in more:
+        importing.append_to_dataset(store, id, src)
+    shape = store.read("dataset").select(F.col("id").alias("dataset_id"), "row_number")
+    summary = store.read("dataset_summary", dataset_id=id).join(shape, "dataset_id")
+    return rounded(summary).select("var_id", "var_name", "var_type", "ds_count", "ds_mean", "ds_std", "ds_min", "ds_max", "row_number")
+
+
 def result_store_round_trip(spark, sf):
     store = filled_store(spark, sf, "experiment", "experiment_detail")
     found = store.read("experiment_detail")
@@ -578,7 +592,7 @@ SCORES = {
 QUERIES = {
     f.__name__: f
     for f in (
-        csv_round_trip, csv_documents, csv_documents_one_file, tsv_round_trip, tsv_conversations, parquet_round_trip, import_dataset, import_documents, result_store_round_trip, metadata_filter,
+        csv_round_trip, csv_documents, csv_documents_one_file, tsv_round_trip, tsv_conversations, parquet_round_trip, import_dataset, import_documents, append_to_dataset, result_store_round_trip, metadata_filter,
         list_datasets, delete_dataset, table_shape, profile_numeric, profile_approx, profile_string, top_value,
         distinct_counts, distinct_counts_with_null, missing_counts, quality_report, quality_report_outliers, variable_summary, suggest_roles,
         value_counts, histogram_numeric, box_stats, preview, sample_about, grubbs_statistic, grubbs_outliers,

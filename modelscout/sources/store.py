@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from modelscout.functions.columns import now_pacific
+from modelscout.operators.sketches import merge_sketches
 
 # Fixed table layouts.
 SCHEMAS = {
@@ -22,11 +23,16 @@ SCHEMAS = {
     "accuracy DOUBLE, auc_hard DOUBLE, weighted_precision DOUBLE, weighted_recall DOUBLE, shap STRING, "
     "created_date TIMESTAMP_NTZ",
     "dataset_deleted": "dataset_id BIGINT, deleted_date TIMESTAMP_NTZ",
+    "dataset_part": "id BIGINT, dataset_id BIGINT, filepath STRING, row_number BIGINT, appended_date TIMESTAMP_NTZ",
+    # part 0 is what was imported
+    "dataset_sketch": "dataset_id BIGINT, part_id BIGINT, var_id INT, var_name STRING, var_type INT, ds_count BIGINT, "
+    "mean DOUBLE, squares DOUBLE, low DOUBLE, high DOUBLE, quantiles BINARY, distinct BINARY",
 }
 # Folder partitioning; the other tables rely on sorted files and row-group statistics.
-PARTITIONS = {"dataset_summary": ["dataset_id"], "experiment": ["dataset_id"]}
+PARTITIONS = {"dataset_summary": ["dataset_id"], "experiment": ["dataset_id"], "dataset_sketch": ["dataset_id"]}
 SORT = {"experiment_detail": "experiment_id", "dataset": "id"}
-DATASET_KEY = {"dataset": "id", "dataset_summary": "dataset_id", "experiment": "dataset_id"}
+DATASET_KEY = {"dataset": "id", "dataset_summary": "dataset_id", "experiment": "dataset_id", "dataset_part": "dataset_id",
+               "dataset_sketch": "dataset_id"}
 
 
 class ResultStore:
@@ -69,8 +75,16 @@ class ResultStore:
         self.append(table, self.spark.createDataFrame(data, schema).coalesce(1))
 
     def read(self, table: str, **eq) -> DataFrame:
-        """The live rows of a table, filtered by equality; rows of deleted datasets are hidden."""
+        """The live rows of a table, filtered by equality; rows of deleted datasets are hidden.
+
+        Rows and summaries of datasets are those of all their parts. They are put together here from what every
+        part wrote, so that parts which are appended at the same time do not overwrite each other.
+        """
         df = self._raw(table)
+        if table == "dataset":
+            df = self._with_parts(df)
+        elif table == "dataset_summary":
+            df = self._summaries(df)
         for name, value in eq.items():
             df = df.filter(F.col(name) == F.lit(value))
         key = DATASET_KEY.get(table)
@@ -82,6 +96,25 @@ class ResultStore:
             df = df.join(live, "experiment_id", "left_semi")
         return df
 
+    def _with_parts(self, datasets: DataFrame) -> DataFrame:
+        parts = self._raw("dataset_part").groupBy(F.col("dataset_id").alias("id")).agg(
+            F.sum("row_number").alias("_more"), F.max("appended_date").alias("_last")
+        )
+        joined = datasets.join(parts, "id", "left")
+        own = {
+            "row_number": F.col("row_number") + F.coalesce("_more", F.lit(0)),
+            "last_update": F.greatest("last_update", "_last"),
+        }
+        return joined.select([own.get(c, F.col(c)).alias(c) for c in datasets.columns])
+
+    def _summaries(self, imported: DataFrame) -> DataFrame:
+        parts = self._raw("dataset_part")
+        grown = parts.select("dataset_id").distinct()
+        wanted = parts.select("dataset_id", F.col("id").alias("part_id")).union(grown.select("dataset_id", F.lit(0).cast("bigint")))
+        sketches = self._raw("dataset_sketch").join(wanted, ["dataset_id", "part_id"], "left_semi")
+        merged = merge_sketches(sketches, ("dataset_id",))
+        return imported.join(grown, "dataset_id", "left_anti").select(imported.columns).unionByName(merged)
+
     def read_all(self, table: str, **eq) -> DataFrame:
         """Rows of a table filtered by equality, also those of deleted datasets and of runs that are not complete."""
         df = self._raw(table)

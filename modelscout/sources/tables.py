@@ -26,6 +26,7 @@ def read_table(
     schema: T.StructType | str | None = None,
     null_values: Sequence[str] = (),
     multi_line: bool = True,
+    types: bool = True,
     **options: str,
 ) -> DataFrame:
     """Read a table with a header row (CSV, TSV, gzip by extension) or Parquet.
@@ -33,7 +34,8 @@ def read_table(
     In the text formats an empty field is a missing value, quoted or not, and so is each of ``null_values``. Fields may hold
     line breaks; a scan tells where records begin, so that many tasks read a large file all the same. ``multi_line=False`` saves
     that scan for files known to have none. Options that say how records are told apart leave a file to one task. Without
-    a ``schema`` the text formats cost one more scan that finds the types, by one rule for all options.
+    a ``schema`` the text formats cost one more scan that finds the types, by one rule for all options; without ``types`` their
+    columns stay text.
     """
     path = normalize_path(path)
     if fmt == "parquet":
@@ -67,7 +69,7 @@ def read_table(
     if null_values:
         text = text.select([F.when(~F.col(c).isin(*null_values), F.col(c)).alias(n) for c, n in zip(_quoted(text), text.columns)])
     if schema is None:
-        return _tighten(text)
+        return _tighten(text) if types else text
     return text.select([F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
@@ -107,6 +109,38 @@ KINDS = (
 )
 
 
+# Number types whose values another type holds as they are.
+WIDER = {"tinyint": "smallint int bigint float double", "smallint": "int bigint float double", "int": "bigint double", "float": "double"}
+
+
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` with the columns and types of ``schema``; ``ValueError`` if names differ or a value would change.
+
+    Text becomes a type if it is what :func:`read_table` takes for that type, other columns if the type is the same or wider. A
+    column without values fits any type. Text costs one scan, which looks at all values first.
+    """
+    if sorted(df.columns) != sorted(schema.names):
+        raise ValueError(f"columns {sorted(set(df.columns) ^ set(schema.names))} are not in both tables")
+    patterns = dict(KINDS)
+    kinds, out, odd = dict(df.dtypes), [], {}
+    for f in schema.fields:
+        c, have, want = F.col(f"`{f.name}`"), kinds[f.name], f.dataType.simpleString()
+        if have == want or want in WIDER.get(have, "").split():
+            out.append(c.cast(f.dataType).alias(f.name))
+            continue
+        out.append(c.try_cast(f.dataType).alias(f.name))
+        fits = F.lit(False)
+        if have == "string" and want in patterns:
+            fits = c.rlike(f"^(?:{patterns[want]})$") & c.try_cast(f.dataType).isNotNull()
+        odd[f.name] = F.count_if(c.isNotNull() & ~fits)
+    if odd:
+        counts = df.agg(*odd.values()).first()
+        bad = {f"{n} ({kinds[n]} for {schema[n].dataType.simpleString()})": k for n, k in zip(odd, counts) if k}
+        if bad:
+            raise ValueError(f"values that do not fit: {bad}")
+    return df.select(out)
+
+
 def _tighten(text: DataFrame) -> DataFrame:
     """Give every all-text column the first of KINDS that holds all its values; a column without values stays text."""
     columns = _quoted(text)

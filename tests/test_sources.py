@@ -1,8 +1,10 @@
 import os
 import threading
 
+import numpy as np
 import pytest
 
+from modelscout.operators.profile import profile
 from modelscout.plans import importing
 from modelscout.sources import ResultStore, materialize, read_table, scratch_path, write_table
 from modelscout.sources.scratch import scratch
@@ -167,3 +169,97 @@ def test_scratch_tables_of_a_block_are_deleted(spark, make):
         gone = materialize(make([(1,)], "i int"), "inner").inputFiles()[0].removeprefix("file://")
         raise ValueError
     assert not os.path.exists(gone) and os.path.dirname(materialize(make([(1,)], "i int"), "x").inputFiles()[0]).count("scope") == 0
+
+
+def appended(spark, make, store, x, parts):
+    """Datasets of (n, x, s): the first part imported, the others appended."""
+    rows = [(i, None if i % 7 == 0 else float(v), f"s{i % 5000}") for i, v in enumerate(x)]
+    cut = [rows[i::parts] for i in range(parts)]
+    schema = "n int, x double, s string"
+    srcs = [write_table(make(c, schema), scratch_path(spark, "src"), "csv") for c in cut]
+    id = importing.import_dataset(spark, srcs[0], "grown", store)
+    for src in srcs[1:]:
+        importing.append_to_dataset(store, id, src)
+    return id, make(rows, schema), rows
+
+
+def test_summary_of_parts_is_that_of_the_whole(spark, make, store):
+    rng = np.random.default_rng(3)
+    id, whole, rows = appended(spark, make, store, np.exp(rng.normal(10, 3, 30_000)), 3)
+    assert store.get("dataset", id)["row_number"] == 30_000
+    assert sorted(importing.read_dataset(store, id).select("n").toPandas()["n"]) == list(range(30_000))
+    got = {r["var_name"]: r for r in store.read("dataset_summary", dataset_id=id).collect()}
+    want = {r["var_name"]: r for r in profile(whole).collect()}
+    assert got.keys() == want.keys()
+    for name, w in want.items():
+        g = got[name]
+        for c in ("var_id", "var_type", "ds_count", "ds_min", "ds_max"):
+            assert g[c] == w[c]
+        assert g["ds_unique"] == pytest.approx(w["ds_unique"], rel=0.03)
+        for c in ("ds_mean", "ds_std"):
+            assert g[c] == (w[c] if w[c] is None else pytest.approx(w[c], rel=1e-9))
+    x = np.sort([r[1] for r in rows if r[1] is not None])
+    for c, p in (("ds_25", 0.25), ("ds_50", 0.5), ("ds_75", 0.75)):
+        assert abs(np.searchsorted(x, got["x"][c]) / len(x) - p) < 0.005
+    assert got["s"]["ds_50"] is None
+    assert {r["variable"] for r in importing.dataset_variables(store, id).collect()} == {"n", "x", "s"}
+
+
+def test_only_the_new_file_is_read(spark, make, store):
+    id, _, _ = appended(spark, make, store, range(30), 2)
+    assert all("/dataset_sketch/" in f or "/dataset_summary/" in f or "/dataset_part/" in f or "/dataset_deleted/" in f
+               for f in store.read("dataset_summary", dataset_id=id).inputFiles())
+
+
+@pytest.mark.parametrize("rows,schema", [
+    ([(1, 2.0)], "n int, x double"),
+    ([(1, 2.0, "a", 1)], "n int, x double, s string, more int"),
+    ([("1.5", 2.0, "a")], "n string, x double, s string"),
+    ([("99999999999", 2.0, "a")], "n string, x double, s string"),
+    ([(1, "two", "a")], "n int, x string, s string"),
+])
+def test_what_does_not_fit_is_refused(spark, make, store, rows, schema):
+    id, _, _ = appended(spark, make, store, range(30), 1)
+    src = write_table(make(rows, schema), scratch_path(spark, "src"), "csv")
+    with pytest.raises(ValueError):
+        importing.append_to_dataset(store, id, src)
+    assert store.get("dataset", id)["row_number"] == 30 and importing.read_dataset(store, id).count() == 30
+    assert store.read("dataset_summary", dataset_id=id).filter("var_name = 'n'").first()["ds_count"] == 30
+
+
+def test_other_order_no_values_and_parquet(spark, make, store):
+    id, _, _ = appended(spark, make, store, range(30), 1)
+    src = write_table(make([("007", None, 31)], "s string, x double, n int"), scratch_path(spark, "src"), "csv")
+    importing.append_to_dataset(store, id, src)
+    src = write_table(make([(2**20, 1.5, "z")], "n int, x float, s string"), scratch_path(spark, "src"))
+    importing.append_to_dataset(store, id, src, "parquet")
+    src = write_table(make([], "n int, x double, s string"), scratch_path(spark, "src"))
+    importing.append_to_dataset(store, id, src, "parquet")
+    found = importing.read_dataset(store, id).filter("s in ('007', 'z')").orderBy("n").collect()
+    assert [tuple(r) for r in found] == [(31, None, "007"), (2**20, 1.5, "z")]
+    assert store.get("dataset", id)["row_number"] == 32
+    big = write_table(make([(2**40, 1.5, "z")], "n bigint, x double, s string"), scratch_path(spark, "src"))
+    with pytest.raises(ValueError):
+        importing.append_to_dataset(store, id, big, "parquet")
+
+
+def test_parts_appended_at_once_all_count(spark, make, store):
+    id, _, _ = appended(spark, make, store, range(30), 1)
+    srcs = [write_table(make([(100 + i, 1.0, "a")], "n int, x double, s string"), scratch_path(spark, "src"), "csv") for i in range(4)]
+    threads = [threading.Thread(target=importing.append_to_dataset, args=(store, id, src)) for src in srcs]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert store.get("dataset", id)["row_number"] == 34 and importing.read_dataset(store, id).count() == 34
+    assert store.read("dataset_part", dataset_id=id).select("id").distinct().count() == 4
+    assert store.read("dataset_summary", dataset_id=id).filter("var_name = 'n'").first()["ds_max"] == 103
+    store.delete_dataset(id)
+    assert store.read("dataset_summary").count() == 0
+
+
+def test_a_dataset_without_sketches_takes_no_parts(spark, make, store):
+    src = write_table(make([(1, 2.0)], "n int, x double"), scratch_path(spark, "src"), "csv")
+    id = importing.import_dataset(spark, src, "fixed", store, appendable=False)
+    with pytest.raises(ValueError):
+        importing.append_to_dataset(store, id, src)
