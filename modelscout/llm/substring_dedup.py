@@ -29,6 +29,7 @@ WINDOW = 50
 GRAM = 16
 SHARD_WORDS = 100_000
 HOT_CONTEXTS = 4096  # of one anchor
+SLICE_BYTES = 1 << 19  # of texts that are looked at together; a task needs some forty times as much
 PLACE_BITS = np.uint64(28)
 _inverse = np.ones(1, dtype=np.uint64)
 
@@ -183,7 +184,7 @@ def anchors_of(texts: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            parts = [(c[0], ids[a + c[2]]) for a, b, w, cuts in words(batch.column(2)) for c in (contexts(w, cuts, window, gram),)]
+            parts = [(c[0], ids[a + c[2]]) for a, b, w, cuts in words(batch.column(2), limit=SLICE_BYTES) for c in (contexts(w, cuts, window, gram),)]
             anchor = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
             doc = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
             order = np.argsort(anchor, kind="stable")
@@ -201,7 +202,7 @@ def contexts_of(texts: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            for a, _, w, cuts in words(batch.column(2)):
+            for a, _, w, cuts in words(batch.column(2), limit=SLICE_BYTES):
                 anchor, digest, text, lo, n = contexts(w, cuts, window, gram)
                 columns = [anchor.view(np.int64), digest.view(np.int64), ids[a + text], rows[a + text], lo.astype(np.int32), n.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "digest", "doc_id", "row", "lo", "n"])
@@ -215,7 +216,7 @@ def _passages(asked: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(0).to_pylist()
-            for a, b, w, cuts in words(batch.column(1)):
+            for a, b, w, cuts in words(batch.column(1), limit=SLICE_BYTES):
                 out = [(x["anchor"], x["digest"], x["doc_id"], w[cuts[k] + x["lo"] : cuts[k] + x["lo"] + x["n"] + window - 1]) for k in range(b - a) for x in wanted[a + k]]
                 for c in range(0, len(out), 20_000):
                     part = out[c : c + 20_000]
@@ -308,7 +309,7 @@ def _cut(marked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = bytes_of(batch.column(2))
-            for a, b in slices(bounds):
+            for a, b in slices(bounds, SLICE_BYTES):
                 part, cuts = data[bounds[a] : bounds[b]].copy(), bounds[a : b + 1] - bounds[a]
                 begin, end = spans(part, cuts)
                 at = np.searchsorted(begin, cuts)

@@ -95,10 +95,12 @@ def numbers(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, lower: bool
     return mix(np.add.reduceat(terms, starts) + sizes.astype(np.uint64))
 
 
-def words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def words(
+    texts: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int = SLICE_BYTES
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, last text + 1, numbers of all their words, where each text's words begin) for slices of texts."""
     data, bounds = bytes_of(texts)
-    for a, b in slices(bounds):
+    for a, b in slices(bounds, limit):
         part, cuts = data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
         begins, ends = spans(part, cuts)
         yield a, b, numbers(part, begins, ends, lower), np.searchsorted(begins, cuts)
