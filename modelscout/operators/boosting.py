@@ -1,10 +1,12 @@
 """Gradient boosting on binned features, with trees that grow leaf by leaf.
 
-Features are cut into bins by their quantiles once, and a row then is one byte per feature. A leaf is known by a histogram of its rows'
-gradients and Hessians per feature and bin, which tasks add up locally and the shuffle adds up over tasks. Of the two
+Features are cut into bins by their quantiles once, and a row then is one byte per feature. Rows with equal bins and labels have equal
+scores in every round, so they are merged into one that knows how many they are. Rows are kept in blocks of arrays, so that a
+scan costs a task some array operations and no work per row. A leaf is known by a histogram of its rows'
+gradients and Hessians per feature and bin, which tasks add up locally and which are added up over tasks. Of the two
 children of a split only the smaller one is counted, the other one is what is left of the parent. The open leaf with the
-largest gain is split next. A scan counts the children of every leaf that may still be split, and a leaf of few enough rows is
-grown to its end by one task, which has all of them; the order of splits is that of a scan per split in either case.
+largest gain is split next. A scan counts the children of every leaf that may still be split, and once all of these have few
+enough rows, each is grown to its end by one task, which has all of them; the order of splits is that of a scan per split in either case.
 """
 from __future__ import annotations
 
@@ -14,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,6 +25,9 @@ from modelscout.sources.scratch import materialize
 MAX_BINS = 255
 ACCURACY = 10_000  # of the quantiles that are the bounds of bins
 LOCAL_ROWS = 1 << 16  # rows of a leaf that one task may have
+BLOCK_ROWS = 10_000
+PARTS_AT_ONCE = 64  # tasks whose histograms the driver adds up itself; those of more are added up by tasks first
+BLOCK = "bins binary, y binary, n binary, raw binary"
 WRITTEN = 10  # trees after which the rows' scores are written out, so that a lost executor costs few of them
 
 
@@ -135,12 +140,14 @@ class HistogramBoosting:
             return HistogramBoostingModel(math.log(share / (1 - share)), [], self.features)
         cuts = bin_bounds(rows, d, self.bins)
         start = math.log(ones / (n - ones))
-        state = materialize(_binned(rows, cuts, start), "boosting-rows").persist(StorageLevel.MEMORY_AND_DISK)
+        spark = df.sparkSession
+        state = _written(_blocks(_binned(rows, cuts), start)).persist(StorageLevel.MEMORY_AND_DISK)
         trees: list[Tree] = []
         held = [state]  # what the current scores are read from
         try:
+            kinds = state.map(lambda block: len(block[1])).sum()
             for k in range(self.n_trees):
-                tree = self._grow(state, cuts, n)
+                tree = self._grow(state, cuts, kinds)
                 for old in held[:-1]:  # the scores have been worked out by now
                     old.unpersist()
                 held = held[-1:]
@@ -149,7 +156,8 @@ class HistogramBoosting:
                     break
                 state = _rescored(state, tree)
                 if (k + 1) % WRITTEN == 0:
-                    state = materialize(state, "boosting-rows")
+                    packed = state.map(lambda block: tuple(bytearray(a.tobytes()) for a in block))
+                    state = _written(spark.createDataFrame(packed, BLOCK))
                 state = state.persist(StorageLevel.MEMORY_AND_DISK)
                 held.append(state)
         finally:
@@ -157,13 +165,14 @@ class HistogramBoosting:
                 old.unpersist()
         return HistogramBoostingModel(start, trees, self.features)
 
-    def _grow(self, state: DataFrame, cuts: list[np.ndarray], n: int) -> Tree:
+    def _grow(self, state: RDD, cuts: list[np.ndarray], kinds: int) -> Tree:
+        """The next tree. ``kinds`` is the number of rows once equal ones are merged."""
         tree = Tree()
         histogram: dict[int, np.ndarray] = {}
         splits: dict[int, Split | None] = {}
         children: dict[int, tuple[int, int]] = {}  # of leaves whose split has been looked at from below
-        if n <= self.local_rows:
-            tree.nodes.append(Node(n, 0.0))
+        if kinds <= self.local_rows:
+            tree.nodes.append(Node(0, 0.0))
             self._finish(state, tree, [0], splits, children, len(cuts))
         else:
             histogram[0] = histograms(state, tree, [0], len(cuts), self.bins)[0]
@@ -177,11 +186,10 @@ class HistogramBoosting:
             if open_[0] not in children:
                 # of the leaves that may still be split, all that nothing is known of below
                 wanted = [i for i in open_[: self.n_leaves - len(leaves)] if i not in children]
-                large = [i for i in wanted if tree.nodes[i].rows > self.local_rows]
-                if large:
-                    self._count(state, tree, large, splits, histogram, children, len(cuts))
-                if len(large) < len(wanted):
-                    self._finish(state, tree, [i for i in wanted if i not in set(large)], splits, children, len(cuts))
+                if any(tree.nodes[i].rows > self.local_rows for i in wanted):
+                    self._count(state, tree, wanted, splits, histogram, children, len(cuts))
+                else:
+                    self._finish(state, tree, wanted, splits, children, len(cuts))
             i = open_[0]
             node, split = tree.nodes[i], splits[i]
             node.left, node.right = children[i]
@@ -190,34 +198,38 @@ class HistogramBoosting:
             leaves |= set(children[i])
         return _compact(tree)
 
-    def _finish(self, state: DataFrame, tree: Tree, wanted: list[int], splits: dict, children: dict, d: int) -> None:
+    def _finish(self, state: RDD, tree: Tree, wanted: list[int], splits: dict, children: dict, d: int) -> None:
         """Everything that may be split below the small leaves ``wanted``, each in one task."""
         slot = np.full(len(tree.nodes), -1)
-        slot[wanted] = wanted
-
-        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    own = slot[tree.leaf_of(_bytes(pdf), binned=True)]
-                    p = 1 / (1 + np.exp(-pdf["raw"]))
-                    out = pd.DataFrame({"leaf": own, "bins": pdf["bins"], "g": p - pdf["y"], "h": p * (1 - p)})
-                    yield out[own >= 0]
-
-        def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            found = self._below(_bytes(pdf), np.column_stack([pdf["g"], pdf["h"], np.ones(len(pdf))]), d)
-            return pd.DataFrame([(key[0], *r) for r in found], columns=["leaf", "number", "rows", "value", "gain", "feature", "bin", "left_rows", "left"])
-
-        parts = state.mapInPandas(rows, "leaf int, bins binary, g double, h double").groupBy("leaf")
-        kind = "leaf int, number int, rows double, value double, gain double, feature int, bin int, left_rows double, left int"
+        slot[wanted] = range(len(wanted))
+
+        def rows(part: int, blocks: Iterator[tuple]) -> Iterator[tuple]:
+            for k, (b, y, n, raw) in enumerate(blocks):
+                own = slot[tree.leaf_of(b, binned=True)]
+                use = np.flatnonzero(own >= 0)
+                use = use[np.argsort(own[use], kind="stable")]
+                sums = _sums(y[use], n[use], raw[use])
+                ends = np.flatnonzero(np.diff(own[use], append=-1)) + 1
+                for at, end in zip([0, *ends], ends):
+                    yield int(own[use[at]]), (part, k, b[use[at:end]], sums[at:end])
+
+        def grow(group: tuple) -> list[tuple]:
+            parts = sorted(group[1], key=lambda p: p[:2])
+            found = self._below(np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]), d)
+            return [(wanted[group[0]], *r) for r in found]
+
+        names = ("leaf", "number", "rows", "value", "gain", "feature", "bin", "left_rows", "left")
+        tasks = min(len(wanted), state.context.defaultParallelism)
+        grown = state.mapPartitionsWithIndex(rows).groupByKey(tasks, lambda leaf: leaf).flatMap(grow).collect()
         by_leaf: dict[int, list] = {}
-        for r in parts.applyInPandas(grow, kind).collect():
-            by_leaf.setdefault(r["leaf"], []).append(r)
+        for r in grown:
+            by_leaf.setdefault(r[0], []).append(dict(zip(names, r)))
         for leaf, found in by_leaf.items():
             found.sort(key=lambda r: r["number"])
             at = [leaf, *range(len(tree.nodes), len(tree.nodes) + len(found) - 1)]
             for i, r in zip(at, found):
                 if i == leaf:
-                    tree.nodes[i].value = r["value"]
+                    tree.nodes[i].rows, tree.nodes[i].value = r["rows"], r["value"]
                 else:
                     tree.nodes.append(Node(r["rows"], r["value"]))
                 splits[i] = Split(r["gain"], r["feature"], r["bin"], r["left_rows"]) if r["feature"] >= 0 else None
@@ -260,7 +272,7 @@ class HistogramBoosting:
             rows_of[i] = histogram_of[i] = None
         return [tuple(r) for r in out]
 
-    def _count(self, state: DataFrame, tree: Tree, wanted: list[int], splits: dict, histogram: dict, children: dict, d: int) -> None:
+    def _count(self, state: RDD, tree: Tree, wanted: list[int], splits: dict, histogram: dict, children: dict, d: int) -> None:
         """Histograms and best splits of the children of the leaves ``wanted``, in one scan."""
         trial = Tree([Node(**vars(n)) for n in tree.nodes])
         counted = []
@@ -314,30 +326,51 @@ def bin_bounds(rows: DataFrame, d: int, bins: int) -> list[np.ndarray]:
     return [np.array([q for q in np.unique(found[f"q{i}"]) if q < found[f"m{i}"]] or [found[f"m{i}"]]) for i in range(d)]
 
 
-def _binned(rows: DataFrame, cuts: list[np.ndarray], start: float) -> DataFrame:
-    """(bins, y, raw): a byte per feature, the label and the log odds so far."""
+def _binned(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """(bins, y, n): a byte per feature, the label and the number of rows that have them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 x = np.stack(pdf["x"].to_numpy())
                 b = np.column_stack([np.searchsorted(c, x[:, i], side="left") for i, c in enumerate(cuts)]).astype(np.uint8)
-                yield pd.DataFrame({"bins": [r.tobytes() for r in b], "y": pdf["y"], "raw": start})
-
-    return rows.mapInPandas(run, "bins binary, y double, raw double")
+                yield pd.DataFrame({"bins": [r.tobytes() for r in b], "y": pdf["y"]})
 
+    return rows.mapInPandas(run, "bins binary, y double").groupBy("bins", "y").agg(F.count(F.lit(1)).alias("n"))
 
-def _bytes(pdf: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(b"".join(pdf["bins"]), dtype=np.uint8).reshape(len(pdf), -1)
 
+def _blocks(rows: DataFrame, start: float) -> DataFrame:
+    """Up to ``BLOCK_ROWS`` rows as one: their bins, labels, numbers and log odds so far, each as the bytes of an array."""
 
-def _rescored(state: DataFrame, tree: Tree) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                yield pdf.assign(raw=pdf["raw"] + tree.values(_bytes(pdf), binned=True))
+            for at in range(0, len(pdf), BLOCK_ROWS):
+                part = pdf.iloc[at : at + BLOCK_ROWS]
+                numbers = [part[c].to_numpy(dtype=float) for c in ("y", "n")]
+                packed = [b"".join(part["bins"]), *[a.tobytes() for a in (*numbers, np.full(len(part), start))]]
+                yield pd.DataFrame({name: [value] for name, value in zip(("bins", "y", "n", "raw"), packed)})
+
+    return rows.mapInPandas(run, BLOCK)
+
+
+def _written(blocks: DataFrame) -> RDD:
+    """The blocks as (bins, y, n, raw) of arrays, read from files to which they are written once."""
 
-    return state.mapInPandas(run, "bins binary, y double, raw double")
+    def unpacked(row: tuple) -> tuple:
+        y, n, raw = (np.frombuffer(value, dtype=float) for value in row[1:])
+        return np.frombuffer(row[0], dtype=np.uint8).reshape(len(y), -1), y, n, raw
+
+    return materialize(blocks, "boosting-rows").rdd.map(unpacked)
+
+
+def _sums(y: np.ndarray, n: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """[gradient, Hessian, rows] of merged rows."""
+    p = 1 / (1 + np.exp(-raw))
+    return np.column_stack([(p - y) * n, p * (1 - p) * n, n])
+
+
+def _rescored(state: RDD, tree: Tree) -> RDD:
+    return state.map(lambda block: (*block[:3], block[3] + tree.values(block[0], binned=True)))
 
 
 def _local_histogram(b: np.ndarray, sums: np.ndarray, bins: int) -> np.ndarray:
@@ -348,32 +381,32 @@ def _local_histogram(b: np.ndarray, sums: np.ndarray, bins: int) -> np.ndarray:
     return np.stack(columns, axis=1).reshape(d, bins, 3)
 
 
-def histograms(state: DataFrame, tree: Tree, wanted: list[int], d: int, bins: int) -> np.ndarray:
+def histograms(state: RDD, tree: Tree, wanted: list[int], d: int, bins: int) -> np.ndarray:
     """(wanted, feature, bin, [gradient, Hessian, rows]) of the rows in the nodes ``wanted``; a tree without nodes is its root."""
-    width = bins
+    size = len(wanted) * d * bins
+    slot = np.full(max(len(tree.nodes), 1), -1)
+    slot[wanted] = range(len(wanted))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((3, len(wanted) * d * width))
-        slot = np.full(max(len(tree.nodes), 1), -1)
-        slot[wanted] = range(len(wanted))
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            b = _bytes(pdf)
+    def run(blocks: Iterator[tuple]) -> Iterator[tuple]:
+        total = np.zeros((size, 3))
+        for b, y, n, raw in blocks:
             own = slot[tree.leaf_of(b, binned=True) if tree.nodes else np.zeros(len(b), dtype=np.int64)]
             use = np.flatnonzero(own >= 0)
-            p = 1 / (1 + np.exp(-pdf["raw"].to_numpy()[use]))
-            at = ((own[use, None] * d + np.arange(d)) * width + b[use]).ravel()
-            for k, weight in enumerate((p - pdf["y"].to_numpy()[use], p * (1 - p))):
-                total[k] += np.bincount(at, weights=np.repeat(weight, d), minlength=total.shape[1])
-            total[2] += np.bincount(at, minlength=total.shape[1])
-        some = np.flatnonzero(total[2])
-        yield pd.DataFrame({"at": some, "gradient": total[0, some], "hessian": total[1, some], "n": total[2, some]})
-
-    parts = state.mapInPandas(run, "at int, gradient double, hessian double, n double")
+            at = ((own[use, None] * d + np.arange(d)) * bins + b[use]).ravel()
+            for k, weight in enumerate(_sums(y[use], n[use], raw[use]).T):
+                total[:, k] += np.bincount(at, weights=np.repeat(weight, d), minlength=size)
+        some = np.flatnonzero(total[:, 2])
+        yield some, total[some]
+
+    def add(one: tuple, other: tuple) -> tuple:
+        some, at = np.unique(np.concatenate([one[0], other[0]]), return_inverse=True)
+        both = np.concatenate([one[1], other[1]])
+        return some, np.column_stack([np.bincount(at, weights=column, minlength=len(some)) for column in both.T])
+
+    parts = state.mapPartitions(run)
     # as many rows as leaves, features and bins have combinations at most
-    found = parts.groupBy("at").agg(*[F.sum(c).alias(c) for c in ("gradient", "hessian", "n")]).toArrow()
-    out = np.zeros((len(wanted) * d * width, 3))
-    for k, name in enumerate(("gradient", "hessian", "n")):
-        out[found["at"].to_numpy(), k] = found[name].to_numpy()
-    return out.reshape(len(wanted), d, width, 3)
+    found = parts.collect() if parts.getNumPartitions() <= PARTS_AT_ONCE else [parts.treeReduce(add)]
+    out = np.zeros((size, 3))
+    for some, sums in found:
+        out[some] += sums
+    return out.reshape(len(wanted), d, bins, 3)

@@ -133,3 +133,27 @@ def test_deep_paths_are_explained_in_seconds():
     leaf = explain.Leaf(1.0, {f: (-math.inf, 0.0, 0.9) for f in range(40)})
     values = leaf.values(rng.normal(size=(20_000, 40)))
     assert np.isfinite(values).all() and time.perf_counter() - start < 10
+
+
+def test_equal_rows_take_part_once_and_count_as_many(spark):
+    x, y = rows_of(60)
+    x, y = np.tile(x, (40, 1)), np.tile(y, 40)
+    tool = B.HistogramBoosting(numTrees=2, numLeaves=6, stepSize=0.3, minRows=5)
+    model = tool.fit(frame(spark, x, y))
+    trees, raw = brute(x, y, [np.unique(c)[:-1] for c in x.T], 2, 6, 0.3, 5)
+    assert model.raw(x) == pytest.approx(raw)
+    assert [t.nodes[0].rows for t in model.trees] == [2400, 2400]
+    bins = B.bin_bounds(frame(spark, x, y).selectExpr("array(a, b, c, d) AS x"), 4, 255)
+    kept = B._written(B._blocks(B._binned(frame(spark, x, y).selectExpr("array(a, b, c, d) AS x", "double(label) AS y"), bins), 0.0))
+    assert kept.map(lambda block: len(block[1])).sum() == len(np.unique(np.column_stack([x, y]), axis=0))
+    assert kept.map(lambda block: float(block[2].sum())).sum() == 2400
+
+
+def test_histograms_of_many_tasks_are_added_up_by_tasks(spark, monkeypatch):
+    x, y = rows_of()
+    rows = frame(spark, x, y).selectExpr("array(a, b, c, d) AS x", "double(label) AS y")
+    bins = B.bin_bounds(rows, 4, 255)
+    state = B._written(B._blocks(B._binned(rows, bins), 0.1)).repartition(9)
+    plain = B.histograms(state, B.Tree(), [0], 4, 255)
+    monkeypatch.setattr(B, "PARTS_AT_ONCE", 2)
+    assert B.histograms(state, B.Tree(), [0], 4, 255) == pytest.approx(plain) and plain[0, 0, :, 2].sum() == 400
