@@ -2,7 +2,7 @@
 import numpy as np
 import pytest
 
-from modelscout.operators import explain, models, prep
+from modelscout.operators import explain, models, penalized, prep
 from modelscout.operators.penalized import PenalizedLogisticRegression, newton_step
 
 
@@ -102,3 +102,22 @@ def test_rows_of_the_catalogue(spark):
 
 def test_step_of_a_flat_feature_is_finite():
     assert np.isfinite(newton_step(np.zeros(2), np.zeros(2), np.zeros((2, 2)), "l1")).all()
+
+
+@pytest.mark.parametrize("penalty", ["l1", "l2"])
+def test_features_of_very_different_scales_take_few_scans(spark, monkeypatch, penalty):
+    """The share of one feature's curvature that keeps the step finite must not slow down features a million times smaller."""
+    rng = np.random.default_rng(1)
+    x = np.column_stack([rng.random(3000) * 100_000, rng.integers(0, 9, 3000) / 100, rng.integers(0, 2, 3000), rng.integers(1, 51, 3000)])
+    y = (rng.random(3000) < 1 / (1 + np.exp(-(x[:, 0] / 50_000 - 1 + 8 * (x[:, 1] - 0.04) - 0.3 * x[:, 2])))).astype(int)
+    scans = []
+    plain = penalized.derivatives
+    monkeypatch.setattr(penalized, "derivatives", lambda *a: scans.append(1) or plain(*a))
+    model = PenalizedLogisticRegression(penalty=penalty, maxIter=40).fit(frame(spark, x, y))
+    assert len(scans) <= 15
+    w = np.append(model.coefficients, model.intercept)
+    g = gradient(x, y, w, 1.0)
+    if penalty == "l2":
+        assert np.abs(g + w).max() <= 1e-5
+    else:
+        assert all(abs(b + np.sign(a)) <= 1e-5 if a else abs(b) <= 1 + 1e-5 for a, b in zip(w, g))
