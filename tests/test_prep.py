@@ -141,3 +141,14 @@ def test_bad_targets(make):
 def test_aligned_levels_option(make):
     p = preparing.prepare(passengers(make), "Survived", ["Sex"], ["Name", "Embarked"], keys=["PassengerId"], levels_from="aligned")
     assert "Sex_male" in p.columns
+
+
+@pytest.mark.parametrize("rows_a_task,tasks", [(1000, 3), (30, 8)])
+def test_training_is_spread_by_its_rows(make, rows_a_task, tasks):
+    """At least the tasks asked for, and none with more rows than it may have, whatever the size of the table."""
+    df = make([(float(i), i % 2, i) for i in range(300)], "x double, t int, k int")
+    p = preparing.prepare(df, "t", [], ["k"], keys=["k"])
+    train, test = preparing.vectors(p, 3, rows_a_task)
+    sizes = [len(part) for part in train.select("label").rdd.glom().collect()]
+    assert len(sizes) == max(tasks, -(-sum(sizes) // rows_a_task)) and max(sizes) <= rows_a_task + len(sizes)
+    assert sum(sizes) + test.count() == 300
