@@ -157,3 +157,16 @@ def test_histograms_of_many_tasks_are_added_up_by_tasks(spark, monkeypatch):
     plain = B.histograms(state, B.Tree(), [0], 4, 255)
     monkeypatch.setattr(B, "PARTS_AT_ONCE", 2)
     assert B.histograms(state, B.Tree(), [0], 4, 255) == pytest.approx(plain) and plain[0, 0, :, 2].sum() == 400
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_large_leaves_met_after_small_ones_were_grown(spark, seed):
+    """Leaves that are counted and leaves below one that was grown to its end are open at a time."""
+    rng = np.random.default_rng(seed)
+    n, cuts = 1500, [np.arange(99.0)] * 3 + [np.zeros(1)]
+    x = np.column_stack([rng.integers(0, 100, (n, 3)), np.zeros(n, int)]).astype(np.uint8)
+    y = (rng.random(n) < np.where(x[:, 0] < 10, x[:, 1] > 50, 0.3 + 0.4 * (x[:, 2] > 70))).astype(float)
+    state = spark.sparkContext.parallelize([(x[i::3], y[i::3], np.ones(500), np.zeros(500)) for i in range(3)], 3)
+    plain, mixed = (B.HistogramBoosting(numLeaves=31, minRows=5, localRows=local)._grow(state, cuts, n) for local in (0, 400))
+    shape = lambda tree: [(m.rows, m.feature, m.bin, m.left) for m in tree.nodes]
+    assert shape(plain) == shape(mixed)
