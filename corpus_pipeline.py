@@ -12,12 +12,12 @@ near ones. An empty table stays empty.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from modelscout.llm.exact_dedup import without_duplicates
 from modelscout.llm.jaccard_join import without_similar
 from modelscout.llm.mixing import mixed_documents
-from modelscout.llm.pieces import decode_ids, encode_documents, load_model
+from modelscout.llm.pieces import round_trip
 from modelscout.llm.quality import good_documents
 from modelscout.sources.scratch import remove, scratch, scratch_path
 
@@ -46,9 +46,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_pieces, ids, decoded_sha256) of every document; the last is the digest of the text that the ids decode to."""
-    model = load_model()
-    decoded = decode_ids(encode_documents(docs, model), model)
-    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(docs)
 
 
 STAGES = [

@@ -28,6 +28,7 @@ from modelscout.sources.scratch import materialize
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 15  # characters
 BATCH_CHARS = 1 << 18
+BATCH_IDS = 1 << 16  # that are decoded at a time
 RUN = 64  # chunks whose matrices are combined in one task; a text then has one matrix for two million characters
 TAIL = 256  # characters before a cut that are encoded anew for every state of the cut
 BLANK_PIECE = "▁"
@@ -69,9 +70,9 @@ class Pieces:
 
     def decode_all(self, ids: np.ndarray, cuts: np.ndarray) -> list[str]:
         """The texts of the ids between every two ``cuts``: the bytes of their pieces without the blank that was put at the front."""
-        sizes = self.byte_sizes[ids]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        flat = self.all_bytes[np.arange(ends[-1]) + np.repeat(self.byte_starts[ids] - ends[:-1], sizes)].tobytes()
+        ends = np.concatenate(([0], np.cumsum(self.byte_sizes[ids])))
+        # a byte takes some 30 while it is looked up, so a few pieces at a time
+        flat = b"".join(self._bytes(ids[a : a + BATCH_IDS]) for a in range(0, len(ids), BATCH_IDS))
         odd = np.concatenate(([0], np.cumsum(self.needs_library[ids])))
         out = []
         for a, b in zip(cuts[:-1], cuts[1:]):
@@ -82,6 +83,11 @@ class Pieces:
             out.append(text[1:] if self.prefix and text.startswith(" ") else text)
         return out
 
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        sizes = self.byte_sizes[ids]
+        starts = np.cumsum(sizes) - sizes
+        return self.all_bytes[np.arange(sizes.sum()) + np.repeat(self.byte_starts[ids] - starts, sizes)].tobytes()
+
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of plain texts."""
         return [np.asarray(x, dtype=np.int32) for x in self.bare.encode(texts, num_threads=1)]
@@ -219,10 +225,9 @@ def _arrow_ids(ids: list) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat, pa.int32()))
 
 
-def _runs(texts: pa.Array, limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about ``limit`` characters together."""
+def _runs(sizes: list[int | None], limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes add up to ``limit``, or to more with the last of them."""
     first = total = 0
-    sizes = pc.utf8_length(texts).to_pylist()
     for i, n in enumerate(sizes):
         total += n or 0
         if total >= limit:
@@ -239,7 +244,7 @@ def encode_short(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Pieces(model)
         for batch in batches:
-            for a, b in _runs(batch.column(batch.num_columns - 1)):
+            for a, b in _runs(pc.utf8_length(batch.column(batch.num_columns - 1)).to_pylist(), BATCH_CHARS):
                 part = batch.slice(a, b - a)
                 texts = part.column(part.num_columns - 1).to_pylist()
                 ids = tool.encode_all([tool.plain(t) for t in texts])
@@ -337,8 +342,10 @@ def encode_giant(texts: DataFrame, model: bytes, chunk: int = CHUNK, run: int =
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = Pieces(model)
         for batch in batches:
-            ids = tool.encode_all([p[a - b : e - b] for p, a, e, b in zip(batch["part"], batch["enter"], batch["leave"], batch["begin"])])
-            yield pd.DataFrame({"sha": batch["sha"], "chunk": batch["chunk"], "ids": ids})
+            for first, end in _runs((batch["leave"] - batch["enter"]).tolist(), BATCH_CHARS):
+                part = batch.iloc[first:end]
+                ids = tool.encode_all([p[a - b : e - b] for p, a, e, b in zip(part["part"], part["enter"], part["leave"], part["begin"])])
+                yield pd.DataFrame({"sha": part["sha"], "chunk": part["chunk"], "ids": ids})
 
     own = paired.select("sha", "chunk", "begin", "part", "enter", "leave").mapInPandas(encode, "sha string, chunk int, ids array<int>")
     in_order = F.array_sort(F.collect_list(F.struct("chunk", "ids")))
@@ -369,8 +376,8 @@ def decode_ids(encoded: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Pieces(model)
         for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                part = batch.slice(a, 64)
+            for a, b in _runs(pc.list_value_length(batch.column(batch.num_columns - 1)).to_pylist(), BATCH_IDS):
+                part = batch.slice(a, b - a)
                 ids = part.column(part.num_columns - 1)
                 cuts = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))))
                 texts = tool.decode_all(ids.flatten().to_numpy().astype(np.int64), cuts)
@@ -380,8 +387,16 @@ def decode_ids(encoded: DataFrame, model: bytes) -> DataFrame:
     return encoded.mapInArrow(run, f"{fields}, decoded string")
 
 
-def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every document and the digest of the text they decode to."""
+def round_trip(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_pieces, ids, decoded_sha256) of every document; the last is the digest of the text that the ids decode to.
+
+    The ids are written once in between, so that a task never holds a Python worker that encodes and one that decodes.
+    """
     model = load_model()
-    decoded = decode_ids(encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), model), model)
+    decoded = decode_ids(materialize(encode_documents(docs, model), "pieces-ids", compression="zstd"), model)
     return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the digest of the text they decode to."""
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -54,12 +54,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         remove(spark, folder)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write ``df`` once to the shared folder, with the writer's ``options``, and read it back.
 
     The lineage ends at the files, so a lost executor costs a re-read and not a re-computation.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

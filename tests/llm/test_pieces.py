@@ -2,6 +2,7 @@ import hashlib
 import os
 import random
 import time
+import tracemalloc
 
 import duckdb
 import pytest
@@ -119,6 +120,25 @@ def test_cutting_is_linear(spark):
     assert seconds[1] < 8 * seconds[0] + 2
 
 
+def test_decoding_takes_little_more_than_the_text(tool, library):
+    """Also of many ids in one row; looked up all at once, a byte takes some 30."""
+    ids = P.np.array(library.encode("the cat sat on a mat and ") * 100_000, dtype=P.np.int64)
+    tracemalloc.start()
+    (text,) = tool.decode_all(ids, P.np.array([0, len(ids)]))
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert text == library.decode(ids.tolist())
+    assert most < 15 * len(text)
+
+
+def test_no_task_encodes_and_decodes(docs, library):
+    """Two Python workers a task took twice the memory."""
+    rows = [(1, "Hello"), (2, None), (3, "the cat sat " * 4000)]
+    got = P.round_trip(docs(rows))
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r["doc_id"]: (r["ids"], r["n_pieces"]) for r in got.collect()} == {i: (library.encode(t or ""), len(library.encode(t or ""))) for i, t in rows}
+
+
 def test_query(spark, library):
     got = {r["doc_id"]: r for r in P.op10_pieces(spark, SF).collect()}
     rows = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
