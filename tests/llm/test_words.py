@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -35,3 +36,16 @@ def test_numbers_stand_for_words(texts, lower, n, limit):
         for x, y in zip(runs, want_runs):
             assert grams.setdefault(x, y) == y
     assert len(set(names.values())) == len(names) and len(set(grams.values())) == len(grams)
+
+
+def test_slices_bound_the_memory_of_long_batches():
+    array = pa.array(["some words of a text " * 50] * 4000, pa.string())
+    assert sum(b - a for a, b, _, _ in W.words(array)) == len(array)
+    tracemalloc.start()
+    try:
+        for _ in W.words(array):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40 << 20
