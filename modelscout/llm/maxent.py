@@ -37,6 +37,7 @@ STEP_TOKENS = 1 << 15
 RATE = 0.5
 TASK_TOKENS = 1 << 20  # that a task goes through in a round, at least: what it sends is worth it
 BUCKET_HITS = 4  # tokens of a task for every bucket of all kinds, at least
+STEP_BYTES = 1 << 21  # of texts that are looked at together; where training makes its steps follows from it
 ADDED = 64  # tasks whose steps are added up in the first step
 END = np.uint64(0x452821E638D01377)  # the number of the end of a text
 SALTS = mix(np.arange(FEATURES, dtype=np.uint64) + np.uint64(11))
@@ -48,7 +49,7 @@ def fold(id: str, folds: int = 5) -> F.Column:
 
 def tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, last text + 1, tokens, where each text's begin) for slices of texts; every text ends with END."""
-    for a, b, w, cuts in words(texts, lower=True):
+    for a, b, w, cuts in words(texts, lower=True, limit=STEP_BYTES):
         yield a, b, np.insert(w, cuts[1:], END), cuts + np.arange(len(cuts))
 
 
