@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,9 @@ GROWTH = 14.0  # buckets of a kind for the square root of the training tokens, o
 PLACE = 1 << 10  # buckets that are added up together
 ROUNDS = 3
 STEP_TOKENS = 1 << 15
+SCORE_ROWS = 4000  # whose class scores are worked out together, so that they stay in a core's cache
+FEW = 8  # rows of a bucket, at most, that are added up for all such buckets at once
+PROBES = 8  # places next to where a number should be that are looked at before it is searched for
 RATE = 0.5
 TASK_TOKENS = 1 << 20  # that a task goes through in a round, at least: what it sends is worth it
 BUCKET_HITS = 4  # tokens of a task for every bucket of all kinds, at least
@@ -73,7 +77,8 @@ def features(w: np.ndarray, cuts: np.ndarray, buckets: int = BUCKETS) -> np.ndar
     p = powers(4)
     pair = one + two * p[1]
     kinds = (one, pair, pair + three * p[2], two)
-    return np.stack([(mix(x ^ s) >> np.uint64(24)).astype(np.int64) % buckets + k * buckets for k, (x, s) in enumerate(zip(kinds, SALTS))], axis=1)
+    # a kind's buckets lie together, as they are read
+    return np.stack([(mix(x ^ s) >> np.uint64(24)).astype(np.int64) % buckets + k * buckets for k, (x, s) in enumerate(zip(kinds, SALTS))]).T
 
 
 @dataclass(frozen=True)
@@ -88,11 +93,31 @@ class Vocabulary:
     log_mass: np.ndarray  # log10 of each class's smoothed mass
     log_share: np.ndarray  # natural log of each class's share of the training tokens
 
+    @cached_property
+    def _first(self) -> np.ndarray:
+        """Place of the first number with given leading bits, one more than it takes to tell as many numbers apart."""
+        bits = len(self.number).bit_length()
+        leading = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+        return np.minimum(np.searchsorted(self.number, leading), len(self.number) - 1).astype(np.int32)
+
+    def _places(self, w: np.ndarray) -> np.ndarray:
+        """Place of every number that is there, and any place for the others."""
+        at = self._first[(w >> np.uint64(64 - len(self.number).bit_length())).astype(np.int64)]
+        last = len(self.number) - 1
+        open_ = np.flatnonzero(self.number[at] < w)
+        for _ in range(PROBES):
+            if not len(open_):
+                return at
+            at[open_] = np.minimum(at[open_] + 1, last)
+            open_ = open_[(self.number[at[open_]] < w[open_]) & (at[open_] < last)]
+        at[open_] = np.minimum(np.searchsorted(self.number, w[open_]), last)
+        return at
+
     def look_up(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, class) of every token; count 0 and the last class for words that are not sent."""
         if not len(self.number):
             return np.zeros(len(w), dtype=np.int64), np.full(len(w), CLASSES - 1)
-        at = np.minimum(np.searchsorted(self.number, w), len(self.number) - 1)
+        at = self._places(w)
         known = self.number[at] == w
         return np.where(known, self.count[at], 0), np.where(known, self.class_[at], CLASSES - 1)
 
@@ -142,26 +167,62 @@ def vocabulary(counts: DataFrame, sent_words: int = SENT_WORDS) -> Vocabulary:
 
 def _class_scores(weights: np.ndarray, base: np.ndarray, f: np.ndarray) -> np.ndarray:
     """Natural log probabilities of the classes for rows of feature buckets."""
-    z = base + weights[f[:, 0]]
-    for k in range(1, f.shape[1]):
-        z += weights[f[:, k]]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+    out = np.empty((len(f), CLASSES), dtype=np.result_type(weights, base))
+    for a in range(0, len(f), SCORE_ROWS):
+        part = f[a : a + SCORE_ROWS]
+        rows = base + np.take(weights, part[:, 0], axis=0)
+        for k in range(1, f.shape[1]):
+            rows += np.take(weights, part[:, k], axis=0)
+        z = np.ascontiguousarray(rows.T)  # a row per class: what goes over the classes takes whole rows
+        z -= z.max(axis=0)
+        z -= np.log(_over_classes(np.exp(z)))
+        out[a : a + SCORE_ROWS] = z.T
+    return out
+
+
+def _over_classes(x: np.ndarray) -> np.ndarray:
+    """Sums over the first axis, a power of 2 long: the halves first, then neighbours, as numpy adds up 16 floats in a row."""
+    x = x[: len(x) // 2] + x[len(x) // 2 :]
+    while len(x) > 1:
+        x = x[0::2] + x[1::2]
+    return x[0]
+
+
+def _sums(x: np.ndarray, order: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What ``np.add.reduceat(x[order], starts)`` gives, with its order of additions; most groups have a few rows only."""
+    out = np.take(x, order[starts], axis=0)
+    few = np.flatnonzero((n > 1) & (n <= FEW))
+    few = few[np.argsort(-n[few], kind="stable")]
+    if len(few):
+        at, size = starts[few], n[few]
+        rest = np.take(x, order[at + 1], axis=0)
+        for k in range(2, int(size[0])):
+            larger = int(np.searchsorted(-size, -k))
+            rest[:larger] += np.take(x, order[at[:larger] + k], axis=0)
+        out[few] += rest
+    many = n > FEW
+    if many.any():
+        out[many] = np.add.reduceat(np.take(x, order[np.repeat(many, n)], axis=0), np.cumsum(n[many]) - n[many])
+    return out
 
 
 def train_step(weights: np.ndarray, seen: np.ndarray, base: np.ndarray, f: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One gradient step on the class factor; a bucket's step shrinks with the square root of how often it was seen."""
     gradient = -np.exp(_class_scores(weights, base, f))
     gradient[np.arange(len(f)), target] += 1
+    bits = len(f).bit_length()
+    row = np.arange(len(f))
     for k in range(f.shape[1]):
-        order = np.argsort(f[:, k], kind="stable")
-        bucket = f[order, k]
+        # bucket and row in one number: sorting these is faster than a stable order of buckets, which it gives
+        both = np.sort(f[:, k] << bits | row)
+        order, bucket = both & (1 << bits) - 1, both >> bits
         starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         rows = bucket[starts]
         n = np.diff(np.append(starts, len(bucket)))
         seen[rows] += n
-        weights[rows] += (rate / f.shape[1]) * np.add.reduceat(gradient[order], starts) / np.sqrt(n * seen[rows])[:, None]
+        moved = np.take(weights, rows, axis=0)
+        moved += (rate / f.shape[1]) * _sums(gradient, order, starts, n) / np.sqrt(n * seen[rows])[:, None]
+        weights[rows] = moved
 
 
 STEPS = "place bigint, share int, at binary, moved binary, scale binary, met binary"

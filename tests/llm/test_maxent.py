@@ -1,6 +1,7 @@
 import collections
 import math
 import re
+import time
 import zlib
 
 import duckdb
@@ -85,6 +86,60 @@ def test_gradient_steps_lower_the_loss():
     assert loss() < 0.8 * first
 
 
+def plain_step(weights, seen, base, f, target, rate):
+    """The gradient step as its definition goes, in the same order of additions."""
+    z = base + weights[f[:, 0]]
+    for k in range(1, f.shape[1]):
+        z += weights[f[:, k]]
+    z -= z.max(axis=1, keepdims=True)
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    gradient = -np.exp(z)
+    gradient[np.arange(len(f)), target] += 1
+    for k in range(f.shape[1]):
+        order = np.argsort(f[:, k], kind="stable")
+        rows, starts, n = np.unique(f[order, k], return_index=True, return_counts=True)
+        seen[rows] += n
+        weights[rows] += (rate / f.shape[1]) * np.add.reduceat(gradient[order], starts) / np.sqrt(n * seen[rows])[:, None]
+
+
+def test_step_is_the_plain_one_and_faster():
+    rng = np.random.default_rng(6)
+    t = M.mix(rng.zipf(1.2, 3 * M.STEP_TOKENS).astype(np.uint64) % np.uint64(50_000))
+    buckets = M.buckets_for(10**8)
+    f, target = M.features(t, np.array([0, len(t)]), buckets), (t % np.uint64(M.CLASSES)).astype(int)
+    base = rng.standard_normal(M.CLASSES).astype(np.float32)
+    took, tables = [], []
+    for step in (plain_step, M.train_step):
+        weights, seen = np.zeros((M.FEATURES * buckets, M.CLASSES), np.float32), np.zeros(M.FEATURES * buckets, np.float32)
+        seconds = []
+        for a in [*range(0, len(t), M.STEP_TOKENS), *range(100, len(t) - 9000, 9000)]:
+            b = a + (M.STEP_TOKENS if a % M.STEP_TOKENS == 0 else 9000)
+            start = time.process_time()
+            step(weights, seen, base, f[a:b], target[a:b], M.RATE)
+            seconds.append(time.process_time() - start)
+        took.append(min(seconds[:3]))
+        tables.append((weights, seen))
+    assert all(np.array_equal(a, b) for a, b in zip(*tables))
+    assert took[1] < 0.8 * took[0]
+
+
+def test_look_up_finds_every_word():
+    """Numbers spread evenly, close together, and at both ends."""
+    rng = np.random.default_rng(7)
+    ends = np.array([0, 1, 2**64 - 1], dtype=np.uint64)
+    close = np.arange(5000, dtype=np.uint64) * np.uint64(3) + np.uint64(1 << 40)
+    even = M.mix(np.arange(3000, dtype=np.uint64))
+    for number in (even, close, np.concatenate([even, close, ends]), ends[:1], ends[2:], even[:2]):
+        number = np.unique(number)
+        count = np.arange(1, len(number) + 1)
+        vocab = M.Vocabulary(number, count, (count % 15).astype(np.int8), 0, 0, None, None)
+        w = rng.permutation(np.concatenate([even, close, close + np.uint64(1), even + np.uint64(1), ends]))
+        at = {int(x): int(c) for x, c in zip(number, count)}
+        want = np.array([at.get(int(x), 0) for x in w])
+        c, k = vocab.look_up(w)
+        assert np.array_equal(c, want) and np.array_equal(k, np.where(want > 0, want % 15, M.CLASSES - 1))
+
+
 def test_table_grows_with_the_corpus(docs):
     """More tokens give more buckets, and contexts that a small table would mix up are learnt from each on its own."""
     sizes = [M.buckets_for(10**k) for k in range(5, 12)]
