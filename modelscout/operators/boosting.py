@@ -11,11 +11,12 @@ enough rows, each is grown to its end by one task, which has all of them; the or
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import RDD, StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -58,19 +59,30 @@ class Split:
 class Tree:
     nodes: list[Node] = field(default_factory=list)
 
+    def rows_of(self, x: np.ndarray, wanted: Collection[int], binned: bool) -> Iterator[tuple[int, np.ndarray]]:
+        """The leaves ``wanted`` with the places of their rows in ``x``, bins or values. Branches without such a leaf are not gone into."""
+        on_way, todo = set(), list(enumerate(self.nodes))
+        for i, node in reversed(todo):  # children come after their parents
+            if i in wanted or node.left in on_way or node.right in on_way:
+                on_way.add(i)
+        open_: list[tuple[int, np.ndarray | None]] = [(0, None)] if 0 in on_way else []
+        while open_:
+            i, rows = open_.pop()
+            node = self.nodes[i]
+            if node.left < 0:
+                yield i, np.arange(len(x)) if rows is None else rows
+                continue
+            low = (x[:, node.feature] if rows is None else x[rows, node.feature]) <= (node.bin if binned else node.cut)
+            for child, side in ((node.right, ~low), (node.left, low)):
+                if child in on_way:
+                    open_.append((child, np.flatnonzero(side) if rows is None else rows[side]))
+
     def leaf_of(self, x: np.ndarray, binned: bool) -> np.ndarray:
         """The leaf of every row of ``x``, bins or values."""
         at = np.zeros(len(x), dtype=np.int64)
-        feature = np.array([n.feature for n in self.nodes])
-        bound = np.array([n.bin if binned else n.cut for n in self.nodes], dtype=float)
-        left, right = (np.array([getattr(n, side) for n in self.nodes]) for side in ("left", "right"))
-        while True:
-            open_ = np.flatnonzero(left[at] >= 0)
-            if not len(open_):
-                return at
-            here = at[open_]
-            low = x[open_, feature[here]] <= bound[here]
-            at[open_] = np.where(low, left[here], right[here])
+        for i, rows in self.rows_of(x, {i for i, n in enumerate(self.nodes) if n.left < 0}, binned):
+            at[rows] = i
+        return at
 
     def values(self, x: np.ndarray, binned: bool) -> np.ndarray:
         return np.array([n.value for n in self.nodes])[self.leaf_of(x, binned)]
@@ -203,18 +215,13 @@ class HistogramBoosting:
 
     def _finish(self, state: RDD, tree: Tree, wanted: list[int], splits: dict, children: dict, d: int) -> None:
         """Everything that may be split below the small leaves ``wanted``, each in one task."""
-        slot = np.full(len(tree.nodes), -1)
-        slot[wanted] = range(len(wanted))
+        slot = {i: k for k, i in enumerate(wanted)}
 
         def rows(part: int, blocks: Iterator[tuple]) -> Iterator[tuple]:
             for k, (b, y, n, raw) in enumerate(blocks):
-                own = slot[tree.leaf_of(b, binned=True)]
-                use = np.flatnonzero(own >= 0)
-                use = use[np.argsort(own[use], kind="stable")]
-                sums = _sums(y[use], n[use], raw[use])
-                ends = np.flatnonzero(np.diff(own[use], append=-1)) + 1
-                for at, end in zip([0, *ends], ends):
-                    yield int(own[use[at]]), (part, k, b[use[at:end]], sums[at:end])
+                for i, use in tree.rows_of(b, slot, binned=True):
+                    if len(use):
+                        yield slot[i], (part, k, b[use], _sums(y[use], n[use], raw[use]))
 
         def grow(group: tuple) -> list[tuple]:
             parts = sorted(group[1], key=lambda p: p[:2])
@@ -332,14 +339,22 @@ def bin_bounds(rows: DataFrame, d: int, bins: int) -> list[np.ndarray]:
 def _binned(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
     """(bins, y, n): a byte per feature, the label and the number of rows that have them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["x"].to_numpy())
-                b = np.column_stack([np.searchsorted(c, x[:, i], side="left") for i, c in enumerate(cuts)]).astype(np.uint8)
-                yield pd.DataFrame({"bins": [r.tobytes() for r in b], "y": pdf["y"]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = len(cuts)
+        for batch in batches:
+            n, x = len(batch), batch.column(0)
+            flat = x.flatten().to_numpy(zero_copy_only=False)
+            if x.null_count or len(flat) != n * d:
+                raise ValueError(f"a row without its {d} features")
+            flat = flat.reshape(n, d)
+            b = np.empty((n, d), dtype=np.uint8)
+            for i, c in enumerate(cuts):
+                b[:, i] = np.searchsorted(c, flat[:, i], side="left")
+            ends = np.arange(n + 1, dtype=np.int32) * d
+            packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(b)])
+            yield pa.RecordBatch.from_arrays([packed, batch.column(1)], names=["bins", "y"])
 
-    return rows.mapInPandas(run, "bins binary, y double").groupBy("bins", "y").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("x", "y").mapInArrow(run, "bins binary, y double").groupBy("bins", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _blocks(rows: DataFrame, start: float) -> DataFrame:
@@ -359,11 +374,12 @@ def _blocks(rows: DataFrame, start: float) -> DataFrame:
 def _written(blocks: DataFrame) -> RDD:
     """The blocks as (bins, y, n, raw) of arrays, read from files to which they are written once."""
 
-    def unpacked(row: tuple) -> tuple:
-        y, n, raw = (np.frombuffer(value, dtype=float) for value in row[1:])
-        return np.frombuffer(row[0], dtype=np.uint8).reshape(len(y), -1), y, n, raw
+    return materialize(blocks, "boosting-rows").rdd.map(_unpacked)
+
 
-    return materialize(blocks, "boosting-rows").rdd.map(unpacked)
+def _unpacked(row: tuple) -> tuple:
+    y, n, raw = (np.frombuffer(value, dtype=float) for value in row[1:])
+    return np.frombuffer(row[0], dtype=np.uint8).reshape(len(y), -1), y, n, raw
 
 
 def _sums(y: np.ndarray, n: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -384,20 +400,34 @@ def _local_histogram(b: np.ndarray, sums: np.ndarray, bins: int) -> np.ndarray:
     return np.stack(columns, axis=1).reshape(d, bins, 3)
 
 
-def histograms(state: RDD, tree: Tree, wanted: list[int], d: int, bins: int) -> np.ndarray:
-    """(wanted, feature, bin, [gradient, Hessian, rows]) of the rows in the nodes ``wanted``; a tree without nodes is its root."""
+def block_histogram(tree: Tree, wanted: list[int], b: np.ndarray, sums: Callable[[np.ndarray], np.ndarray], bins: int) -> np.ndarray:
+    """(wanted, feature, bin, sums) of the rows of a block in the nodes ``wanted``; ``sums`` gives a column per sum for some rows. A tree
+    without nodes is its root."""
+    slot = {i: k for k, i in enumerate(wanted)}
+    some = sorted(tree.rows_of(b, slot, binned=True)) if tree.nodes else [(0, np.arange(len(b)))]
+    use = np.concatenate([rows for _, rows in some])
+    first = np.repeat([slot[i] * bins for i, _ in some], [len(rows) for _, rows in some])
+    columns = sums(use).T
+    d, size = b.shape[1], len(wanted) * bins
+    out = np.empty((len(wanted), d, bins, len(columns)))
+    for f in range(d):
+        at = first + b[use, f]
+        for k, column in enumerate(columns):
+            out[:, f, :, k] = np.bincount(at, weights=column, minlength=size).reshape(-1, bins)
+    return out
+
+
+def histograms(
+    state: RDD, tree: Tree, wanted: list[int], d: int, bins: int, sums: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] = _sums
+) -> np.ndarray:
+    """(wanted, feature, bin, sums) of the rows in the nodes ``wanted``; a tree without nodes is its root. ``sums`` gives the sums of
+    merged rows by label, number and score, by default [gradient, Hessian, rows]; the last of them tells empty bins."""
     size = len(wanted) * d * bins
-    slot = np.full(max(len(tree.nodes), 1), -1)
-    slot[wanted] = range(len(wanted))
 
     def run(blocks: Iterator[tuple]) -> Iterator[tuple]:
         total = np.zeros((size, 3))
         for b, y, n, raw in blocks:
-            own = slot[tree.leaf_of(b, binned=True) if tree.nodes else np.zeros(len(b), dtype=np.int64)]
-            use = np.flatnonzero(own >= 0)
-            at = ((own[use, None] * d + np.arange(d)) * bins + b[use]).ravel()
-            for k, weight in enumerate(_sums(y[use], n[use], raw[use]).T):
-                total[:, k] += np.bincount(at, weights=np.repeat(weight, d), minlength=size)
+            total += block_histogram(tree, wanted, b, lambda use: sums(y[use], n[use], raw[use]), bins).reshape(size, 3)
         some = np.flatnonzero(total[:, 2])
         yield some, total[some]
 

@@ -19,6 +19,7 @@ from modelscout.sources.scratch import scratch_path
 LINEAR_MODELS = (LogisticRegressionModel, PenalizedLogisticModel)
 EXACT_FEATURES = 10  # up to so many features all coalitions are gone through
 TABLE_FEATURES = 10  # a leaf with up to so many keeps the values of all its cases
+CELL_ROOM = 1 << 21  # values of cells of all trees that a task keeps
 ORDERS = 500  # in which more features become known, each of them both ways
 
 
@@ -270,10 +271,11 @@ def stored_trees(model: Model) -> tuple[list[dict[int, TreeNode]], list[float]]:
     return [trees[k] for k in sorted(trees)], [weights[k] for k in sorted(trees)]
 
 
-def tree_leaves(model: Model) -> tuple[list[Leaf], float]:
-    """Leaves of all trees of a forest or boosted model and the mean output over the training rows."""
-    leaves, base = [], model.start if isinstance(model, HistogramBoostingModel) else 0.0
+def leaves_by_tree(model: Model) -> tuple[list[list[Leaf]], float]:
+    """Leaves of every tree of a forest or boosted model and the mean output over the training rows."""
+    groups, base = [], model.start if isinstance(model, HistogramBoostingModel) else 0.0
     for nodes, weight in zip(*stored_trees(model)):
+        leaves: list[Leaf] = []
         work: list[tuple[int, dict]] = [(0, {})]
         while work:
             at, path = work.pop()
@@ -287,7 +289,14 @@ def tree_leaves(model: Model) -> tuple[list[Leaf], float]:
                 low, high, share = path.get(node.feature, (-math.inf, math.inf, 1.0))
                 low, high = (low, min(high, node.cut)) if is_left else (max(low, node.cut), high)
                 work.append((child, {**path, node.feature: (low, high, share * nodes[child].rows / node.rows)}))
-    return leaves, base
+        groups.append(leaves)
+    return groups, base
+
+
+def tree_leaves(model: Model) -> tuple[list[Leaf], float]:
+    """Leaves of all trees of a forest or boosted model and the mean output over the training rows."""
+    groups, base = leaves_by_tree(model)
+    return [leaf for leaves in groups for leaf in leaves], base
 
 
 def tree_values(leaves: list[Leaf], x: np.ndarray) -> np.ndarray:
@@ -298,6 +307,76 @@ def tree_values(leaves: list[Leaf], x: np.ndarray) -> np.ndarray:
     return out
 
 
+class TreeValues:
+    """Shapley values of batches of rows. The bounds of a tree cut the rows into cells; rows of one cell meet the same conditions
+    and have the same values, which are worked out once and kept within ``CELL_ROOM``."""
+
+    def __init__(self, groups: Sequence[Sequence[Leaf]], d: int):
+        self.groups = [list(leaves) for leaves in groups if leaves]
+        own = [self._bounds(leaves, d) for leaves in self.groups]
+        self.bounds = [np.unique(np.concatenate([b[f] for b in own])) if own else np.zeros(0) for f in range(d)]
+        self.parts = [self._parts(b) for b in own]
+        self.known = [(np.zeros(0, dtype=np.int64), np.zeros((0, d))) for _ in own]
+        self.room = max(1_024, CELL_ROOM // max(1, d * len(own)))
+
+    @staticmethod
+    def _bounds(leaves: list[Leaf], d: int) -> list[np.ndarray]:
+        found: list[set] = [set() for _ in range(d)]
+        for leaf in leaves:
+            for f, low, high in zip(leaf.features, leaf.low, leaf.high):
+                found[f] |= {v for v in (low, high) if math.isfinite(v)}
+        return [np.array(sorted(v), dtype=float) for v in found]
+
+    def _parts(self, own: list[np.ndarray]) -> list[tuple[int, np.ndarray]] | None:
+        """What every feature's interval among all bounds adds to the number of a tree's cell; None if there are too many cells."""
+        parts, cells = [], 1
+        for f, b in enumerate(own):
+            if len(b):
+                parts.append((f, cells * np.append(np.searchsorted(b, self.bounds[f], side="left"), len(b)).astype(np.int64)))
+                cells *= len(b) + 1
+                if cells >= 1 << 62:
+                    return None
+        return parts
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(x.shape)
+        gaps = np.isnan(x).any(axis=1)  # meet no condition on what is missing
+        if gaps.any():
+            for leaves in self.groups:
+                out[gaps] += tree_values(leaves, x[gaps])
+            x = x[~gaps]
+        at = [np.searchsorted(b, x[:, f], side="left") if len(b) else None for f, b in enumerate(self.bounds)]
+        total = np.zeros(x.shape)
+        for k, (leaves, parts) in enumerate(zip(self.groups, self.parts)):
+            if parts is None:
+                total += tree_values(leaves, x)
+            elif len(x):
+                total += self._of_cells(k, leaves, sum(part[at[f]] for f, part in parts), x)
+        out[~gaps] = total
+        return out
+
+    def _of_cells(self, k: int, leaves: list[Leaf], cells: np.ndarray, x: np.ndarray) -> np.ndarray:
+        known, table = self.known[k]
+        place = np.searchsorted(known, cells)
+        new = np.ones(len(cells), dtype=bool)
+        inside = place < len(known)
+        new[inside] = known[place[inside]] != cells[inside]
+        if new.any():
+            missed = np.flatnonzero(new)
+            more, first = np.unique(cells[missed], return_index=True)
+            rows = tree_values(leaves, x[missed[first]])
+            if len(known) + len(more) > self.room:
+                # what this batch has, and nothing older
+                kept = np.unique(place[~new])
+                known, table = known[kept], table[kept]
+            known, table = np.concatenate([known, more]), np.concatenate([table, rows])
+            order = np.argsort(known)
+            known, table = known[order], table[order]
+            place = np.searchsorted(known, cells)
+            self.known[k] = known, table
+        return table[place]
+
+
 def shap_values(
     model: Model, df: DataFrame, columns: Sequence[str], key: Sequence[str], train: DataFrame | None = None, correlated: bool = True
 ) -> DataFrame:
@@ -308,14 +387,12 @@ def shap_values(
     """
     if isinstance(model, LINEAR_MODELS):
         return linear_values(linear_weights(model, columns), df if train is None else train, df, key, correlated)
-    leaves, _ = tree_leaves(model)
-    return values_per_row(lambda x: tree_values(leaves, x), df, columns, key)
+    return values_per_row(TreeValues(leaves_by_tree(model)[0], len(columns)), df, columns, key)
 
 
 def tree_shap(model: Model, df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, shap): mean absolute Shapley value per feature of a tree model."""
-    leaves, _ = tree_leaves(model)
-    return mean_abs_values(lambda x: tree_values(leaves, x), df, columns)
+    return mean_abs_values(TreeValues(leaves_by_tree(model)[0], len(columns)), df, columns)
 
 
 def explain(model: Model, train: DataFrame, test: DataFrame, columns: Sequence[str], correlated: bool = True) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 import json
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from modelscout.functions.columns import as_column
 from modelscout.operators.boosting import HistogramBoosting
+from modelscout.operators.gradient import GradientBoosting
 from modelscout.operators.penalized import PenalizedLogisticRegression
 
 LOCAL, SPARK = 0, 1
@@ -41,7 +42,7 @@ CATALOGUE = [
 ESTIMATORS = {
     "LogisticRegression": LogisticRegression,
     "RandomForestClassifier": RandomForestClassifier,
-    "GBTClassifier": GBTClassifier,
+    "GBTClassifier": GradientBoosting,  # trains MLlib's model
     "PenalizedLogisticRegression": PenalizedLogisticRegression,
     "HistogramBoosting": HistogramBoosting,
 }
