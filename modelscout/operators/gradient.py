@@ -1,9 +1,10 @@
 """MLlib's gradient boosting, trained on merged rows.
 
-The trees are those of MLlib's estimator up to rounding, which may choose between splits of equal gain: its own candidate splits, from its own sample of the rows, variance as impurity, splits level
-by level, and pseudo-residuals of the log loss. MLlib reads every row once a level and tree. Here rows are binned by the candidate
-splits once, rows with equal bins and labels, which stay equal in every round, are merged into one that knows how many they are, and
-what is left is kept in blocks of arrays. Few merged rows are trained on by one task, without a job a level.
+The trees are those of MLlib's estimator up to rounding, which may choose between splits of equal gain: its own candidate splits,
+from its own sample of the rows, variance as impurity, splits level by level, and pseudo-residuals of the log loss. MLlib reads
+every row once a level and tree. Here rows are binned by the candidate splits once, rows with equal bins and labels, which stay
+equal in every round, are merged into one that knows how many they are, and what is left is kept in blocks of arrays. Few merged
+rows are trained on by one task, without a job a level.
 """
 from __future__ import annotations
 
